@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernlake.llm.decontaminate import decontaminate
 from quernlake.llm.exact_dedup import exact_dedup
+from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack
 
 
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
@@ -36,6 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_decontamination": op10_decontamination,
 }
