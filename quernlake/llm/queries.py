@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernlake.llm.decontaminate import decontaminate
 from quernlake.llm.exact_dedup import exact_dedup
+from quernlake.llm.language_id import identify_language
 from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack
+from quernlake.llm.quality import classify_quality
 
 
 def tokenizer_path() -> str:
@@ -27,6 +29,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
@@ -41,6 +51,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_decontamination": op10_decontamination,
