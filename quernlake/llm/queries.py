@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernlake.llm.decontaminate import decontaminate
 from quernlake.llm.exact_dedup import exact_dedup
 from quernlake.llm.language_id import identify_language
+from quernlake.llm.line_dedup import line_dedup
 from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack
 from quernlake.llm.quality import classify_quality
@@ -37,6 +38,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_decontamination": op10_decontamination,
