@@ -73,7 +73,7 @@ def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
 def band_keys(regs: np.ndarray, t: int) -> np.ndarray:
     rows = REGISTERS // BANDS
     total = (regs.reshape(BANDS, rows).astype(np.uint64) * _ODD[30 : 30 + rows]).sum(axis=1, dtype=np.uint64)
-    return mix64(total + np.arange(BANDS, dtype=np.uint64) * _ODD[40] + np.uint64(t) * _ODD[41]).view(np.int64)
+    return mix64(total + np.arange(BANDS, dtype=np.uint64) * _ODD[40] + np.full(BANDS, t, np.uint64) * _ODD[41]).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
