@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which an id or digest list may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Stands for a missing document id: behind all others.
+NO_ID = (1 << 63) - 1
 #: Bytes of text that the numpy kernels handle at once.
 CHUNK_BYTES = 2 << 20
 
