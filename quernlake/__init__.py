@@ -1 +1 @@
-"""quernlake: an analytics engine on PySpark with versioned tables and a small SQL dialect."""
+"""quernlake: SQL analytics on Spark, with versioned tables, time travel and a compact dialect."""
