@@ -261,10 +261,15 @@ class Transaction:
         if extra := have - set(table.names):
             raise DatabaseError(f"column not found: {', '.join(sorted(extra))}")
         rows = rows.select(*[(scalar.cast(F.col(f"`{c.name}`"), c.kind) if c.name in have else F.lit(None).cast(SPARK[c.kind])).alias(c.name) for c in table.columns])
-        rows, last = self._numbered(table, rows)
+        keys = table.unique_keys()
+        held = None
+        if keys:  # checks and the write read the rows several times: compute them once
+            held = f"data/staged-{uuid.uuid4().hex}"
+            rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(f"{self.store.files.root}/{held}")
+            rows = self.store.spark.read.parquet(f"{self.store.files.root}/{held}")
+        rows, last = self._numbered(name.lower(), table, rows) if table.auto else (rows.drop("_part", "_at"), 0)
         self._not_null(table, rows)
         updated = 0
-        keys = table.unique_keys()
         if keys:
             for label, key in keys:
                 if rows.dropna(subset=key).groupBy(*key).count().where("count > 1").limit(1).count():
@@ -287,28 +292,24 @@ class Transaction:
         first = uuid.uuid4().hex[:12]
         rows = rows.withColumn("_row_id", F.concat(F.lit(f"{first}-"), F.monotonically_increasing_id().cast("string")))
         n = self._stage(name, rows.withColumn("_deleted", F.lit(False)), "insert")
+        if held:
+            self.store.files.delete(held)
         return n + 2 * updated, last
 
-    def _numbered(self, table: TableSpec, rows: DataFrame) -> tuple[DataFrame, int]:
-        """Rows with their missing keys counted up without gaps, from partition counts, and the largest key."""
-        if not table.auto:
-            return rows, 0
-        path = f"{self.store.files.root}/data/staged-{uuid.uuid4().hex}"
-        rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
-        rows = self.store.spark.read.parquet(path)
+    def _numbered(self, name: str, table: TableSpec, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Staged rows with their missing keys counted up without gaps, from partition counts, and the largest key."""
         key = F.col(f"`{table.auto}`")
-        stats = {r["_part"]: r["n"] for r in rows.where(key.isNull()).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        missing = {r["_part"]: r["n"] for r in rows.where(key.isNull()).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
         top = max(table.next_id - 1, rows.agg(F.max(key)).first()[0] or 0)
-        if stats:
+        if missing:
             starts, at = {}, top
-            for p in sorted(stats):
-                starts[p], at = at, at + stats[p]
+            for p in sorted(missing):
+                starts[p], at = at, at + missing[p]
             # numbers within a partition follow its rows; each partition is numbered by itself
             nth = F.row_number().over(Window.partitionBy("_part", key.isNull()).orderBy("_at"))
             start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("_part")]
             rows = rows.withColumn(table.auto, F.coalesce(key, start + nth))
             top = at
-        name = next(k for k, t in self.manifest().tables.items() if t.columns[0].physical == table.columns[0].physical)
 
         def raise_next(m: Manifest) -> None:
             if name in m.tables:
@@ -338,8 +339,10 @@ class Transaction:
         return self._stage(name, new.withColumn("_deleted", F.lit(False)), "change")
 
     def remove(self, name: str, rows: DataFrame) -> int:
-        """Rows (with ``_row_id`` and all columns) that go."""
-        return self._stage(name, rows.withColumn("_deleted", F.lit(True)), "change")
+        """The rows of some ``_row_id`` go; only their ids are written."""
+        table = self.manifest().table(name)
+        gone = rows.select("_row_id", F.lit(True).alias("_deleted"), *[F.lit(None).cast(SPARK[c.kind]).alias(c.name) for c in table.columns])
+        return self._stage(name, gone, "change")
 
     def update(self, name: str, assignments: dict[str, Column], condition: Column | None = None) -> int:
         table = self.manifest().table(name)
@@ -407,3 +410,19 @@ def compact(store: Store, name: str) -> int:
     if not store.publish(now):
         raise ConflictError(f"{name}: changed during compaction")
     return now.version
+
+
+def vacuum(store: Store, keep: int = 1) -> int:
+    """Delete all but the last manifests, and the data that none of these names; ``AS OF`` reads only need the latest.
+
+    No transaction may be open. Returns the number of folders deleted.
+    """
+    versions = sorted(int(n.removesuffix(".json")) for n in store.files.names("manifests") if n.endswith(".json"))
+    kept = versions[-max(1, keep) :]
+    used = {e["path"] for v in kept for t in Manifest.load(store.files.read(f"manifests/{v:012d}.json")).tables.values() for e in t.entries}
+    unused = [n for n in store.files.names("data") if f"data/{n}" not in used]
+    for v in versions[: -len(kept)] if kept else []:
+        store.files.delete(f"manifests/{v:012d}.json")
+    for n in unused:
+        store.files.delete(f"data/{n}")
+    return len(unused)
