@@ -51,6 +51,23 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
+def known_id(c: Column) -> Column:
+    """A long id for Python code; a missing one becomes NO_ID, so that pandas keeps whole numbers."""
+    return F.coalesce(c.cast("long"), F.lit(NO_ID))
+
+
+def id_or_null(name: str) -> Column:
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- vectorised hashing -------------------------------------------------------------------------
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)

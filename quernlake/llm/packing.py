@@ -13,6 +13,7 @@ rows are packed each; an empty table gives an empty result; extra columns are ig
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,65 +23,100 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import chunks, stored, text_bytes
+from quernlake.llm.common import chunks, id_or_null, known_id, stored, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: New words that are encoded in one call.
+MARKED_WORDS = 20_000
+#: Lower-case Latin-1 letters in UTF-8, then ASCII marks that begin no contraction and no special token.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{-~]*)")
+#: Byte-level vocabularies write bytes that aren't printable as characters from 256 on.
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_BYTE_CHARS[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
+_BYTE_CHARS[32] = 32
 
 
 class WordEncoder:
     """Ids of texts, by way of the ids of their words between ASCII white space, which no token crosses."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special]
+        self.mark_id, self.mark = special[-1] if special else (-1, "")
+        # plain words need neither normalisation nor the pattern: each is one piece, and its last token ends a word
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {b" ": 0}  # no word is a blank: it stands for the end
-        self.flat, self.used = np.full(1 << 16, self.end_id, np.uint32), 1
-        self.begin, self.length = [0], [1]
-
-    def add(self, word: bytes, ids) -> None:
-        n = len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.code[word] = len(self.begin)
-        self.begin.append(self.used)
-        self.length.append(n)
-        self.used += n
-
-    def ids(self, word: bytes) -> np.ndarray:
-        k = self.code[word]
-        return self.flat[self.begin[k] : self.begin[k] + self.length[k]]
-
-    def learn(self, new: set[bytes]) -> None:
-        # a mark after an ASCII letter is always a token of its own, so such words share the ids of their stems
-        tails = {w for w in new if w[-1:] in b".,!?;:" and len(w) > 1 and w[-2:-1].isalpha() and w.find(b"<|") < 0}
-        whole = (new - tails) | {w[:-1] for w in tails} | {w[-1:] for w in tails}
-        whole = [w for w in whole if w not in self.code]
-        for w, e in zip(whole, self.tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in whole], add_special_tokens=False), strict=True):
-            self.add(w, e.ids)
-        for w in tails:
-            self.add(w, np.concatenate([self.ids(w[:-1]), self.ids(w[-1:])]))
+        self.flat, self.begin = np.full(1, self.end_id, np.uint32), np.array([0, 1], np.int64)
+
+    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        # a special token between words keeps them apart in one call, and its id tells where each ends
+        if self.mark and not any("<" in t for t in texts):
+            ids = np.array(self.tok.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(texts) - 1:
+                return ids[ids != self.mark_id], np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+        each = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64)
+
+    def _plain(self, found: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are letters and then marks, given as these two pieces."""
+        text = b" ".join([a + b" " + b if b else a for a, b in found])
+        text = _BYTE_CHARS[np.frombuffer(text, np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        pieces = np.cumsum([2 if b else 1 for _, b in found])
+        return ids, np.diff(np.flatnonzero(self.ends[ids])[pieces - 1] + 1, prepend=0)
+
+    def learn(self, new: list[bytes]) -> None:
+        plain, found, rest, odd = [], [], [], []
+        for w in new:
+            if m := _PLAIN.fullmatch(w):
+                plain.append(w)
+                found.append(m.groups())
+            else:
+                (odd if b"<" in w else rest).append(w)
+        if plain:
+            self._add(plain, *self._plain(found))
+        for i in range(0, len(rest), MARKED_WORDS):
+            self._add(rest[i : i + MARKED_WORDS], *self._marked(rest[i : i + MARKED_WORDS]))
+        if odd:
+            self._add(odd, *self._marked(odd))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        first = len(self.begin) - 1
+        self.code.update(zip(words, range(first, first + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and where each text begins."""
         if len(self.code) > CACHE_WORDS:
             self.clear()
-        lists = [(t.lower() if b"<|" not in t else t).split() for t in texts]
-        flat = [w for ws in lists for w in (*ws, b" ")]
-        if new := set(flat) - self.code.keys():
-            self.learn(new)
+        flat: list[bytes] = []
+        counts = []
+        for t in texts:
+            ws = (t.lower() if b"<|" not in t else t).split()
+            flat += ws
+            flat.append(b" ")
+            counts.append(len(ws) + 1)
+        if new := set(flat).difference(self.code):
+            self.learn(list(new))
         codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        n, at = np.array(self.length, np.int64)[codes], np.array(self.begin, np.int64)[codes]
+        at, n = self.begin[codes], np.diff(self.begin)[codes]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(ws) + 1 for ws in lists]) - 1
-        return ids, np.concatenate(([0], ends[last]))
+        return ids, np.concatenate(([0], ends[np.cumsum(counts) - 1]))
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -179,7 +215,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, capacity, end_id))
+    pieces = stored(tokenised(docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, capacity, end_id))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = np.array(sorted(plan(counts, capacity)) or np.zeros((0, 6)), np.int64).reshape(-1, 6)
     salts = min(4096, max(1, sum(counts.values()) // 256))
@@ -200,4 +236,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             nth = r - row[:, 1]
             yield b[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=row[:, 4] + nth // row[:, 3], offset=row[:, 5] + nth % row[:, 3] * row[:, 0])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", id_or_null("doc_id"))
