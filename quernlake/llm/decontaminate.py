@@ -8,7 +8,8 @@ word by word at their place.
 
 Words are runs of anything but ASCII non-alphanumerics, after A-Z is lower-cased. Defined results: null and empty
 texts have no words; items without words are ignored; repeated items count once; an empty benchmark leaves all
-documents clean; ``doc_id`` names a text, and a repeated row gets a row of its own with the same figures; extra
+documents clean; ``doc_id`` names a text, and a repeated row gets a row of its own with the same figures; rows
+without an id count as one document; extra
 columns of either table are ignored.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import ascii_lower, small, stored
+from quernlake.llm.common import ascii_lower, id_or_null, known_id, small, stored
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to which the prefix index is broadcast (about 200 bytes each); more are joined by a shuffle.
@@ -65,7 +66,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
     ``spans`` lists the (start, length) of the windows found, in words; ``items`` their item ids as strings.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     windows = stored(windows_of(benchmark, width))
     n = windows.count()
     index = stored(prefix_index(docs, windows))
@@ -80,7 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        id_or_null("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),

@@ -6,7 +6,7 @@ digest; it keeps the smallest identifier in the index's order (``keep="max"`` re
 number of rows. Digests with several rows are hits, whose texts are then compared byte for byte.
 
 Defined results: a null text counts as empty, so nulls and empty texts form one group; repeated ids are rows
-of their own in a group's size; extra columns are ignored; an empty table gives an empty result.
+of their own in a group's size; a row without an id stays only if no row of its group has one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,6 +77,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep_id == F.col("doc_id")).alias("kept"),
+        keep_id.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

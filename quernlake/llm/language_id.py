@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.common import chunks, crc_mod, text_bytes
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.char_length("text") - WINDOW, F.lit(1))) + 1
     rows = sampled(known, "lang", sample, "doc_id", 11).select("doc_id", "lang", F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("text")).collect()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["text"]))
+    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
@@ -158,34 +158,39 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
 _tables: dict[bytes, list] = {}
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred and score, from a column ``text`` and a flag ``letter``."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def score_batch(net: ByteCnn | None, values: pd.Series, letter: pd.Series) -> pd.DataFrame:
+    """lang_pred and score of some texts; those without letters are ``und``."""
+    pred, score = ["und"] * len(values), np.zeros(len(values))
+    if net:
+        key = net.dense.tobytes()
+        if key not in _tables:
+            _tables.clear()
+            _tables[key] = net.tables()
+        at = np.flatnonzero(letter.fillna(False).to_numpy(bool))
+        texts = text_bytes(values.iloc[at])
+        for lo, hi in chunks(texts):
+            x, owner = window_matrix(texts[lo:hi])
+            p = net.probabilities(x, _tables[key])
+            total = np.stack([np.bincount(owner, p[:, k]) for k in range(p.shape[1])], axis=1) / np.bincount(owner)[:, None]
+            for i, k, s in zip(at[lo:hi], total.argmax(axis=1), total.max(axis=1), strict=True):
+                pred[i], score[i] = net.langs[k], min(1.0, s)
+    return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if net:
-            key = net.dense.tobytes()
-            if key not in _tables:
-                _tables.clear()
-                _tables[key] = net.tables()
-        for b in batches:
-            pred, score = ["und"] * len(b), np.zeros(len(b))
-            at = np.flatnonzero(b["letter"].fillna(False).to_numpy(bool)) if net else []
-            texts = text_bytes(b["text"].iloc[at])
-            for lo, hi in chunks(texts):
-                x, owner = window_matrix(texts[lo:hi])
-                p = net.probabilities(x, _tables[key])
-                total = np.stack([np.bincount(owner, p[:, k]) for k in range(p.shape[1])], axis=1) / np.bincount(owner)[:, None]
-                for i, k, s in zip(at[lo:hi], total.argmax(axis=1), total.max(axis=1), strict=True):
-                    pred[i], score[i] = net.langs[k], min(1.0, s)
-            yield b[keep].assign(lang_pred=pred, score=score)
 
-    return docs.mapInPandas(run, f"{schema}, lang_pred string, score double")
+def predicted(net: ByteCnn | None, text: Column) -> Column:
+    """A struct of lang_pred and score for a column of texts; other columns never reach Python."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for values, letter in batches:
+            yield score_batch(net, values, letter)
+
+    return run(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Held-out rows are never learned from."""
-    out = crc_mod(F.col(id_col), folds) == held_out
+    out = F.coalesce(crc_mod(F.col(id_col), folds) == held_out, F.lit(False))
     net = fit(docs.where(~out), id_col, text_col, lang_col)
-    seen = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return predict(seen, net, ["doc_id", "held_out"])
+    seen = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predicted(net, F.col(text_col)).alias("p"))
+    return seen.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -2,9 +2,9 @@
 
 Every line of a file is a possible header: its terms, weighted by TF-IDF, are compared with all templates, and the
 best line above ``least`` names the file's licence. A file is a licence file if its name says so (``LICENSE``,
-``COPYING``, ...) and it has a header, or if its whole text, taken as one vector, reaches ``whole_least``; it licenses its directory. Files without
-a licence of their own take that of the nearest directory above them that has one: each file lists its ancestors, a
-few rows as deep as its path, and joins the licensed directories by path.
+``COPYING``, ...) and it has a header, or if its whole text, taken as one vector, reaches ``whole_least``; it
+licenses its directory. Files without a licence of their own take that of the nearest directory above them that has
+one: each directory lists its ancestors, a few rows as deep as its path, and joins the licensed ones by path.
 
 Document frequencies are those of all lines of the corpus, for the terms of the templates (a fixed list); every other
 term weighs as one that occurs once, so a line of other words stays far from every template. The rows that weigh the
