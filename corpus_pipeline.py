@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import shared_dir
+from quernlake.llm.common import known_id, shared_dir, unused
 from quernlake.llm.decontaminate import decontaminate
-from quernlake.llm.language_id import fit, predict
+from quernlake.llm.language_id import fit, predicted
 from quernlake.llm.line_dedup import dedup_lines
 from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack
@@ -28,8 +28,9 @@ NEAR_PERCENT = 80
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; those without letters or with a low score go."""
     net = fit(docs, "doc_id", "text", "lang")
-    scored = docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return predict(scored, net, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    p = unused("_language", docs.columns)
+    scored = docs.withColumn(p, predicted(net, F.col("text")))
+    return scored.where((F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +40,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    kept = near_dedup(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The first document of each group of near-duplicates; rows without an id are one document."""
+    kept = near_dedup(docs, percent=NEAR_PERCENT).where("kept").select(known_id(F.col("doc_id")).alias("id")).distinct()
+    return docs.join(kept, known_id(docs["doc_id"]) == kept["id"], "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(marked.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = marked.where("contaminated").select(known_id(F.col("doc_id")).alias("id"))
+    return docs.join(gone, known_id(docs["doc_id"]) == gone["id"], "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
