@@ -1,16 +1,20 @@
 """Near-duplicate detection with HyperMinHash sketches, banding and verification on full shingle sets.
 
 A document's set holds its distinct five-word shingles. Equal sets are collapsed to their smallest document first, so
-copies cost one row. A sketch has 192 registers; each keeps the leading-zero count and ten mantissa bits of the
+copies cost one row. A sketch has about 180 registers; each keeps the leading-zero count and ten mantissa bits of the
 smallest hash in its bucket. Small sets throw every shingle several times (a power of two that depends on the set's
 size), so registers are filled at any size; a document near a change of that power is sketched for both, so that both
-sides of any possible link share one. Thirty-two bands of six registers give candidates: a pair at the threshold is
-missed with probability (1 - 0.85**6)**32, below one in a million.
+sides of any possible link share one. Bands of six registers give candidates, so many bands that a pair at the
+threshold is missed with a chance of one in a million.
 
 Buckets of up to 16 sets give all their pairs. In larger ones hubs are compared with the sets that aren't in their
-component yet, for a few rounds of different hubs; what then still spans components is compared in full, across
-components only. No pair within a component is needed to know the component, and no other pair is left out. Pairs
-first pass the length bound and the collision-corrected estimate of the sketches (six standard errors below the
+component yet, for rounds of different hubs while they help. No pair within a component is needed to know the
+component. What still spans components are sets of a dense group that resemble many others without being linked to
+them; they are sketched again with longer bands (and more of them, for the same risk), in which such sets part, and
+the same is done with their buckets. What the longest bands leave in large buckets is compared in full, across
+components only; no pair is left out.
+
+Pairs first pass the length bound and the collision-corrected estimate of the sketches (six standard errors below the
 threshold), then the exact intersection of the full sets.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words than five form
@@ -19,22 +23,61 @@ one shingle; ``doc_id`` names a text, and a repeated row gets a row with the sam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import chunks, mix64, prefix_hash, small, span_hash, stored, text_bytes, words
+from quernlake.llm.common import NO_ID, chunks, id_or_null, known_id, mix64, prefix_hash, small, span_hash, stored, text_bytes, words
 from quernlake.llm.components import components
 
-REGISTERS, BANDS, BALLS, MANTISSA = 192, 32, 768, 10
-SMALL_BUCKET, ROUNDS = 16, 3
+MANTISSA, SMALL_BUCKET, ROUNDS = 10, 16, 3
+#: Documents, and bytes of their sketches or texts, up to which one side of the pairs is broadcast.
+MOST_HEADS, HEAD_BYTES = 20_000, 8 << 20
 EMPTY = np.uint16(0xFFFF)
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketches array<struct<t:int,regs:binary,keys:array<long>>>"
+
+
+@dataclass(frozen=True)
+class Bands:
+    """Registers in ``bands`` of ``rows``. Each register gets about four throws."""
+
+    bands: int
+    rows: int
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+    def throws(self, n: int) -> int:
+        """How often each of n shingles is thrown: the least power of two that makes enough throws."""
+        return 1 << max(0, (-(-4 * self.registers // n) - 1).bit_length())
+
+    def both(self, n: int, percent: int) -> set[int]:
+        """The numbers of throws under which a set of n shingles is sketched."""
+        return {self.throws(max(1, -(-n * percent // 100))), self.throws(n * 100 // percent)}
+
+    def sketch(self, shingles: np.ndarray, t: int) -> np.ndarray:
+        balls = mix64((shingles[None, :] + (np.arange(1, t + 1, dtype=np.uint64) * _ODD[20])[:, None]).ravel())
+        least = np.full(self.registers, np.uint64((1 << 64) - 1))
+        np.minimum.at(least, (((balls >> np.uint64(32)) * np.uint64(self.registers)) >> np.uint64(32)).astype(np.int64), mix64(balls) >> np.uint64(11))
+        frac, exp = np.frexp(np.minimum(least, np.uint64((1 << 53) - 1)).astype(np.float64))
+        regs = (((53 - exp) << MANTISSA) | np.maximum(0, (frac * 2 - 1) * (1 << MANTISSA)).astype(np.int64)).astype(np.uint16)
+        return np.where(least == np.uint64((1 << 64) - 1), EMPTY, regs)
+
+    def keys(self, regs: np.ndarray, t: int) -> np.ndarray:
+        total = (regs.reshape(self.bands, self.rows).astype(np.uint64) * _ODD[30 : 30 + self.rows]).sum(axis=1, dtype=np.uint64)
+        return mix64(total + np.arange(self.bands, dtype=np.uint64) * _ODD[50] + np.full(self.bands, t, np.uint64) * _ODD[51]).view(np.int64)
+
+
+def levels(percent: int) -> list[Bands]:
+    """Bands of growing length, so many that each level misses a pair at the threshold with a chance of one in a million."""
+    return [Bands(math.ceil(math.log(1e-6) / math.log1p(-((percent / 100) ** rows))), rows) for rows in (6, 12, 20)]
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
@@ -56,26 +99,6 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def throws(n: int) -> int:
-    """How often each of n shingles is thrown: the least power of two that makes at least BALLS throws."""
-    return 1 << max(0, (-(-BALLS // n) - 1).bit_length())
-
-
-def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
-    balls = mix64((shingles[None, :] + (np.arange(1, t + 1, dtype=np.uint64) * _ODD[20])[:, None]).ravel())
-    least = np.full(REGISTERS, np.uint64((1 << 64) - 1))
-    np.minimum.at(least, (((balls >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)).astype(np.int64), mix64(balls) >> np.uint64(11))
-    frac, exp = np.frexp(np.minimum(least, np.uint64((1 << 53) - 1)).astype(np.float64))
-    regs = (((53 - exp) << MANTISSA) | np.maximum(0, (frac * 2 - 1) * (1 << MANTISSA)).astype(np.int64)).astype(np.uint16)
-    return np.where(least == np.uint64((1 << 64) - 1), EMPTY, regs)
-
-
-def band_keys(regs: np.ndarray, t: int) -> np.ndarray:
-    rows = REGISTERS // BANDS
-    total = (regs.reshape(BANDS, rows).astype(np.uint64) * _ODD[30 : 30 + rows]).sum(axis=1, dtype=np.uint64)
-    return mix64(total + np.arange(BANDS, dtype=np.uint64) * _ODD[40] + np.full(BANDS, t, np.uint64) * _ODD[41]).view(np.int64)
-
-
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketches (rows), corrected for registers that agree by chance."""
     chance = 0.6 / (1 << MANTISSA)
@@ -83,107 +106,161 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, the size and two sums of each set, and the keys of its bands."""
+    bands = levels(percent)[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
+                keys = [bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)] if len(s) else []
+                a, c = (mix64(s * x).sum(dtype=np.uint64).view(np.int64) for x in _ODD[52:54])
+                rows.append((doc, len(s), int(a), int(c), np.concatenate(keys) if keys else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+
+
+def finer_keys(docs: DataFrame, percent: int, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
-                n, out = len(s), []
-                if n:
-                    for t in {throws(max(1, -(-n * percent // 100))), throws(n * 100 // percent)}:
-                        regs = sketch(s, t)
-                        out.append((t, regs.tobytes(), band_keys(regs, t)))
-                a, c = (mix64(s * x).sum(dtype=np.uint64).view(np.int64) for x in _ODD[50:52])
-                rows.append((doc, n, int(a), int(c), out))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "sketches"])
+                rows.append((doc, np.concatenate([bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)]) if len(s) else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "keys"])
 
-    return docs.mapInPandas(run, _SKETCH)
+    return docs.mapInPandas(run, "doc_id long, keys array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, t and registers of each sketch of the first level."""
+    bands = levels(percent)[0]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "members": [s.tobytes() for s in shingle_sets(text_bytes(b["text"]))]})
+            rows = []
+            for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
+                rows += [(doc, len(s), t, bands.sketch(s, t).tobytes()) for t in bands.both(len(s), percent)]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "t", "regs"])
 
-    return docs.mapInPandas(run, "doc_id long, members binary")
+    return docs.mapInPandas(run, "doc_id long, n long, t int, regs binary")
 
 
 class _Verifier:
-    def __init__(self, sketches: DataFrame, sets: DataFrame, percent: int):
-        self.sketches, self.sets, self.percent = sketches, sets, percent
+    """Confirms candidate pairs, from the sketches and texts of all documents that may be in one."""
+
+    def __init__(self, sketches: DataFrame, texts: DataFrame, percent: int):
+        self.sketches, self.texts, self.percent = sketches, texts, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, t) whose full sets reach the threshold, as (a, b)."""
-        percent = self.percent
+        """The pairs (a, b) whose full sets reach the threshold."""
+        percent, width = self.percent, levels(self.percent)[0].registers
         p = percent / 100
-        least = p - 6 * (p * (1 - p) / REGISTERS) ** 0.5
+        least = p - 6 * (p * (1 - p) / width) ** 0.5
 
         def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 if len(x):
-                    a, b = (np.frombuffer(b"".join(x[c]), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+                    a, b = (np.frombuffer(b"".join(x[c]), np.uint16).reshape(-1, width) for c in ("regs_a", "regs_b"))
                     x = x[estimate(a, b) >= least]
                 yield x[["a", "b"]]
 
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
-                keep = []
-                for i, j in zip(x["set_a"], x["set_b"], strict=True):
-                    i, j = np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64)
+                keep, heads = [], {}
+                for a, i, j in zip(x["a"], x["text_a"], shingle_sets(text_bytes(x["text_b"])), strict=True):
+                    if a not in heads:  # hubs come again and again
+                        heads[a] = next(shingle_sets(text_bytes([i])))
+                    i = heads[a]
                     both = len(np.intersect1d(i, j, assume_unique=True))
                     keep.append(100 * both >= percent * (len(i) + len(j) - both))
                 yield x.loc[np.array(keep, bool), ["a", "b"]]
 
-        side = lambda c: self.sketches.select(F.col("doc_id").alias(c), "t", F.col("regs").alias(f"regs_{c}"))
-        near = pairs.join(side("a"), ["a", "t"]).join(side("b"), ["b", "t"]).mapInPandas(likely, "a long, b long").distinct()
-        side2 = lambda c: self.sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"set_{c}"))
-        return stored(near.join(side2("a"), "a").join(side2("b"), "b").mapInPandas(exact, "a long, b long"))
+        pairs = stored(pairs.select("a", "b").distinct())
+        near = pairs.join(self._heads(self.sketches, pairs), "a").join(self._side(self.sketches, "b"), "b")
+        near = near.where(f"t_a = t_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        near = stored(near.mapInPandas(likely, "a long, b long").distinct())
+        both = near.join(self._side(self.texts, "b"), "b").join(self._heads(self.texts, near), "a")
+        return stored(both.mapInPandas(exact, "a long, b long").distinct())
+
+    @staticmethod
+    def _side(table: DataFrame, c: str) -> DataFrame:
+        return table.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "doc_id"])
+
+    def _heads(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Rows of the documents on side a: few of them (hubs) are broadcast if their size allows, others are shuffled."""
+        side = self._side(table, "a")
+        heads = pairs.select("a").distinct()
+        if heads.limit(MOST_HEADS + 1).count() > MOST_HEADS:
+            return side
+        heads = stored(side.join(F.broadcast(heads), "a", "left_semi"))
+        size = heads.agg(F.sum(F.octet_length(heads.columns[-1]))).first()[0] or 0
+        return F.broadcast(heads) if size <= HEAD_BYTES else side
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, doc_id, size of the buckets with several documents."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stored(rows.join(size, "key"))
 
 
-def _ordered(p: DataFrame, percent: int) -> DataFrame:
-    lengths = F.lit(100) * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y")
-    return p.where(lengths & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "t").distinct()
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """key, doc_id, size, label: the component of each document, joined once for each document."""
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "size")).alias("keys"))  # as many as bands
+    roots = components(links)
+    held = held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "keys")
+    return held.select("doc_id", "label", F.explode("keys").alias("k")).select("k.key", "doc_id", "k.size", "label")
 
 
 def _crossed(rows: DataFrame) -> DataFrame:
-    """key, x, n_x, label_x, y, n_y, label_y, t of the two sides of a bucket."""
-    side = lambda c: rows.select("key", "t", F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"))
-    return side("x").join(side("y").drop("t"), "key").where("x < y and label_x <> label_y")
+    """Pairs of different components in one bucket."""
+    side = lambda c, label: rows.select("key", F.col("doc_id").alias(c), F.col("label").alias(label))
+    return side("a", "la").join(side("b", "lb"), "key").where("a < b and la <> lb").select("a", "b")
+
+
+def _by_hubs(rows: DataFrame, links: DataFrame, check: _Verifier) -> tuple[DataFrame, DataFrame | None]:
+    """Links after rounds of hubs in large buckets, and the rows (with labels) of buckets that still span components."""
+    left, r = 0, 0
+    while True:
+        each = _labelled(rows, links)
+        # hubs: the smallest first, then others
+        hub = F.min(F.struct(F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r)), F.col("doc_id").alias("a"), F.col("label").alias("la")))
+        spans = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub")).where("lo <> hi")
+        rows = stored(each.join(spans.select("key", "hub"), "key"))
+        count = rows.count()
+        if not count:
+            return links, None
+        if r >= ROUNDS and count > 0.7 * left:
+            return links, rows.drop("hub")
+        # one hub for each document in a round; its other buckets wait for the next
+        pairs = rows.where("label <> hub.la").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("hub")).select("hub.a", "b")
+        links = stored(links.union(check.links(pairs)).distinct())
+        rows, left, r = rows.select("key", "doc_id", "size"), count, r + 1
 
 
 def near_links(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between documents of different sets whose components are those of all pairs at the threshold."""
-    rows = table.select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "n_shingles", F.col("s.t").alias("t"), F.explode("s.keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = stored(rows.join(shared, "key"))
+    rows = _shared(table.select(F.explode("keys").alias("key"), "doc_id"))
     needed = stored(rows.select("doc_id").distinct())
     n_needed = needed.count()
-    sets = stored(full_sets(docs.join(small(needed, n_needed), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n_needed else docs.limit(0)))
-    sketches = stored(table.join(small(needed, n_needed), "doc_id", "left_semi").select("doc_id", F.explode("sketches").alias("s")).select("doc_id", "s.t", "s.regs").dropDuplicates(["doc_id", "t"]))
-    check = _Verifier(sketches, sets, percent)
-    few = rows.where(F.col("size") <= SMALL_BUCKET).withColumn("label", F.col("doc_id"))
-    links = check.links(_ordered(_crossed(few), percent))
-    many = rows.where(F.col("size") > SMALL_BUCKET)
-    for r in range(ROUNDS + 1):
-        if many.isEmpty():
-            break
-        roots = components(links)
-        labelled = many.join(roots, many["doc_id"] == roots["node"], "left").select(*many.columns, F.coalesce("root", "doc_id").alias("label"))
-        # hubs: the smallest first, then others; the last round compares whatever still spans components
-        hub = F.min(F.struct(F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r)), F.col("doc_id").alias("x"), F.col("n_shingles").alias("n_x"), F.col("label").alias("label_x")))
-        spans = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub")).where("lo <> hi")
-        open_rows = stored(labelled.join(spans.select("key", "hub"), "key"))
-        if r < ROUNDS:
-            pairs = open_rows.where("label <> hub.label_x").select(F.col("hub.x").alias("x"), F.col("hub.n_x").alias("n_x"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("n_y"), "t")
-        else:
-            pairs = _crossed(open_rows)
-        links = stored(links.union(check.links(_ordered(pairs, percent))).distinct())
-        many = open_rows.drop("hub", "label")
-    return links
+    texts = stored(docs.join(small(needed, n_needed), "doc_id", "left_semi") if n_needed else docs.limit(0))
+    check = _Verifier(stored(signed(texts, percent)), texts, percent)
+    links = check.links(_crossed(rows.where(F.col("size") <= SMALL_BUCKET).withColumn("label", F.col("doc_id"))))
+    for bands in levels(percent)[1:]:
+        links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
+        if dense is None:
+            return links
+        ids = stored(dense.select("doc_id").distinct())
+        again = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rows = _shared(finer_keys(again, percent, bands).select(F.explode("keys").alias("key"), "doc_id"))
+        links = stored(links.union(check.links(_crossed(_labelled(rows.where(F.col("size") <= SMALL_BUCKET), links)))).distinct())
+    links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
+    return links if dense is None else stored(links.union(check.links(_crossed(dense))).distinct())
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest document reachable), kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     table = stored(sketched(docs, percent))
     sets = ["n_shingles", "set_a", "set_b"]
     firsts = table.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first"))
@@ -192,4 +269,4 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     roots = components(near_links(docs, table.join(leaders, "doc_id", "left_semi"), percent))
     root = F.coalesce("root", "first")
     out = member.join(roots, member["first"] == roots["node"], "left")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
+    return out.select(id_or_null("doc_id"), "n_shingles", F.when(root != NO_ID, root).alias("component_id"), (root == F.col("doc_id")).alias("kept"))
