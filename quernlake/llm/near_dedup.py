@@ -11,7 +11,8 @@ Buckets of up to 16 sets give all their pairs. In larger ones hubs are compared
 component yet, for rounds of different hubs while they help. No pair within a component is needed to know the
 component. What still spans components are sets of a dense group that resemble many others without being linked to
 them; they are sketched again with longer bands (and more of them, for the same risk), in which such sets part, and
-the same is done with their buckets. What the longest bands leave in large buckets is compared in full, across
+the same is done with their buckets; pairs there must also agree in enough of 256 bits of their registers (five
+standard errors below what the threshold expects). What the longest bands leave in large buckets is compared in full, across
 components only; no pair is left out.
 
 Pairs first pass the length bound and the collision-corrected estimate of the sketches (six standard errors below the
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from quernlake.llm.common import NO_ID, chunks, id_or_null, known_id, mix64, prefix_hash, small, span_hash, stored, text_bytes, words
 from quernlake.llm.components import components
 
-MANTISSA, SMALL_BUCKET, ROUNDS = 10, 16, 3
+MANTISSA, SMALL_BUCKET, ROUNDS, SIGN = 10, 16, 3, 256
 #: Documents, and bytes of their sketches or texts, up to which one side of the pairs is broadcast.
 MOST_HEADS, HEAD_BYTES = 20_000, 8 << 20
 EMPTY = np.uint16(0xFFFF)
@@ -122,28 +123,35 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def finer_keys(docs: DataFrame, percent: int, bands: Bands) -> DataFrame:
+    """doc_id, keys and ``SIGN`` bits (one of each of so many registers) for each number of throws."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
-                rows.append((doc, np.concatenate([bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)]) if len(s) else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "keys"])
+                for t in bands.both(len(s), percent):
+                    regs = bands.sketch(s, t)
+                    bits = np.packbits((mix64(regs[:SIGN].astype(np.uint64) + _ODD[55]) >> np.uint64(63)).astype(np.uint8))
+                    rows.append((doc, bands.keys(regs, t), bits.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "keys", "sign"])
 
-    return docs.mapInPandas(run, "doc_id long, keys array<long>")
+    return docs.mapInPandas(run, "doc_id long, keys array<long>, sign array<long>")
 
 
 def signed(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, t and registers of each sketch of the first level."""
+    """doc_id, n, the numbers of throws t and u (0 if it is t alone) and the registers of both sketches."""
     bands = levels(percent)[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
-                rows += [(doc, len(s), t, bands.sketch(s, t).tobytes()) for t in bands.both(len(s), percent)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "t", "regs"])
+                if len(s):
+                    ts = sorted(bands.both(len(s), percent))
+                    rows.append((doc, len(s), ts[0], ts[1] if len(ts) > 1 else 0, b"".join(bands.sketch(s, t).tobytes() for t in ts)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "t", "u", "regs"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, t int, regs binary")
+    return docs.mapInPandas(run, "doc_id long, n long, t int, u int, regs binary")
 
 
 class _Verifier:
@@ -160,9 +168,19 @@ class _Verifier:
 
         def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
+                sides = []
+                for t, u, v, w, i, j in zip(x["t_a"], x["u_a"], x["t_b"], x["u_b"], x["regs_a"], x["regs_b"], strict=True):
+                    first = t in (v, w)  # the sketch of equal throws on both sides
+                    if first or u and u in (v, w):
+                        p, q = 2 * width * (not first), 2 * width * ((t if first else u) != v)
+                        sides.append((i[p : p + 2 * width], j[q : q + 2 * width]))
+                    else:
+                        sides.append((None, None))
+                alike = np.array([s[0] is not None for s in sides], bool)
+                x = x[alike]
                 if len(x):
-                    a, b = (np.frombuffer(b"".join(x[c]), np.uint16).reshape(-1, width) for c in ("regs_a", "regs_b"))
-                    x = x[estimate(a, b) >= least]
+                    i, j = (np.frombuffer(b"".join(s[k] for s in sides if s[0] is not None), np.uint16).reshape(-1, width) for k in (0, 1))
+                    x = x[estimate(i, j) >= least]
                 yield x[["a", "b"]]
 
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +196,7 @@ class _Verifier:
 
         pairs = stored(pairs.select("a", "b").distinct())
         near = pairs.join(self._heads(self.sketches, pairs), "a").join(self._side(self.sketches, "b"), "b")
-        near = near.where(f"t_a = t_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         near = stored(near.mapInPandas(likely, "a long, b long").distinct())
         both = near.join(self._side(self.texts, "b"), "b").join(self._heads(self.texts, near), "a")
         return stored(both.mapInPandas(exact, "a long, b long").distinct())
@@ -199,23 +217,31 @@ class _Verifier:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """key, doc_id, size of the buckets with several documents."""
+    """key, doc_id, size (and sign) in the buckets with several documents."""
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return stored(rows.join(size, "key"))
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """key, doc_id, size, label: the component of each document, joined once for each document."""
-    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "size")).alias("keys"))  # as many as bands
+    """``rows`` with the component of each document, which is joined once for each document."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("keys"))  # as many as bands
     roots = components(links)
     held = held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "keys")
-    return held.select("doc_id", "label", F.explode("keys").alias("k")).select("k.key", "doc_id", "k.size", "label")
+    return held.select("doc_id", "label", F.explode("keys").alias("k")).select("doc_id", "label", "k.*")
 
 
-def _crossed(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket."""
-    side = lambda c, label: rows.select("key", F.col("doc_id").alias(c), F.col("label").alias(label))
-    return side("a", "la").join(side("b", "lb"), "key").where("a < b and la <> lb").select("a", "b")
+def _crossed(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket; with signs, only those whose bits agree often enough."""
+    signs = ["sign"] if "sign" in rows.columns else []
+    side = lambda c: rows.select("key", F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"), *[F.col(x).alias(f"{x}_{c}") for x in signs])
+    wanted = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    if signs:
+        mean = (1 + percent / 100) / 2
+        most = int(SIGN * (1 - mean + 5 * (mean * (1 - mean) / SIGN) ** 0.5)) + 1
+        differ = sum((F.bit_count(F.col("sign_a")[k].bitwiseXOR(F.col("sign_b")[k])) for k in range(SIGN // 64)), F.lit(0))
+        wanted &= differ <= most
+    return side("a").join(side("b"), "key").where(wanted).select("a", "b")
 
 
 def _by_hubs(rows: DataFrame, links: DataFrame, check: _Verifier) -> tuple[DataFrame, DataFrame | None]:
@@ -235,7 +261,7 @@ def _by_hubs(rows: DataFrame, links: DataFrame, check: _Verifier) -> tuple[DataF
         # one hub for each document in a round; its other buckets wait for the next
         pairs = rows.where("label <> hub.la").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("hub")).select("hub.a", "b")
         links = stored(links.union(check.links(pairs)).distinct())
-        rows, left, r = rows.select("key", "doc_id", "size"), count, r + 1
+        rows, left, r = rows.drop("hub", "label"), count, r + 1
 
 
 def near_links(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -245,17 +271,17 @@ def near_links(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     n_needed = needed.count()
     texts = stored(docs.join(small(needed, n_needed), "doc_id", "left_semi") if n_needed else docs.limit(0))
     check = _Verifier(stored(signed(texts, percent)), texts, percent)
-    links = check.links(_crossed(rows.where(F.col("size") <= SMALL_BUCKET).withColumn("label", F.col("doc_id"))))
+    links = check.links(_crossed(rows.where(F.col("size") <= SMALL_BUCKET).withColumn("label", F.col("doc_id")), percent))
     for bands in levels(percent)[1:]:
         links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
         if dense is None:
             return links
         ids = stored(dense.select("doc_id").distinct())
         again = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        rows = _shared(finer_keys(again, percent, bands).select(F.explode("keys").alias("key"), "doc_id"))
-        links = stored(links.union(check.links(_crossed(_labelled(rows.where(F.col("size") <= SMALL_BUCKET), links)))).distinct())
+        rows = _shared(finer_keys(again, percent, bands).select(F.explode("keys").alias("key"), "doc_id", "sign"))
+        links = stored(links.union(check.links(_crossed(_labelled(rows.where(F.col("size") <= SMALL_BUCKET), links), percent))).distinct())
     links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
-    return links if dense is None else stored(links.union(check.links(_crossed(dense))).distinct())
+    return links if dense is None else stored(links.union(check.links(_crossed(dense, percent))).distinct())
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
