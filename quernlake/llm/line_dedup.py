@@ -12,7 +12,7 @@ of diagonals that the threshold leaves.
 
 Order is (doc_id, line number). A line is removed if an earlier line is equal or within one edit of it. Defined
 results: shorter and blank lines are never removed; null texts have no lines, an empty text has one blank line; ids
-name a text, and repeated rows get the same decisions each; extra columns pass ``dedup_lines`` untouched; an empty
+name a text, and repeated rows get the same decisions each; rows without an id come first and keep their lines; extra columns pass ``dedup_lines`` untouched; an empty
 table gives an empty result. Lines are told equal by MD5 and length.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import small, stored
+from quernlake.llm.common import small, stored, unused
 
 EDITS, SMALL_KEY, TERMINAL = 1, 32, 4
 ENTRY = ["key", "d", "l", "probe", "lo", "hi"]
@@ -180,12 +180,15 @@ def removed_lines(docs: DataFrame, min_chars: int = 24) -> DataFrame:
     )
 
 
-def _with_decisions(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _with_decisions(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the decisions and the text that stays, and the names of these two columns."""
+    doc, mark, rest = (unused(c, docs.columns) for c in ("_doc", "_gone", "_text"))
     view = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = stored(removed_lines(view, min_chars)).select(F.col("doc_id").alias("_doc"), F.struct("removed", "n_fuzzy", "n_links").alias("_gone"))
-    out = docs.join(gone, docs[id_col] == gone["_doc"], "left").drop("_doc")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains("_gone.removed", i), F.lit(False)))
-    return out.withColumn("_text", F.array_join(kept, "\n"))
+    gone = stored(removed_lines(view, min_chars)).select(F.col("doc_id").alias(doc), F.struct("removed", "n_fuzzy", "n_links").alias(mark))
+    # decisions grow with the documents, so both sides are shuffled at every size; hot keys can't occur among ids
+    out = docs.join(gone.hint("merge"), docs[id_col] == gone[doc], "left").drop(doc)
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains(f"{mark}.removed", i), F.lit(False)))
+    return out.withColumn(rest, F.array_join(kept, "\n")), mark, rest
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,21 +196,21 @@ def line_dedup(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", tex
 
     ``n_links`` counts the links within one edit that lines first seen in the document have to other line texts.
     """
-    x = _with_decisions(docs.select(id_col, text_col), id_col, text_col, min_chars)
+    x, mark, rest = _with_decisions(docs.select(id_col, text_col), id_col, text_col, min_chars)
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return x.select(
         F.col(id_col).alias("doc_id"),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long").alias("n_lines"),
-        number(F.when(F.col("_gone").isNotNull(), F.size("_gone.removed"))).alias("n_removed"),
-        number(F.col("_gone.n_fuzzy")).alias("n_fuzzy"),
-        number(F.col("_gone.n_links")).alias("n_links"),
-        F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-        F.col("_text").alias("kept_text"),
+        number(F.when(F.col(mark).isNotNull(), F.size(f"{mark}.removed"))).alias("n_removed"),
+        number(F.col(f"{mark}.n_fuzzy")).alias("n_fuzzy"),
+        number(F.col(f"{mark}.n_links")).alias("n_links"),
+        F.sha2(F.coalesce(rest, F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.col(rest).alias("kept_text"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines; documents of which no line is left go. Other columns stay as they are."""
-    x = _with_decisions(docs, id_col, text_col, min_chars)
-    emptied = F.col("_gone").isNotNull() & (F.size("_gone.removed") > 0) & (F.trim("_text") == "")
-    return x.where(~F.coalesce(emptied, F.lit(False))).select(*[F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    x, mark, rest = _with_decisions(docs, id_col, text_col, min_chars)
+    emptied = F.col(mark).isNotNull() & (F.size(f"{mark}.removed") > 0) & (F.trim(rest) == "")
+    return x.where(~F.coalesce(emptied, F.lit(False))).select(*[F.col(rest).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
