@@ -302,6 +302,37 @@ def test_near(docs, corpus, monkeypatch, percent, bucket):
     assert rows(near_dedup(clash(docs), percent=percent)) == near_brute(corpus, percent)
 
 
+def test_near_dense_group(spark, monkeypatch):
+    """Many documents that resemble each other without being linked: the finer bands decide."""
+    monkeypatch.setattr(near_module, "SMALL_BUCKET", 3)
+    r = random.Random(5)
+    base = [str(r.randrange(10**6)) for _ in range(120)]
+    corpus = []
+    for i in range(110):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 5, 7])):
+            w[r.randrange(len(w))] = str(r.randrange(10**6))
+        corpus.append((i + (500 if len(set(w) & set(base)) > 117 else 0), " ".join(w)))
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert rows(near_dedup(docs)) == near_brute(corpus, 85)
+
+
+def test_components(spark):
+    from quernlake.llm.components import components
+
+    r = random.Random(3)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(7, 7)]
+    root = {x: x for e in links for x in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = sorted((x, y) for x, y in root.items() if x != y)
+    df = spark.createDataFrame(links, "a long, b long")
+    for few in (0, 100):
+        assert sorted(map(tuple, components(df, few=few).collect())) == want
+    assert components(df.limit(0)).collect() == components(df.limit(0), few=-1).collect() == []
+
+
 def test_near_edges(spark, docs):
     assert rows(near_dedup(docs.limit(0))) == []
     x = spark.createDataFrame([(5, "a b"), (5, "a b"), (7, "A  B"), (None, "a b"), (9, None)], "doc_id long, text string")
