@@ -22,6 +22,8 @@ from quernlake.llm.common import shared_dir, text_bytes
 
 #: Text that a bucket of the block table and a range of the key space stand for; Spark allows 100,000 buckets.
 BUCKET_BYTES, RANGE_BYTES, MOST_BUCKETS = 64 << 20, 8 << 20, 100_000
+#: Documents that reach Python at once while blocks are made.
+BATCH_ROWS = 500
 REQUEST = "part int, block long, keys binary, counts binary"
 REPLY = "block long, kind int, part int, data binary, total long, distinct long"
 
@@ -81,10 +83,17 @@ def block_table(docs: DataFrame, size: int, block_bytes: int, encode: Callable[[
             yield flush()
 
     buckets = min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
-    name = f"blocks_{uuid.uuid4().hex}"
-    made = docs.mapInPandas(run, f"block long, {schema}")
-    made.write.format("parquet").option("path", shared_dir(docs.sparkSession)).bucketBy(buckets, "block").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    name, spark = f"blocks_{uuid.uuid4().hex}", docs.sparkSession
+    made = docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(run, f"block long, {schema}")
+    # small batches: Python holds a block and little more
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        made.write.format("parquet").option("path", shared_dir(spark)).bucketBy(buckets, "block").saveAsTable(name)
+    finally:
+        spark.conf.set(key, before)
+    return spark.table(name)
 
 
 def over_blocks(blocks: DataFrame, replies: DataFrame | None, step: Callable, schema: str) -> DataFrame:

@@ -21,7 +21,6 @@ are told equal by their bytes. Equal texts are told by SHA-256.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, planes, text_size, totals
-from quernlake.llm.common import NO_ID, mix64, powers, prefix_hash, small, span_hash, stored
+from quernlake.llm.common import NO_ID, id_or_null, known_id, mix64, powers, prefix_hash, small, span_hash, stored
 from quernlake.llm.suffix_sort import window_classes
 
-GRAM, HOT, BLOCK_BYTES = 18, 4096, 4 << 20
+GRAM, HOT, BLOCK_BYTES = 18, 4096, 1 << 20
+#: Tasks that compare windows, for each range of keys: windows take more room than keys.
+FINER = 4
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 SENT = "part int, block long, data binary"
 FOUND = "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -210,7 +211,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     if not GRAM <= length <= 120:
         raise ValueError(f"length is {GRAM} to 120 bytes, not {length}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     rows = stored(docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -222,7 +223,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     blocks = block_table(single.select("doc_id", "digest", "text"), size, BLOCK_BYTES, _encode, "ids binary, lens binary, digests binary, text binary")
     asked = over_blocks(blocks, None, lambda row, _: _requests(row, length, ranges), REQUEST)
     held = stored(totals(asked, 0, np.int32))
-    sent = over_blocks(blocks, held, lambda row, r: _candidates(row, r, length, ranges, hot), SENT)
+    sent = over_blocks(blocks, held, lambda row, r: _candidates(row, r, length, FINER * ranges, hot), SENT)
     lower = stored(sent.groupBy("part").applyInPandas(lambda x: _compared(x, length), "block long, kind int, part int, data binary"))
     found = over_blocks(blocks, lower, lambda row, r: _result(row, r, length, keep_bytes), FOUND).dropDuplicates(["digest"])
 
@@ -232,7 +233,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     empty = hashlib.sha256(b"").hexdigest()
     kept = [own_or("kept", F.lit(b""), F.col("kept")).alias("kept")] if keep_bytes else []
     return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+        id_or_null("doc_id"),
         "n_bytes",
         own_or("n_removed", F.col("n_bytes"), F.lit(0)).cast("long").alias("n_removed"),
         own_or("n_spans", F.lit(1), F.lit(0)).cast("long").alias("n_spans"),

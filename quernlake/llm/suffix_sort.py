@@ -22,14 +22,14 @@ def _words(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _common(buf: np.ndarray, a: np.ndarray, b: np.ndarray, start: int, depth: int) -> np.ndarray:
     """Length of the common prefix of the windows at a and b, which agree up to ``start``; at most ``depth``."""
-    out = np.full(len(a), depth, np.int64)
-    todo = np.arange(len(a))
+    out = np.full(len(a), depth, np.int16)
+    todo = np.arange(len(a), dtype=np.int32)
     for at in range(start, depth, 8):
         at = min(at, depth - 8)  # the last word overlaps the one before it
         x = _words(buf, a[todo] + at) ^ _words(buf, b[todo] + at)
         differ = x != 0
         y = x[differ]
-        same = np.zeros(len(y), np.int64)
+        same = np.zeros(len(y), np.int16)
         for k in range(1, 8):
             same += (y >> np.uint64(64 - 8 * k)) == 0
         out[todo[differ]] = at + same
@@ -50,32 +50,38 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarra
     """
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, bool)
+    at = at.astype(np.int32)  # a buffer of windows is far below 2 GB
     w = _words(buf, at)
-    order = np.argsort(w, kind="stable")
+    order = np.argsort(w, kind="stable").astype(np.int32)
     new = _changes(w[order])
+    del w
     shallow = max(8, min(SHALLOW, depth - depth % 8))
     for d in range(8, shallow, 8):
         single = new & np.append(new[1:], True)
         sub = np.flatnonzero(~single)
         if not len(sub):
             return order, new
-        group = np.cumsum(new)[sub]
+        group = np.cumsum(new, dtype=np.int32)[sub]
         w = _words(buf, at[order[sub]] + d)
-        perm = np.lexsort((w, group))
+        perm = np.lexsort((w, group)).astype(np.int32)
         order[sub] = order[sub][perm]
         new[sub] = _changes(group, w[perm])
+        del w, perm, group
     sub = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(sub) and shallow < depth:
-        group = np.cumsum(new[sub]) - 1
+        group = np.cumsum(new[sub], dtype=np.int32) - 1
         first = np.flatnonzero(new[sub])
         lead, own = at[order[sub[first]]][group], at[order[sub]]
         lcp = _common(buf, lead, own, shallow, depth)
         same = lcp >= depth
         clip = np.minimum(lcp, depth - 1)
-        branch, stem = buf[own + clip].astype(np.int64), buf[lead + clip]
+        branch, stem = buf[own + clip], buf[lead + clip]
+        del lead, own, clip
         # below the path the shallow branches come first, above it the deep ones
-        key = np.where(same, _EQUAL, np.where(branch < stem, lcp << 8, _EQUAL + ((depth + 1 - lcp) << 8)) + branch)
-        perm = np.argsort((group << 16) + key, kind="stable")
+        lcp = lcp.astype(np.int32)
+        key = np.where(same, np.int32(_EQUAL), np.where(branch < stem, lcp << 8, _EQUAL + ((depth + 1 - lcp) << 8)) + branch)
+        del branch, stem, lcp
+        perm = np.argsort((group.astype(np.int64) << 16) + key, kind="stable").astype(np.int32)
         order[sub] = order[sub][perm]
         group, key = group[perm], key[perm]
         new[sub] = _changes(group, key)
@@ -87,6 +93,6 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarra
 def window_classes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """For each place a number that windows of equal bytes share; numbers follow the order of the bytes."""
     order, new = suffix_order(buf, at, depth)
-    out = np.zeros(len(at), np.int64)
-    out[order] = np.cumsum(new) - 1
+    out = np.zeros(len(at), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32) - 1
     return out
