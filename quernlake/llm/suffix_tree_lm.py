@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
-from quernlake.llm.common import NO_ID, chunks, crc_mod, mix64, prefix_hash, span_hash, stored, words
+from quernlake.llm.common import chunks, crc_mod, id_or_null, known_id, mix64, prefix_hash, span_hash, stored, words
 
 DEPTH, LEAST, GAIN, WEIGHT = 2, 12, 4.0, 20.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP, _NEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC3A5C85C97CB3127)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
@@ -123,7 +123,7 @@ def _rows(row, parts) -> pd.DataFrame:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     held = F.coalesce(crc_mod(F.col(id_col).cast("long"), folds) == held_out, F.lit(False))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
+    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     size = text_size(docs)
     ranges = key_ranges(size)
     blocks = block_table(docs, size, BLOCK_BYTES, _encode, "ids binary, held binary, lens binary, vocab binary, codes binary")
@@ -161,4 +161,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return known(row, r, depth + 1).scores()
 
     out = over_blocks(blocks, replies, final, SCORES)
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_log").alias("base_score"), "score")
+    return out.select(id_or_null("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_log").alias("base_score"), "score")
