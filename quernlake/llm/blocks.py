@@ -9,11 +9,14 @@ one entry for each block, and neither keys nor totals ever meet on the driver.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +49,14 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(data, dtype), dtype=dtype)
 
 
+def released(frame: pd.DataFrame) -> pd.DataFrame:
+    """``frame``, after the allocators gave back what this step freed: waiting workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+    return frame
+
+
 def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -66,7 +77,8 @@ def block_table(docs: DataFrame, size: int, block_bytes: int, encode: Callable[[
 
         def flush() -> pd.DataFrame:
             b = pd.concat(rows, ignore_index=True).sort_values("doc_id", kind="stable", ignore_index=True)
-            return pd.DataFrame([(first + n, *encode(b, text_bytes(b["text"])))], columns=["block", *names])
+            rows.clear()
+            return released(pd.DataFrame([(first + n, *encode(b, text_bytes(b["text"])))], columns=["block", *names]))
 
         for batch in batches:
             sizes = batch["text"].map(lambda t: len(t) if t else 0).to_numpy()
@@ -76,7 +88,7 @@ def block_table(docs: DataFrame, size: int, block_bytes: int, encode: Callable[[
                 if held >= block_bytes:
                     rows.append(batch.iloc[lo : i + 1])
                     yield flush()
-                    rows, held, lo, n = [], 0, i + 1, n + 1
+                    held, lo, n = 0, i + 1, n + 1
             if lo < len(batch):
                 rows.append(batch.iloc[lo:])
         if rows:
@@ -100,13 +112,13 @@ def over_blocks(blocks: DataFrame, replies: DataFrame | None, step: Callable, sc
     """``step`` (block row, its replies by kind: (part, data) in order) gives a pandas frame for each block."""
 
     def alone(b: pd.DataFrame) -> pd.DataFrame:
-        return step(b.iloc[0], {})
+        return released(step(b.iloc[0], {}))
 
     def answered(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         found: dict[int, list] = {}
         for kind, part, data in sorted(zip(r["kind"], r["part"], r["data"], strict=True), key=lambda x: x[:2]):
             found.setdefault(int(kind), []).append((int(part), data))
-        return step(b.iloc[0], found)
+        return released(step(b.iloc[0], found))
 
     grouped = blocks.groupBy("block")
     if replies is None:
@@ -140,7 +152,8 @@ def totals(requests: DataFrame, kind: int, dtype, base: int = 0) -> DataFrame:
         out = pd.DataFrame({"block": rows["block"], "kind": kind, "part": rows["part"] - base, "data": [planes(x) for x in told]})
         out["total"] = np.concatenate(([int(total.sum())], np.zeros(len(out) - 1, np.int64)))
         out["distinct"] = np.concatenate(([int((total > 0).sum())], np.zeros(len(out) - 1, np.int64)))
-        return out
+        del keys, counts, distinct, inverse, total, told
+        return released(out)
 
     return requests.groupBy("part").applyInPandas(run, REPLY)
 

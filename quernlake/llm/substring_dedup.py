@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, planes, text_size, totals
+from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, planes, released, text_size, totals
 from quernlake.llm.common import NO_ID, id_or_null, known_id, mix64, powers, prefix_hash, small, span_hash, stored
 from quernlake.llm.suffix_sort import window_classes
 
@@ -224,7 +224,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     asked = over_blocks(blocks, None, lambda row, _: _requests(row, length, ranges), REQUEST)
     held = stored(totals(asked, 0, np.int32))
     sent = over_blocks(blocks, held, lambda row, r: _candidates(row, r, length, FINER * ranges, hot), SENT)
-    lower = stored(sent.groupBy("part").applyInPandas(lambda x: _compared(x, length), "block long, kind int, part int, data binary"))
+    lower = stored(sent.groupBy("part").applyInPandas(lambda x: released(_compared(x, length)), "block long, kind int, part int, data binary"))
     found = over_blocks(blocks, lower, lambda row, r: _result(row, r, length, keep_bytes), FOUND).dropDuplicates(["digest"])
 
     out = rows.join(found.withColumnRenamed("doc_id", "first"), "digest", "left")
