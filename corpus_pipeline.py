@@ -21,6 +21,8 @@ from quernlake.llm.queries import tokenizer_path
 
 #: Mean window probability below which a document counts as being in no known language.
 LEAST_SCORE = 0.4
+#: Edits up to which two lines are copies, and percent of the shorter one that these may be.
+LINE_EDITS, LINE_PERCENT = 8, 5
 #: Percent of shared five-word shingles from which documents are near-duplicates.
 NEAR_PERCENT = 80
 
@@ -35,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, edits=LINE_EDITS, percent=LINE_PERCENT)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,16 +1,22 @@
-"""Line deduplication within one edit, as a segment-partition join, in DataFrame operations only.
+"""Line deduplication within a number of edits, as a segment-partition join, in DataFrame operations only.
 
-Two lines within ``EDITS`` = 1 edit share one of EDITS + 1 = 2 segments: an edit leaves the left or the right half as
-it was. Every distinct line of at least ``min_chars`` characters is indexed under its halves and its length, and
-probes the halves of lines one character shorter at the places that one edit allows. Keys of a few lines give their
-pairs. Keys with many lines (a template's half) are refined instead of paired: the half in which the edit must lie is
-split again and one of its halves joins the key, until the keys are small or the part left holds at most
-``TERMINAL`` characters. So candidates stay close to true links, however many lines share a half.
+Two lines may be ``edits`` apart, or, with ``percent``, at most so much of the shorter line's characters too (one edit
+at least). Lines are put in classes by length, each with its threshold k (``classes``). Every distinct line of at least
+``min_chars`` characters is indexed under k + 1 segments of its class's segment length, the first half of them counted
+from its start and the others from its end, and probes for them at the shifts that edits allow. If at most k edits lie
+between two lines, one of the two sides with s segments has fewer than s edits, and there is a first segment i of it
+that is as it was and has just i edits before it, so shifts from -i to i are enough: lines n - k to n are met without
+a probe for each length. A line close above its class's least length also probes the classes below, as far as k reaches.
+
+Keys of a few lines give their pairs. Keys with many lines (a template's segment) are refined instead of paired: what
+lies behind the segment has at most k - i edits and is cut again in the same way, until the keys are small or the
+pieces are shorter than ``TERMINAL`` characters. A key counts as small by its number of edits left, as refining makes
+more entries the more there are.
 
 Candidates are trimmed of their common prefix and suffix and verified by a bit-parallel edit distance over the band
 of diagonals that the threshold leaves.
 
-Order is (doc_id, line number). A line is removed if an earlier line is equal or within one edit of it. Defined
+Order is (doc_id, line number). A line is removed if an earlier line is equal or within the threshold of it. Defined
 results: shorter and blank lines are never removed; null texts have no lines, an empty text has one blank line; ids
 name a text, and repeated rows get the same decisions each; rows without an id come first and keep their lines; extra columns pass ``dedup_lines`` untouched; an empty
 table gives an empty result. Lines are told equal by MD5 and length.
@@ -18,13 +24,13 @@ table gives an empty result. Lines are told equal by MD5 and length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import small, stored, unused
+from quernlake.llm.common import stored, unused
 
-EDITS, SMALL_KEY, TERMINAL = 1, 32, 4
-ENTRY = ["key", "d", "l", "probe", "lo", "hi"]
+EDITS, SMALL_KEY, TERMINAL, LAST_CLASS = 1, 32, 2, 4096
+ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -40,8 +46,9 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(bits, F.lit(0), longer)
 
 
-def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
-    """Whether the character arrays ``a`` and ``b`` are within k edits; bit d of a state stands for diagonal d - k."""
+def within_edits(a: Column, b: Column, k: int = EDITS, limit: Column | None = None) -> Column:
+    """Whether the character arrays ``a`` and ``b`` are within ``limit`` (k where it is not given, at most k) edits; bit d of a state stands for diagonal d - k."""
+    limit = F.lit(k) if limit is None else limit
     full = (1 << (2 * k + 1)) - 1
     n, m = F.size(a), F.size(b)
 
@@ -57,7 +64,7 @@ def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
 
     start = F.array(*[F.lit(sum(1 << (k + j) for j in range(e + 1))) for e in range(k + 1)])
     end = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-    return F.when(F.abs(n - m) > k, False).when((n == 0) | (m == 0), True).otherwise(F.pmod(F.floor(end[k] / F.pow(F.lit(2), m - n + k)), F.lit(2)) == 1)
+    return F.when(F.abs(n - m) > limit, False).when((n == 0) | (m == 0), True).otherwise(F.pmod(F.floor(F.get(end, limit) / F.pow(F.lit(2), m - n + k)), F.lit(2)) == 1)
 
 
 def _characters(c: Column) -> Column:
@@ -70,18 +77,53 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.where((F.char_length("text") >= min_chars) & (F.trim("text") != ""))
 
 
-def _halves(n: Column, text: Column, probe: int) -> list[tuple[Column, Column, Column]]:
-    """(key, lo, hi) for the left and the right half; lo and hi bound the part in which the edit lies."""
-    m = n - probe
-    h = F.floor(m / 2).cast("int")
-    left = F.xxhash64(m, F.lit(0), F.left(text, h))
-    right = F.xxhash64(m, F.lit(1), F.right(text, m - h))
-    return [(left, h, n), (right, F.lit(0), n - (m - h))]
+def threshold(n: int, edits: int, percent: int) -> int:
+    """Edits allowed between two lines of which the shorter has n characters; percent 0 leaves ``edits`` alone."""
+    return max(1, min(edits, n * percent // 100)) if percent else edits
 
 
-def _entries(lines: DataFrame) -> DataFrame:
-    keys = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i // 2).alias("probe"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i in range(4)])
-    return lines.select("d", "l", F.explode(keys).alias("e")).select(F.col("e.key"), "d", "l", "e.probe", "e.lo", "e.hi")
+def classes(min_chars: int, edits: int, percent: int) -> list[tuple[int, int]]:
+    """(least length, threshold) of each class: the threshold is one in a class, and its lengths at most double."""
+    out, lo = [], max(1, min_chars)
+    while True:
+        k = threshold(lo, edits, percent)
+        out.append((lo, k))
+        if lo >= LAST_CLASS and k == edits:
+            return out
+        steps = [n for n in [-(-100 * (k + 1) // percent)] if k < edits] if percent else []
+        lo = min([2 * lo, *steps])
+
+
+def _class_of(n: Column, found: list[tuple[int, int]]) -> Column:
+    c = F.lit(0)
+    for i, (lo, _) in enumerate(found):
+        c = F.when(n >= lo, i).otherwise(c)
+    return c
+
+
+def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
+    """What a line of class ``c`` and at most ``most`` characters has: segments of ``size`` characters ``at`` a distance from a side."""
+    rows = []
+    for own, (lo, _) in enumerate(found):
+        for c, (least, k) in enumerate(found[: own + 1]):
+            ends = found[c + 1][0] if c + 1 < len(found) else 0
+            most = 2**31 - 1 if c == own else ends - 1 + k  # the longest line within k edits of one of class c
+            if most < lo:
+                continue
+            size = least // (k + 1)
+            for side, count in enumerate(((k + 2) // 2, (k + 1) // 2)):
+                for i in range(count):
+                    for shift in range(-i, i + 1):
+                        if i * size + shift >= 0:
+                            rows.append((own, most, c, side, i, i * size + shift, size, int(c != own or shift != 0), least - (i + 1) * size, k - i))
+    return spark.createDataFrame(rows, "own int, most int, c int, side int, i int, at int, size int, probe int, room int, edits int")
+
+
+def _entries(lines: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    text = F.when(F.col("side") == 0, F.substring(F.col("text"), F.col("at") + 1, F.col("size"))).otherwise(F.substring(F.col("turned"), F.col("at") + 1, F.col("size")))
+    got = lines.select("id", "text", "chars", F.reverse("text").alias("turned"), _class_of(F.col("chars"), found).alias("own"))
+    got = got.join(F.broadcast(_plan(lines.sparkSession, found)), "own").where("chars <= most")
+    return got.select(F.xxhash64("c", "side", "i", text).alias("key"), "id", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -91,20 +133,20 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    a = entries.where("probe = 0").select("key", F.struct("d", "l").alias("a"))
-    b = entries.select("key", "probe", F.struct("d", "l").alias("b"))
+    a = entries.where("probe = 0").select("key", F.col("id").alias("a"))
+    b = entries.select("key", "probe", F.col("id").alias("b"))
     return a.join(b, "key").where("(probe = 1 and a <> b) or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _refined(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """The entries of large keys under longer keys."""
-    e = entries.join(lines, ["d", "l"])
-    p = F.col("hi") - F.col("lo") - F.col("probe")
-    g = F.floor(p / 2).cast("int")
-    left = F.struct(F.xxhash64("key", F.lit(0), F.substring(F.col("text"), F.col("lo") + 1, g)).alias("key"), (F.col("lo") + g).alias("lo"), F.col("hi").alias("hi"))
-    cut = F.col("hi") - (p - g)
-    right = F.struct(F.xxhash64("key", F.lit(1), F.substring(F.col("text"), cut + 1, p - g)).alias("key"), F.col("lo").alias("lo"), cut.alias("hi"))
-    return e.select("d", "l", "probe", F.explode(F.array(left, right)).alias("e")).select("e.key", "d", "l", "probe", "e.lo", "e.hi")
+    """The entries of large keys under longer keys: the pieces behind the part that is equal, at the shifts that the edits left allow."""
+    e = entries.join(lines.select("id", "text"), "id").withColumn("text", F.when(F.col("side") == 0, F.col("text")).otherwise(F.reverse("text")))
+    e = e.withColumn("size", F.floor(F.col("room") / (F.col("edits") + 1)).cast("int"))
+    e = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn("shift", F.explode(F.sequence(-F.col("i"), F.col("i"))))
+    e = e.withColumn("from", F.col("at") + F.col("i") * F.col("size") + F.col("shift")).where("`from` >= 0")
+    key = F.xxhash64("key", "i", F.substring(F.col("text"), F.col("from") + 1, F.col("size")))
+    more = F.when(F.col("shift") == 0, F.col("probe")).otherwise(1)
+    return e.select(key.alias("key"), "id", more.alias("probe"), "side", (F.col("from") + F.col("size")).alias("at"), (F.col("room") - (F.col("i") + 1) * F.col("size")).alias("room"), (F.col("edits") - F.col("i")).alias("edits"))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,15 +154,16 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether two texts are within EDITS edits: only what their common prefix and suffix leave is compared."""
+def similar(a: Column, b: Column, k: int = EDITS, limit: Column | None = None) -> Column:
+    """Whether two texts are within ``limit`` of at most k edits: only what their common prefix and suffix leave is compared."""
+    limit = F.lit(k) if limit is None else limit
 
     def cut(c: Column, n: Column) -> Column:
         return F.substring(c, n + 1, F.char_length(c))
 
     def rest(u: Column) -> Column:
-        compared = _let(F.struct(_characters(u["x"]).alias("x"), _characters(u["y"]).alias("y")), lambda v: within_edits(v["x"], v["y"]))
-        return F.when(F.abs(F.char_length(u["x"]) - F.char_length(u["y"])) > EDITS, False).otherwise(compared)
+        compared = _let(F.struct(_characters(u["x"]).alias("x"), _characters(u["y"]).alias("y")), lambda v: within_edits(v["x"], v["y"], k, limit))
+        return F.when(F.abs(F.char_length(u["x"]) - F.char_length(u["y"])) > limit, False).otherwise(compared)
 
     def both(x: Column, y: Column) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
@@ -131,42 +174,40 @@ def similar(a: Column, b: Column) -> Column:
     return _let(_common_prefix(a, b), lambda p: _let(both(F.reverse(cut(a, p)), F.reverse(cut(b, p))), from_end))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    side = lambda c: lines.select(F.struct("d", "l").alias(c), F.col("text").alias(f"t_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(similar(F.col("t_a"), F.col("t_b"))).select("a", "b")
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
+    side = lambda c: lines.select(F.col("id").alias(c), F.struct("d", "l").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
+    limit = F.lit(edits)
+    if percent:
+        limit = F.greatest(F.lit(1), F.least(limit, F.floor(F.least("n_a", "n_b") * percent / 100).cast("int")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", limit).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
+    return near.where(similar(F.col("t_a"), F.col("t_b"), edits, F.col("limit"))).select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
 
 
-def line_links(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int = 0) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (hash, chars, d, l of the first, copies) and the links (a, b) between their first places."""
-    n = F.col("chars")
-    keyed = occurrences(docs, min_chars).withColumn("chars", F.char_length("text"))
-    parts = [p for probe in (0, 1) for p in _halves(n, F.col("text"), probe)]
-    keyed = keyed.select(F.unhex(F.md5("text")).alias("hash"), "chars", F.struct(F.col("doc_id").alias("d"), F.col("line").alias("l")).alias("at"), *[k.alias(f"k{i}") for i, (k, _, _) in enumerate(parts)])
-    lines = stored(keyed.groupBy("hash", "chars").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]).select("hash", "chars", "at.d", "at.l", "copies", *[f"k{i}" for i in range(4)]))
-    bounds = [b for probe in (0, 1) for b in _halves(n, F.lit(""), probe)]
-    spread = lines.select("d", "l", *[f"k{i}" for i in range(4)], *[c.cast("int").alias(f"{w}{i}") for i, (_, lo, hi) in enumerate(bounds) for w, c in (("lo", lo), ("hi", hi))])
-    entries = stored(_shared(_entries(spread)))
-    wanted = stored(entries.select("d", "l").distinct())
-    ids = stored(wanted.select(F.col("d").alias("doc_id")).distinct())
-    held = docs.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if not ids.isEmpty() else docs.limit(0)
-    texts = stored(occurrences(held, min_chars).select(F.col("doc_id").alias("d"), F.col("line").alias("l"), "text").join(wanted, ["d", "l"]))
-    pairs, many = [], entries
+    found = classes(min_chars, edits, percent)
+    keyed = occurrences(docs, min_chars).select(F.unhex(F.md5("text")).alias("hash"), F.char_length("text").alias("chars"), F.struct(F.col("doc_id").alias("d"), F.col("line").alias("l")).alias("at"), "text")
+    lines = keyed.groupBy("hash", "chars").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
+    # entries name a line by a number that is stored with it, so lines without a document id are found too
+    lines = stored(lines.select("hash", "chars", "at.d", "at.l", "copies", "text", F.monotonically_increasing_id().alias("id")))
+    pairs, many = [], stored(_shared(_entries(lines, found)))
     while True:
-        few = (F.col("n") <= SMALL_KEY) | (F.col("hi") - F.col("lo") - F.col("probe") <= TERMINAL)
+        size = F.floor(F.col("room") / (F.col("edits") + 1))
+        few = (F.col("n") <= SMALL_KEY * F.col("edits")) | (size < TERMINAL)
         pairs.append(_pairs(many.where(few)))
         many = many.where(~few)
         if many.isEmpty():
             break
-        many = stored(_shared(_refined(many.select(*ENTRY), texts)))
-    found = pairs[0]
+        many = stored(_shared(_refined(many.select(*ENTRY), lines)))
+    candidates = pairs[0]
     for p in pairs[1:]:
-        found = found.union(p)
-    return lines, stored(_verified(stored(found.distinct()), texts))
+        candidates = candidates.union(p)
+    return lines, stored(_verified(stored(candidates.distinct()), lines, edits, percent))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 24) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, percent: int = 0) -> DataFrame:
     """doc_id with removed, fuzzy (removed without an equal earlier line) and links of the lines it first has."""
-    lines, links = line_links(docs, min_chars)
+    lines, links = line_links(docs, min_chars, edits, percent)
     near = links.select(F.col("a").alias("at"), F.col("b").alias("other")).union(links.select(F.col("b").alias("at"), F.col("a").alias("other")))
     near = near.groupBy("at").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
     state = lines.select("hash", "chars", F.struct("d", "l").alias("at"), "copies").join(near, "at", "left").where("copies > 1 or links > 0")
@@ -180,23 +221,23 @@ def removed_lines(docs: DataFrame, min_chars: int = 24) -> DataFrame:
     )
 
 
-def _with_decisions(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, str, str]:
+def _with_decisions(docs: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int, percent: int) -> tuple[DataFrame, str, str]:
     """``docs`` with the decisions and the text that stays, and the names of these two columns."""
     doc, mark, rest = (unused(c, docs.columns) for c in ("_doc", "_gone", "_text"))
     view = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = stored(removed_lines(view, min_chars)).select(F.col("doc_id").alias(doc), F.struct("removed", "n_fuzzy", "n_links").alias(mark))
+    gone = stored(removed_lines(view, min_chars, edits, percent)).select(F.col("doc_id").alias(doc), F.struct("removed", "n_fuzzy", "n_links").alias(mark))
     # decisions grow with the documents, so both sides are shuffled at every size; hot keys can't occur among ids
     out = docs.join(gone.hint("merge"), docs[id_col] == gone[doc], "left").drop(doc)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains(f"{mark}.removed", i), F.lit(False)))
     return out.withColumn(rest, F.array_join(kept, "\n")), mark, rest
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, percent: int = 0) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_fuzzy, n_links, kept_sha256, kept_text.
 
-    ``n_links`` counts the links within one edit that lines first seen in the document have to other line texts.
+    ``n_links`` counts the links within the threshold that lines first seen in the document have to other line texts.
     """
-    x, mark, rest = _with_decisions(docs.select(id_col, text_col), id_col, text_col, min_chars)
+    x, mark, rest = _with_decisions(docs.select(id_col, text_col), id_col, text_col, min_chars, edits, percent)
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return x.select(
         F.col(id_col).alias("doc_id"),
@@ -209,8 +250,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", tex
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, percent: int = 0) -> DataFrame:
     """``docs`` without the removed lines; documents of which no line is left go. Other columns stay as they are."""
-    x, mark, rest = _with_decisions(docs, id_col, text_col, min_chars)
+    x, mark, rest = _with_decisions(docs, id_col, text_col, min_chars, edits, percent)
     emptied = F.col(mark).isNotNull() & (F.size(f"{mark}.removed") > 0) & (F.trim(rest) == "")
     return x.where(~F.coalesce(emptied, F.lit(False))).select(*[F.col(rest).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

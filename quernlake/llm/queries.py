@@ -53,7 +53,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup(table(spark, sf_dir, "documents"), edits=8, percent=5).drop("kept_text")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

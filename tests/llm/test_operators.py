@@ -271,6 +271,37 @@ def test_lines(spark):
     assert rows(line_dedup(docs.limit(0))) == []
 
 
+@pytest.mark.parametrize("most, percent", [(3, 0), (8, 5), (2, 5)])
+def test_lines_within_more_edits(spark, most, percent):
+    r = random.Random(most)
+    line = lambda n: "".join(r.choice("abcdé efg") for _ in range(n)).strip() or "x"
+    pool = [line(n) for n in (24, 26, 39, 40, 41, 59, 61, 80, 99, 150, 165, 200, 319, 321, 330)]
+
+    def changed(x):
+        for _ in range(r.randrange(most + 3)):
+            k = r.randrange(len(x))
+            x = r.choice([x[:k] + "Q" + x[k:], x[:k] + x[k + 1 :], x[:k] + "é" + x[k + 1 :]])
+        return x
+
+    same = line(90)
+    texts = [(i, changed(r.choice(pool))) for i in range(90)] + [(1000 + i, same + line(40)) for i in range(120)]
+    seen, want = [], {}
+    for i, x in texts:
+        allowed = lambda y: max(1, min(most, min(len(x), len(y)) * percent // 100)) if percent else most  # noqa: B023, E731
+        near = [y for y in seen if abs(len(x) - len(y)) <= allowed(y) and edits(x, y) <= allowed(y)]
+        want[i] = int(len(x) >= 24 and bool(near))
+        seen += [x] if len(x) >= 24 else []
+    assert 0 < sum(want.values()) < len(want)
+    got = line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), edits=most, percent=percent)
+    assert {x["doc_id"]: x["n_removed"] for x in got.collect()} == want
+
+
+def test_line_links_of_first_places_without_an_id(spark):
+    x = "a line of some words that is first in a row without an id"
+    docs = spark.createDataFrame([(None, x), (5, x), (9, x + "!")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup(docs).collect()} == {None: 0, 5: 1, 9: 1}
+
+
 # --- 7
 
 
