@@ -13,8 +13,7 @@ lies behind the segment has at most k - i edits and is cut again in the same way
 pieces are shorter than ``TERMINAL`` characters. A key counts as small by its number of edits left, as refining makes
 more entries the more there are.
 
-Candidates are trimmed of their common prefix and suffix and verified by a bit-parallel edit distance over the band
-of diagonals that the threshold leaves.
+Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves.
 
 Order is (doc_id, line number). A line is removed if an earlier line is equal or within the threshold of it. Defined
 results: shorter and blank lines are never removed; null texts have no lines, an empty text has one blank line; ids
@@ -33,44 +32,6 @@ EDITS, SMALL_KEY, TERMINAL, LAST_CLASS = 1, 32, 2, 4096
 ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    """Characters at the start of both, by bisection over equal prefixes."""
-    most = F.least(F.char_length(a), F.char_length(b))
-    steps = F.ceil(F.log2(most + 1)).cast("int")
-    bits = F.sequence(steps, F.lit(0), F.lit(-1))
-
-    def longer(n: Column, k: Column) -> Column:
-        m = n + F.pow(F.lit(2), k).cast("int")
-        return F.when((m <= most) & (F.left(a, m) == F.left(b, m)), m).otherwise(n)
-
-    return F.aggregate(bits, F.lit(0), longer)
-
-
-def within_edits(a: Column, b: Column, k: int = EDITS, limit: Column | None = None) -> Column:
-    """Whether the character arrays ``a`` and ``b`` are within ``limit`` (k where it is not given, at most k) edits; bit d of a state stands for diagonal d - k."""
-    limit = F.lit(k) if limit is None else limit
-    full = (1 << (2 * k + 1)) - 1
-    n, m = F.size(a), F.size(b)
-
-    def step(state: Column, i: Column) -> Column:
-        eq = F.lit(0)
-        for d in range(2 * k + 1):
-            eq = eq.bitwiseOR(F.when(F.get(a, i) == F.get(b, i + (d - k)), F.lit(1 << d)).otherwise(F.lit(0)))
-        new = [state[0].bitwiseAND(eq)]
-        for e in range(1, k + 1):
-            old = state[e - 1]
-            new.append(state[e].bitwiseAND(eq).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(F.lit(full))))
-        return F.array(*new)
-
-    start = F.array(*[F.lit(sum(1 << (k + j) for j in range(e + 1))) for e in range(k + 1)])
-    end = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-    return F.when(F.abs(n - m) > limit, False).when((n == 0) | (m == 0), True).otherwise(F.pmod(F.floor(F.get(end, limit) / F.pow(F.lit(2), m - n + k)), F.lit(2)) == 1)
-
-
-def _characters(c: Column) -> Column:
-    return F.when(F.char_length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
-
-
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line (number from 0), text of the lines that take part."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -115,20 +76,23 @@ def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
                 for i in range(count):
                     for shift in range(-i, i + 1):
                         if i * size + shift >= 0:
-                            rows.append((own, most, c, side, i, i * size + shift, size, int(c != own or shift != 0), least - (i + 1) * size, k - i))
-    return spark.createDataFrame(rows, "own int, most int, c int, side int, i int, at int, size int, probe int, room int, edits int")
+                            probe = int(c != own or shift != 0)
+                            rows.append((2 * len(rows) + probe, own, most, c, side, i, i * size + shift, size, probe, least - (i + 1) * size, k - i))
+    return spark.createDataFrame(rows, "p int, own int, most int, c int, side int, i int, at int, size int, probe int, room int, edits int")
 
 
-def _entries(lines: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
-    text = F.when(F.col("side") == 0, F.substring(F.col("text"), F.col("at") + 1, F.col("size"))).otherwise(F.substring(F.col("turned"), F.col("at") + 1, F.col("size")))
-    got = lines.select("id", "text", "chars", F.reverse("text").alias("turned"), _class_of(F.col("chars"), found).alias("own"))
-    got = got.join(F.broadcast(_plan(lines.sparkSession, found)), "own").where("chars <= most")
-    return got.select(F.xxhash64("c", "side", "i", text).alias("key"), "id", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits")
+def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    """key, id, probe and the row ``p`` of the plan; characters of four bytes each are cut without a walk through the text."""
+    start = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("chars") - F.col("at") - F.col("size"))
+    got = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), _class_of(F.col("chars"), found).alias("own"))
+    got = got.join(F.broadcast(plan), "own").where((F.col("chars") <= F.col("most")) & (start >= 0))
+    return got.select(F.xxhash64("c", "side", "i", F.substring("wide", 4 * start + 1, 4 * F.col("size"))).alias("key"), "id", "p")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries of keys that an indexed line and another line have, with the number of entries as ``n``."""
-    n = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("probe")).alias("indexed"))
+    probe = F.col("probe") if "probe" in entries.columns else F.col("p") % 2
+    n = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - probe).alias("indexed"))
     return entries.join(n.where("n > 1 and indexed > 0").drop("indexed"), "key")
 
 
@@ -149,38 +113,13 @@ def _refined(entries: DataFrame, lines: DataFrame) -> DataFrame:
     return e.select(key.alias("key"), "id", more.alias("probe"), "side", (F.col("from") + F.col("size")).alias("at"), (F.col("room") - (F.col("i") + 1) * F.col("size")).alias("room"), (F.col("edits") - F.col("i")).alias("edits"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def similar(a: Column, b: Column, k: int = EDITS, limit: Column | None = None) -> Column:
-    """Whether two texts are within ``limit`` of at most k edits: only what their common prefix and suffix leave is compared."""
-    limit = F.lit(k) if limit is None else limit
-
-    def cut(c: Column, n: Column) -> Column:
-        return F.substring(c, n + 1, F.char_length(c))
-
-    def rest(u: Column) -> Column:
-        compared = _let(F.struct(_characters(u["x"]).alias("x"), _characters(u["y"]).alias("y")), lambda v: within_edits(v["x"], v["y"], k, limit))
-        return F.when(F.abs(F.char_length(u["x"]) - F.char_length(u["y"])) > limit, False).otherwise(compared)
-
-    def both(x: Column, y: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    def from_end(s: Column) -> Column:
-        return _let(_common_prefix(s["x"], s["y"]), lambda q: _let(both(cut(s["x"], q), cut(s["y"], q)), rest))
-
-    return _let(_common_prefix(a, b), lambda p: _let(both(F.reverse(cut(a, p)), F.reverse(cut(b, p))), from_end))
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
     side = lambda c: lines.select(F.col("id").alias(c), F.struct("d", "l").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
     limit = F.lit(edits)
     if percent:
         limit = F.greatest(F.lit(1), F.least(limit, F.floor(F.least("n_a", "n_b") * percent / 100).cast("int")))
     near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", limit).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
-    return near.where(similar(F.col("t_a"), F.col("t_b"), edits, F.col("limit"))).select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
+    return near.where(F.levenshtein("t_a", "t_b", edits).between(0, F.col("limit"))).select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
 
 
 def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +129,9 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
     lines = keyed.groupBy("hash", "chars").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
     # entries name a line by a number that is stored with it, so lines without a document id are found too
     lines = stored(lines.select("hash", "chars", "at.d", "at.l", "copies", "text", F.monotonically_increasing_id().alias("id")))
-    pairs, many = [], stored(_shared(_entries(lines, found)))
+    plan = _plan(docs.sparkSession, found)
+    behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
+    pairs, many = [], stored(_shared(_entries(lines, plan, found)).join(behind, "p").drop("p"))
     while True:
         size = F.floor(F.col("room") / (F.col("edits") + 1))
         few = (F.col("n") <= SMALL_KEY * F.col("edits")) | (size < TERMINAL)
