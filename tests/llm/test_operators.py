@@ -20,7 +20,7 @@ from quernlake.llm import suffix_tree_lm as lm
 from quernlake.llm.decontaminate import decontaminate
 from quernlake.llm.exact_dedup import exact_dedup
 from quernlake.llm.language_id import identify_language
-from quernlake.llm.license_scan import TEMPLATES, scan_licenses
+from quernlake.llm.license_scan import TEMPLATES, known_templates, scan_licenses
 from quernlake.llm.line_dedup import dedup_lines, line_dedup
 from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack, plan
@@ -221,6 +221,29 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0), F.col("path")).collect() == []
 
 
+def test_license_headers_and_texts(spark):
+    full = known_templates()
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
+    files = [
+        (1, "a/LGPL.txt", full["LGPL-2.1"][-1]),
+        (2, "a/b/c.py", "x = 1"),
+        (3, "g/g.py", gpl.format("")),
+        (4, "g/a.py", gpl.format("Affero ")),
+        (5, "g/m.py", "Some words. Copyright 2020 A B. Licensed under CC BY-NC 4.0. All rights reserved."),
+        (6, "g/s.py", "// SPDX-License-Identifier: Apache-2.0\nint x;"),
+        (7, "g/t.py", "// SPDX-License-Identifier: ISC\nint x;"),
+        (8, "g/b.py", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"),
+        (9, "g/u.py", "// SPDX-License-Identifier: GPL-2.0-or-later"),
+        (10, "g/v.py", "the words of a text and no more of it"),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {x["doc_id"]: (x["license"], x["basis"]) for x in scan_licenses(df, F.col("path")).collect()}
+    assert got[1] == ("LGPL-2.1", "file") and got[2] == ("LGPL-2.1", "inherited")
+    want = {3: "GPL-3.0", 4: "AGPL-3.0", 5: "CC-BY-NC-4.0", 6: "Apache-2.0", 8: "BSD-3-Clause", 9: "GPL-2.0"}
+    assert {i: got[i] for i in want} == {i: (n, "header") for i, n in want.items()}
+    assert got[7] == got[10] == (None, "none")
+
+
 # --- 6
 
 
