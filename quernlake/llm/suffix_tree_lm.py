@@ -1,7 +1,7 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 The root of the tree is the smoothed distribution of single tokens. A node is a context of up to ``DEPTH`` previous
-words of one document; it may be in the tree if it occurs at least ``LEAST`` times in the training documents, and it
+words of one document; it may be in the tree if it is repeated (``LEAST`` = 2) in the training documents, and it
 stays if its next-token distribution diverges from its parent's in a way that predicts: the log-likelihood gain over
 the parent, every occurrence scored without itself, must exceed ``GAIN``. A node's distribution is its counts smoothed
 by ``WEIGHT`` draws from its parent's distribution, so it sums to one over the known tokens and the unknown one. A
@@ -9,7 +9,7 @@ token is scored by the longest retained suffix of its history.
 
 Nothing of the tree is gathered in one place. Documents become blocks of token numbers, stored once; blocks ask for
 the totals of their tokens, of their (context, token) pairs and of the gains of their contexts, one depth at a time,
-and only contexts that are frequent enough are extended. Totals cover all training documents, whatever their number.
+and only repeated contexts are extended. Totals cover all training documents, whatever their number.
 
 Defined results: a null text counts as empty, and an empty text is the end token alone; without training documents
 every token has probability one (the base formula then reads 0.1 / 0.1); repeated rows are learned and scored each;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
 from quernlake.llm.common import chunks, crc_mod, id_or_null, known_id, mix64, prefix_hash, span_hash, stored, words
 
-DEPTH, LEAST, GAIN, WEIGHT = 2, 12, 4.0, 20.0
+DEPTH, LEAST, GAIN, WEIGHT = 5, 2, 4.0, 20.0
 BLOCK_BYTES = 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP, _NEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC3A5C85C97CB3127)

@@ -486,6 +486,13 @@ def test_scores(docs, corpus):
         assert r["score"] == pytest.approx(sum(math.log10(prob(w[max(0, p - lm.DEPTH) : p], x)) for p, x in enumerate(w)))
 
 
+def test_scores_learn_what_is_repeated_a_few_times(spark):
+    copied = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(i, copied if i % 5 == 0 else f"a{i} b{i} c{i}") for i in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    assert all(got[i]["score"] > got[i]["base_score"] + 5 for i in range(0, 40, 5))
+
+
 def test_scores_edges(spark, docs):
     assert lm.score_documents(docs.limit(0)).collect() == []
     x = spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")
