@@ -56,6 +56,11 @@ def known_id(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(NO_ID))
 
 
+def text_id(text: Column) -> Column:
+    """What tells rows of different texts apart, whatever their ids: MD5 of the text's bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def id_or_null(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 

@@ -1,25 +1,28 @@
 """Near-duplicate detection with HyperMinHash sketches, banding and verification on full shingle sets.
 
-A document's set holds its distinct five-word shingles. Equal sets are collapsed to their smallest document first, so
-copies cost one row. A sketch has about 180 registers; each keeps the leading-zero count and ten mantissa bits of the
+A document's set holds its distinct five-word shingles. Rows are told apart by their texts (MD5), equal sets are
+collapsed first and numbered, and all later steps work on numbered sets, so copies cost one row and ids order the
+result only. A sketch has about 180 registers; each keeps the leading-zero count and ten mantissa bits of the
 smallest hash in its bucket. Small sets throw every shingle several times (a power of two that depends on the set's
-size), so registers are filled at any size; a document near a change of that power is sketched for both, so that both
+size), so registers are filled at any size; a set near a change of that power is sketched for both, so that both
 sides of any possible link share one. Bands of six registers give candidates, so many bands that a pair at the
 threshold is missed with a chance of one in a million.
 
-Buckets of up to 16 sets give all their pairs. In larger ones hubs are compared with the sets that aren't in their
-component yet, for rounds of different hubs while they help. No pair within a component is needed to know the
-component. What still spans components are sets of a dense group that resemble many others without being linked to
-them; they are sketched again with longer bands (and more of them, for the same risk), in which such sets part, and
-the same is done with their buckets; pairs there must also agree in enough of 256 bits of their registers (five
-standard errors below what the threshold expects). What the longest bands leave in large buckets is compared in full, across
-components only; no pair is left out.
+In buckets of more than ``SMALL_BUCKET`` sets the set with the most company (the original of a group of copies) is the
+hub; each set is compared with one hub a round, while rounds help. No pair within a component is needed to know the
+component, so buckets that still span components are all that is left. Their members are compared in place by
+``SIGN`` bits, one of each of so many registers, and only pairs of different components that agree in enough bits (five
+and a half standard errors below what the threshold expects) become rows. A bucket of more than ``BLOCK`` sets is first
+parted by longer bands (and more of them, for the same risk); one that even the longest bands leave is compared block
+by block. No pair is left out.
 
 Pairs first pass the length bound and the collision-corrected estimate of the sketches (six standard errors below the
 threshold), then the exact intersection of the full sets.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words than five form
-one shingle; ``doc_id`` names a text, and a repeated row gets a row with the same figures; extra columns are ignored.
+one shingle; a component's id is its smallest doc_id, null if no row of it has one; every row, repeated or without an
+id, has the figures of its own text; a row is kept if its doc_id is the component's id, and in a component without ids
+if its text is the component's representative; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import NO_ID, chunks, id_or_null, known_id, mix64, prefix_hash, small, span_hash, stored, text_bytes, words
+from quernlake.llm.common import chunks, mix64, prefix_hash, small, span_hash, stored, text_bytes, text_id, unused, words
 from quernlake.llm.components import components
 
-MANTISSA, SMALL_BUCKET, ROUNDS, SIGN = 10, 16, 3, 256
+MANTISSA, SMALL_BUCKET, ROUNDS, SIGN = 10, 16, 3, 1024
+#: Sets of one bucket that are compared with each other in one place.
+BLOCK = 2048
 #: Documents, and bytes of their sketches or texts, up to which one side of the pairs is broadcast.
 MOST_HEADS, HEAD_BYTES = 20_000, 8 << 20
 EMPTY = np.uint16(0xFFFF)
@@ -107,61 +113,64 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, the size and two sums of each set, and the keys of its bands."""
+    """doc_id, tid, the size and two sums of each set, and the keys of its bands."""
     bands = levels(percent)[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
-                keys = [bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)] if len(s) else []
-                a, c = (mix64(s * x).sum(dtype=np.uint64).view(np.int64) for x in _ODD[52:54])
-                rows.append((doc, len(s), int(a), int(c), np.concatenate(keys) if keys else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            n, sums, keys = [], ([], []), []
+            for s in shingle_sets(text_bytes(b.column("text").to_pylist())):
+                n.append(len(s))
+                keys.append(np.concatenate([bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)]) if len(s) else np.zeros(0, np.int64))
+                for out, x in zip(sums, _ODD[52:54], strict=True):
+                    out.append(mix64(s * x).sum(dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
+            figures = [pa.array(np.array(x, np.int64), pa.int64()) for x in (n, *sums)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), *figures, lists], names=["doc_id", "tid", "n_shingles", "set_a", "set_b", "keys"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, tid binary, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def finer_keys(docs: DataFrame, percent: int, bands: Bands) -> DataFrame:
-    """doc_id, keys and ``SIGN`` bits (one of each of so many registers) for each number of throws."""
+def banded(sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
+    """sid, n, keys and ``SIGN`` bits for each number of throws."""
+    signs = Bands(1, SIGN)
+    more = 1 << max(0, (-(-SIGN // bands.registers) - 1).bit_length())  # fills as many registers as the signs have
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
+            for sid, s in zip(b["sid"], shingle_sets(text_bytes(b["text"])), strict=True):
                 for t in bands.both(len(s), percent):
-                    regs = bands.sketch(s, t)
-                    bits = np.packbits((mix64(regs[:SIGN].astype(np.uint64) + _ODD[55]) >> np.uint64(63)).astype(np.uint8))
-                    rows.append((doc, bands.keys(regs, t), bits.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "keys", "sign"])
+                    bits = np.packbits((mix64(signs.sketch(s, t * more).astype(np.uint64) + _ODD[55]) >> np.uint64(63)).astype(np.uint8))
+                    rows.append((sid, len(s), bands.keys(bands.sketch(s, t), t), bits.tobytes()))
+            yield pd.DataFrame(rows, columns=["sid", "n", "keys", "sign"])
 
-    return docs.mapInPandas(run, "doc_id long, keys array<long>, sign array<long>")
+    return sets.mapInPandas(run, "sid long, n long, keys array<long>, sign binary")
 
 
-def signed(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, the numbers of throws t and u (0 if it is t alone) and the registers of both sketches."""
+def signed(sets: DataFrame, percent: int) -> DataFrame:
+    """sid, n, the numbers of throws t and u (0 if it is t alone) and the registers of both sketches."""
     bands = levels(percent)[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, s in zip(b["doc_id"], shingle_sets(text_bytes(b["text"])), strict=True):
-                if len(s):
-                    ts = sorted(bands.both(len(s), percent))
-                    rows.append((doc, len(s), ts[0], ts[1] if len(ts) > 1 else 0, b"".join(bands.sketch(s, t).tobytes() for t in ts)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "t", "u", "regs"])
+            for sid, s in zip(b["sid"], shingle_sets(text_bytes(b["text"])), strict=True):
+                ts = sorted(bands.both(len(s), percent))
+                rows.append((sid, len(s), ts[0], ts[1] if len(ts) > 1 else 0, b"".join(bands.sketch(s, t).tobytes() for t in ts)))
+            yield pd.DataFrame(rows, columns=["sid", "n", "t", "u", "regs"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, t int, u int, regs binary")
+    return sets.mapInPandas(run, "sid long, n long, t int, u int, regs binary")
 
 
 class _Verifier:
-    """Confirms candidate pairs, from the sketches and texts of all documents that may be in one."""
+    """Confirms candidate pairs, from the sketches and texts of all sets that may be in one."""
 
     def __init__(self, sketches: DataFrame, texts: DataFrame, percent: int):
         self.sketches, self.texts, self.percent = sketches, texts, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold."""
+    def links(self, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold, and the links ``more``."""
         percent, width = self.percent, levels(self.percent)[0].registers
         p = percent / 100
         least = p - 6 * (p * (1 - p) / width) ** 0.5
@@ -199,11 +208,12 @@ class _Verifier:
         near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         near = stored(near.mapInPandas(likely, "a long, b long").distinct())
         both = near.join(self._side(self.texts, "b"), "b").join(self._heads(self.texts, near), "a")
-        return stored(both.mapInPandas(exact, "a long, b long").distinct())
+        found = both.mapInPandas(exact, "a long, b long").distinct()
+        return stored(found.union(more) if more is not None else found)
 
     @staticmethod
     def _side(table: DataFrame, c: str) -> DataFrame:
-        return table.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "doc_id"])
+        return table.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "sid"])
 
     def _heads(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
         """Rows of the documents on side a: few of them (hubs) are broadcast if their size allows, others are shuffled."""
@@ -216,83 +226,166 @@ class _Verifier:
         return F.broadcast(heads) if size <= HEAD_BYTES else side
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """key, doc_id, size (and sign) in the buckets with several documents."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stored(rows.join(size, "key"))
-
-
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of each document, which is joined once for each document."""
-    rest = [c for c in rows.columns if c != "doc_id"]
-    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("keys"))  # as many as bands
-    roots = components(links)
-    held = held.join(roots, held["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "keys")
-    return held.select("doc_id", "label", F.explode("keys").alias("k")).select("doc_id", "label", "k.*")
-
-
-def _crossed(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket; with signs, only those whose bits agree often enough."""
-    signs = ["sign"] if "sign" in rows.columns else []
-    side = lambda c: rows.select("key", F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"), *[F.col(x).alias(f"{x}_{c}") for x in signs])
-    wanted = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    if signs:
-        mean = (1 + percent / 100) / 2
-        most = int(SIGN * (1 - mean + 5 * (mean * (1 - mean) / SIGN) ** 0.5)) + 1
-        differ = sum((F.bit_count(F.col("sign_a")[k].bitwiseXOR(F.col("sign_b")[k])) for k in range(SIGN // 64)), F.lit(0))
-        wanted &= differ <= most
-    return side("a").join(side("b"), "key").where(wanted).select("a", "b")
-
-
-def _by_hubs(rows: DataFrame, links: DataFrame, check: _Verifier) -> tuple[DataFrame, DataFrame | None]:
-    """Links after rounds of hubs in large buckets, and the rows (with labels) of buckets that still span components."""
-    left, r = 0, 0
-    while True:
-        each = _labelled(rows, links)
-        # hubs: the smallest first, then others
-        hub = F.min(F.struct(F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r)), F.col("doc_id").alias("a"), F.col("label").alias("la")))
-        spans = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub")).where("lo <> hi")
-        rows = stored(each.join(spans.select("key", "hub"), "key"))
+def _held(entries: DataFrame) -> DataFrame:
+    """sid, company (members of all its buckets) and keys (key, size) of the sets that share a bucket (key, sid)."""
+    size = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = entries.join(size, "key").groupBy("sid")  # as many keys as bands
+    return stored(rows.agg(F.sum("size").alias("company"), F.collect_list(F.struct("key", "size")).alias("keys")))
+
+
+def _spanning(held: DataFrame, links: DataFrame | None, wanted: str) -> DataFrame:
+    """key, size, sid, label, hub and the hub's label in the buckets (``wanted`` of them) that span components."""
+    labelled = held.withColumn("label", F.col("sid"))
+    if links is not None:
+        labelled = held.join(components(links), F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid"))
+    rows = labelled.select("sid", "label", "company", F.explode("keys").alias("k")).select("sid", "label", "company", "k.*").where(wanted)
+    spans = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("company", F.col("sid").alias("a"), F.col("label").alias("la"))).alias("hub"))
+    return stored(rows.drop("company").join(spans.where("lo <> hi").select("key", "hub"), "key"))
+
+
+def _by_hubs(held: DataFrame, links: DataFrame | None, check: _Verifier) -> DataFrame | None:
+    """Links after rounds of hubs in large buckets; a hub that has been compared with all loses its place in the next round."""
+    left, wanted = 0, f"size > {SMALL_BUCKET}"
+    for r in range(ROUNDS):
+        order = held if not r else held.withColumn("company", F.xxhash64("sid", F.lit(r)))
+        rows = _spanning(order, links, wanted)
         count = rows.count()
-        if not count:
-            return links, None
-        if r >= ROUNDS and count > 0.7 * left:
-            return links, rows.drop("hub")
-        # one hub for each document in a round; its other buckets wait for the next
-        pairs = rows.where("label <> hub.la").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("hub")).select("hub.a", "b")
-        links = stored(links.union(check.links(pairs)).distinct())
-        rows, left, r = rows.drop("hub", "label"), count, r + 1
-
-
-def near_links(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different sets whose components are those of all pairs at the threshold."""
-    rows = _shared(table.select(F.explode("keys").alias("key"), "doc_id"))
-    needed = stored(rows.select("doc_id").distinct())
-    n_needed = needed.count()
-    texts = stored(docs.join(small(needed, n_needed), "doc_id", "left_semi") if n_needed else docs.limit(0))
-    check = _Verifier(stored(signed(texts, percent)), texts, percent)
-    links = check.links(_crossed(rows.where(F.col("size") <= SMALL_BUCKET).withColumn("label", F.col("doc_id")), percent))
-    for bands in levels(percent)[1:]:
-        links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
-        if dense is None:
+        if not count or (r and count > 0.7 * left):
+            break
+        # one hub for each set in a round; its other buckets wait for the next
+        pairs = rows.where("label <> hub.la").groupBy(F.col("sid").alias("b")).agg(F.max("hub").alias("hub")).select("hub.a", "b")
+        links, left = check.links(pairs, links), count
+    return links
+
+
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut between groups (key, i, j), of which each lies in one run of rows."""
+    rest: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        at = b[["key", "i", "j"]].to_numpy()
+        cut = np.flatnonzero((at != at[-1]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if rest and (rest[0][["key", "i", "j"]].iloc[-1].to_numpy() == at[-1]).all() and not cut:
+            rest.append(b)
+            continue
+        yield pd.concat([*rest, b.iloc[:cut]], ignore_index=True)
+        rest = [b.iloc[cut:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def _alike(percent: int):
+    """Pairs of different components in one group whose sizes and bits allow a link."""
+    mean = (1 + percent / 100) / 2
+    most = int(SIGN * (1 - mean + 5.5 * (mean * (1 - mean) / SIGN) ** 0.5)) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _together(batches):
+            at = b[["key", "i", "j"]].to_numpy()
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
+            size = np.diff(first, append=len(b))
+            sid, label, n = b["sid"].to_numpy(), b["label"].to_numpy(), b["n"].to_numpy()
+            sign = np.frombuffer(b"".join(b["sign"]), np.uint64).reshape(len(b), SIGN // 64)
+            place = np.arange(len(b)) - np.repeat(first, size)
+            left = np.repeat(size, size) - place
+            found = []
+            for off in range(1, int(size.max())):  # each row with the one that is so far behind it in its group
+                x = np.flatnonzero(left > off)
+                y = x + off
+                go = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                x, y = x[go], y[go]
+                go = np.bitwise_count(sign[x] ^ sign[y]).sum(axis=1, dtype=np.int32) <= most
+                x, y = sid[x[go]], sid[y[go]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y])
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _compared(rows: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the spanning buckets ``rows`` that their bits allow; buckets of several blocks meet block by block."""
+    buckets = rows.groupBy("key").agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
+    labels = rows.groupBy("sid").agg(F.max("label").alias("label"))
+    members = keyed.join(labels, "sid").select("sid", "label", "n", "sign", F.explode("keys").alias("key")).join(buckets, "key")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    members = members.withColumn("at", F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
+    members = members.select("key", "sid", "label", "n", "sign", F.inline("at")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return members.mapInPandas(_alike(percent), "a long, b long")
+
+
+def near_links(texts: DataFrame, entries: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between sets whose components are those of all pairs at the threshold; None without any candidate.
+
+    ``texts`` holds tid and sid of each set's representative and its text once or more, ``entries`` key and sid.
+    """
+    held = _held(entries)
+    n = held.count()
+    if not n:
+        return None
+    texts = stored(texts.join(small(held.select("sid"), n), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "text"))
+    check, links, found = _Verifier(stored(signed(texts, percent)), texts, percent), None, levels(percent)
+    for bands, last in zip(found, [False] * (len(found) - 1) + [True], strict=True):
+        if bands is not found[0]:
+            held = _held(banded(texts, percent, bands).select("sid", F.explode("keys").alias("key")))
+        links = _by_hubs(held, links, check)
+        here = _spanning(held, links, "true" if last else f"size <= {BLOCK}")
+        ids = stored(here.select("sid").distinct())
+        keyed = banded(texts.join(small(ids, ids.count()), "sid", "left_semi"), percent, bands)
+        links = check.links(_compared(here, keyed, percent), links)
+        if last:
+            return links
+        ids = stored(_spanning(held, links, f"size > {BLOCK}").select("sid").distinct())
+        n = ids.count()
+        if not n:
             return links
-        ids = stored(dense.select("doc_id").distinct())
-        again = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        rows = _shared(finer_keys(again, percent, bands).select(F.explode("keys").alias("key"), "doc_id", "sign"))
-        links = stored(links.union(check.links(_crossed(_labelled(rows.where(F.col("size") <= SMALL_BUCKET), links), percent))).distinct())
-    links, dense = _by_hubs(rows.where(F.col("size") > SMALL_BUCKET), links, check)
-    return links if dense is None else stored(links.union(check.links(_crossed(dense, percent))).distinct())
+        texts = texts.join(small(ids, n), "sid", "left_semi")
+    return links
+
+
+def near_rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tid, n_shingles, component_id, first (the tid of the representative's text)."""
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_id(text).alias("tid"), text.alias("text"))
+    table = stored(sketched(docs, percent))
+    key = ["n_shingles", "set_a", "set_b"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("least")
+    sets = table.where("n_shingles > 0").groupBy(*key).agg(least, F.first("keys").alias("keys"))
+    sets = stored(sets.withColumn("sid", F.monotonically_increasing_id()))
+    texts = docs.select("tid", "text").join(sets.select(F.col("least.tid").alias("tid"), "sid"), "tid")
+    links = near_links(texts, sets.select("sid", F.explode("keys").alias("key")), percent)
+    groups = sets.select(*key, "least", "sid")
+    if links is not None:
+        groups = groups.join(components(links), F.col("sid") == F.col("node"), "left").withColumn("sid", F.coalesce("root", "sid"))
+        groups = groups.join(groups.groupBy("sid").agg(F.min("least").alias("group")), "sid")
+    else:
+        groups = groups.withColumn("group", F.col("least"))
+    out = table.select("doc_id", "tid", *key).join(groups.select(*key, "group"), key, "left")
+    return out.select("doc_id", "tid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("group.tid").alias("first"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest document reachable), kept."""
-    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    table = stored(sketched(docs, percent))
-    sets = ["n_shingles", "set_a", "set_b"]
-    firsts = table.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first"))
-    member = stored(table.select("doc_id", *sets).join(firsts, sets, "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")))
-    leaders = member.where("doc_id = first and n_shingles > 0").select("doc_id").distinct()
-    roots = components(near_links(docs, table.join(leaders, "doc_id", "left_semi"), percent))
-    root = F.coalesce("root", "first")
-    out = member.join(roots, member["first"] == roots["node"], "left")
-    return out.select(id_or_null("doc_id"), "n_shingles", F.when(root != NO_ID, root).alias("component_id"), (root == F.col("doc_id")).alias("kept"))
+    nobody = F.col("component_id").isNull() & (F.col("first").isNull() | (F.col("tid") == F.col("first")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), nobody)
+    return near_rows(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, and among its texts the representative.
+
+    Rows without words are all kept; columns stay as they are.
+    """
+    doc, tid, n = (unused(c, docs.columns) for c in ("_doc", "_tid", "_copies"))
+    rows = near_rows(docs, percent, id_col, text_col)
+    count = F.when(F.max("n_shingles") == 0, 1).otherwise(F.count(F.lit(1)))
+    stays = rows.where("n_shingles = 0 or (doc_id <=> component_id and tid = first)").groupBy("doc_id", "tid").agg(count.alias(n))
+    stays = stored(stays.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), n))
+    kept = docs.join(stays.hint("merge"), docs[id_col].cast("long").eqNullSafe(stays[doc]) & (text_id(F.col(text_col)) == stays[tid]))
+    out = kept.where(F.col(n) == 1)
+    if stays.where(F.col(n) > 1).limit(1).count():  # the same id and text again
+        out = out.union(kept.where(F.col(n) > 1).dropDuplicates([doc, tid]))
+    return out.select(*docs.columns)

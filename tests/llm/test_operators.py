@@ -369,6 +369,9 @@ def test_near_dense_group(spark, monkeypatch):
         corpus.append((i + (500 if len(set(w) & set(base)) > 117 else 0), " ".join(w)))
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
     assert rows(near_dedup(docs)) == near_brute(corpus, 85)
+    # buckets of several blocks: every block meets every other one, at each level
+    monkeypatch.setattr(near_module, "BLOCK", 4)
+    assert rows(near_dedup(docs)) == near_brute(corpus, 85)
 
 
 def test_components(spark):
@@ -390,7 +393,22 @@ def test_components(spark):
 def test_near_edges(spark, docs):
     assert rows(near_dedup(docs.limit(0))) == []
     x = spark.createDataFrame([(5, "a b"), (5, "a b"), (7, "A  B"), (None, "a b"), (9, None)], "doc_id long, text string")
-    assert [r[:3] for r in rows(near_dedup(x))] == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 0, 9), (None, 1, 5)]
+    assert rows(near_dedup(x)) == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True), (None, 1, 5, False)]
+
+
+def test_near_ids(spark):
+    """Rows without an id, several texts of one id and the largest id: each row has the figures of its own text."""
+    base = [f"w{i}" for i in range(120)]
+    near, other = " ".join([*base[:60], "x", *base[61:]]), " ".join(f"v{i}" for i in range(50))
+    top = (1 << 63) - 1
+    data = [(1, " ".join(base)), (2, near), (2, other), (None, near), (None, other), (None, "all alone here"), (None, "all alone here"), (None, ""), (top, "z y x"), (top, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = [(1, 116, 1, True), (2, 116, 1, False), (2, 46, 2, True), (None, 116, 1, False), (None, 46, 2, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (top, 1, top, True), (top, 0, top, True)]
+    assert rows(near_dedup(df)) == sorted(want, key=repr)
+    kept = rows(near_module.one_of_each(clash(df)).select("doc_id", "text"))
+    assert kept == sorted([data[0], data[2], data[5], (None, ""), data[8], data[9]], key=repr)
+    twice = near_module.one_of_each(df.union(df.where("doc_id = 1"))).where("doc_id = 1")
+    assert twice.count() == 1
 
 
 # --- 8
