@@ -15,7 +15,7 @@ from quernlake.llm.common import known_id, shared_dir, unused
 from quernlake.llm.decontaminate import decontaminate
 from quernlake.llm.language_id import fit, predicted
 from quernlake.llm.line_dedup import dedup_lines
-from quernlake.llm.near_dedup import near_dedup
+from quernlake.llm.near_dedup import one_of_each
 from quernlake.llm.packing import pack
 from quernlake.llm.queries import tokenizer_path
 
@@ -42,9 +42,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; rows without an id are one document."""
-    kept = near_dedup(docs, percent=NEAR_PERCENT).where("kept").select(known_id(F.col("doc_id")).alias("id")).distinct()
-    return docs.join(kept, known_id(docs["doc_id"]) == kept["id"], "left_semi").select(*docs.columns)
+    """The first document of each group of near-duplicates; documents without words stay."""
+    return one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
