@@ -10,14 +10,12 @@ threshold is missed with a chance of one in a million.
 
 In buckets of more than ``SMALL_BUCKET`` sets the set with the most company (the original of a group of copies) is the
 hub; each set is compared with one hub a round, while rounds help. No pair within a component is needed to know the
-component, so buckets that still span components are all that is left. Their members are compared in place by
-``SIGN`` bits, one of each of so many registers, and only pairs of different components that agree in enough bits (five
-and a half standard errors below what the threshold expects) become rows. A bucket of more than ``BLOCK`` sets is first
-parted by longer bands (and more of them, for the same risk); one that even the longest bands leave is compared block
-by block. No pair is left out.
-
-Pairs first pass the length bound and the collision-corrected estimate of the sketches (six standard errors below the
-threshold), then the exact intersection of the full sets.
+component, so buckets that still span components are all that is left. Sets that meet in such buckets under one hub are
+a family, and get together once, with their texts: pairs of different components pass the length bound and, in families
+of some size, the collision-corrected estimate of sketches of 1024 registers (six standard errors below the threshold);
+the rest are decided by the exact intersection of the full sets, and only links that join components become rows.
+Families of many sets or bytes meet block by block. Sets of buckets of more than ``DENSE`` sets are first parted by
+longer bands (and more of them, for the same risk). No pair is left out.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words than five form
 one shingle; a component's id is its smallest doc_id, null if no row of it has one; every row, repeated or without an
@@ -40,12 +38,14 @@ from pyspark.sql import functions as F
 from quernlake.llm.common import chunks, mix64, prefix_hash, small, span_hash, stored, text_bytes, text_id, unused, words
 from quernlake.llm.components import components
 
-MANTISSA, SMALL_BUCKET, ROUNDS, SIGN = 10, 16, 3, 1024
-#: Sets of one bucket that are compared with each other in one place.
-BLOCK = 2048
+MANTISSA, SMALL_BUCKET, ROUNDS = 10, 16, 3
+#: Sets, and bytes of their texts, of one block of a family; members of a bucket from which longer bands part it first.
+BLOCK, BLOCK_BYTES, DENSE = 512, 8 << 20, 4096
+#: Families up to which all pairs are compared without sketches.
+FEW = 16
 #: Documents, and bytes of their sketches or texts, up to which one side of the pairs is broadcast.
 MOST_HEADS, HEAD_BYTES = 20_000, 8 << 20
-EMPTY = np.uint16(0xFFFF)
+EMPTY, WIDE = np.uint16(0xFFFF), 1024
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,7 +109,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketches (rows), corrected for registers that agree by chance."""
     chance = 0.6 / (1 << MANTISSA)
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+    return ((a == b).mean(axis=-1) - chance) / (1 - chance)
 
 
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
@@ -132,98 +132,41 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def banded(sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
-    """sid, n, keys and ``SIGN`` bits for each number of throws."""
-    signs = Bands(1, SIGN)
-    more = 1 << max(0, (-(-SIGN // bands.registers) - 1).bit_length())  # fills as many registers as the signs have
+    """key and sid of each set's bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for sid, s in zip(b["sid"], shingle_sets(text_bytes(b["text"])), strict=True):
-                for t in bands.both(len(s), percent):
-                    bits = np.packbits((mix64(signs.sketch(s, t * more).astype(np.uint64) + _ODD[55]) >> np.uint64(63)).astype(np.uint8))
-                    rows.append((sid, len(s), bands.keys(bands.sketch(s, t), t), bits.tobytes()))
-            yield pd.DataFrame(rows, columns=["sid", "n", "keys", "sign"])
+                rows.append((sid, np.concatenate([bands.keys(bands.sketch(s, t), t) for t in bands.both(len(s), percent)])))
+            yield pd.DataFrame(rows, columns=["sid", "keys"])
 
-    return sets.mapInPandas(run, "sid long, n long, keys array<long>, sign binary")
+    return sets.mapInPandas(run, "sid long, keys array<long>").select("sid", F.explode("keys").alias("key"))
 
 
-def signed(sets: DataFrame, percent: int) -> DataFrame:
-    """sid, n, the numbers of throws t and u (0 if it is t alone) and the registers of both sketches."""
-    bands = levels(percent)[0]
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, more: DataFrame | None) -> DataFrame:
+    """The pairs (a hub, b) whose full sets reach the threshold, and the links ``more``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for sid, s in zip(b["sid"], shingle_sets(text_bytes(b["text"])), strict=True):
-                ts = sorted(bands.both(len(s), percent))
-                rows.append((sid, len(s), ts[0], ts[1] if len(ts) > 1 else 0, b"".join(bands.sketch(s, t).tobytes() for t in ts)))
-            yield pd.DataFrame(rows, columns=["sid", "n", "t", "u", "regs"])
-
-    return sets.mapInPandas(run, "sid long, n long, t int, u int, regs binary")
-
-
-class _Verifier:
-    """Confirms candidate pairs, from the sketches and texts of all sets that may be in one."""
-
-    def __init__(self, sketches: DataFrame, texts: DataFrame, percent: int):
-        self.sketches, self.texts, self.percent = sketches, texts, percent
-
-    def links(self, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold, and the links ``more``."""
-        percent, width = self.percent, levels(self.percent)[0].registers
-        p = percent / 100
-        least = p - 6 * (p * (1 - p) / width) ** 0.5
-
-        def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                sides = []
-                for t, u, v, w, i, j in zip(x["t_a"], x["u_a"], x["t_b"], x["u_b"], x["regs_a"], x["regs_b"], strict=True):
-                    first = t in (v, w)  # the sketch of equal throws on both sides
-                    if first or u and u in (v, w):
-                        p, q = 2 * width * (not first), 2 * width * ((t if first else u) != v)
-                        sides.append((i[p : p + 2 * width], j[q : q + 2 * width]))
-                    else:
-                        sides.append((None, None))
-                alike = np.array([s[0] is not None for s in sides], bool)
-                x = x[alike]
-                if len(x):
-                    i, j = (np.frombuffer(b"".join(s[k] for s in sides if s[0] is not None), np.uint16).reshape(-1, width) for k in (0, 1))
-                    x = x[estimate(i, j) >= least]
-                yield x[["a", "b"]]
-
-        def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                keep, heads = [], {}
-                for a, i, j in zip(x["a"], x["text_a"], shingle_sets(text_bytes(x["text_b"])), strict=True):
-                    if a not in heads:  # hubs come again and again
-                        heads[a] = next(shingle_sets(text_bytes([i])))
-                    i = heads[a]
-                    both = len(np.intersect1d(i, j, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(i) + len(j) - both))
-                yield x.loc[np.array(keep, bool), ["a", "b"]]
-
-        pairs = stored(pairs.select("a", "b").distinct())
-        near = pairs.join(self._heads(self.sketches, pairs), "a").join(self._side(self.sketches, "b"), "b")
-        near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        near = stored(near.mapInPandas(likely, "a long, b long").distinct())
-        both = near.join(self._side(self.texts, "b"), "b").join(self._heads(self.texts, near), "a")
-        found = both.mapInPandas(exact, "a long, b long").distinct()
-        return stored(found.union(more) if more is not None else found)
-
-    @staticmethod
-    def _side(table: DataFrame, c: str) -> DataFrame:
-        return table.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "sid"])
-
-    def _heads(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Rows of the documents on side a: few of them (hubs) are broadcast if their size allows, others are shuffled."""
-        side = self._side(table, "a")
-        heads = pairs.select("a").distinct()
-        if heads.limit(MOST_HEADS + 1).count() > MOST_HEADS:
-            return side
-        heads = stored(side.join(F.broadcast(heads), "a", "left_semi"))
-        size = heads.agg(F.sum(F.octet_length(heads.columns[-1]))).first()[0] or 0
-        return F.broadcast(heads) if size <= HEAD_BYTES else side
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            keep, heads = [], {}
+            for a, i, j in zip(x["a"], x["text_a"], shingle_sets(text_bytes(x["text_b"])), strict=True):
+                if a not in heads:  # hubs come again and again
+                    heads[a] = next(shingle_sets(text_bytes([i])))
+                i = heads[a]
+                both = len(np.intersect1d(i, j, assume_unique=True))
+                keep.append(100 * both >= percent * (len(i) + len(j) - both))
+            yield x.loc[np.array(keep, bool), ["a", "b"]]
+
+    side = lambda c: texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}"))
+    pairs = stored(pairs)
+    hubs = side("a")
+    if pairs.select("a").distinct().limit(MOST_HEADS + 1).count() <= MOST_HEADS:
+        hubs = stored(hubs.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"))
+        size = hubs.agg(F.sum(F.octet_length("text_a"))).first()[0] or 0
+        hubs = F.broadcast(hubs) if size <= HEAD_BYTES else hubs
+    found = pairs.join(side("b"), "b").join(hubs, "a").mapInPandas(exact, "a long, b long")
+    return stored(found.union(more) if more is not None else found)
 
 
 def _held(entries: DataFrame) -> DataFrame:
@@ -243,8 +186,8 @@ def _spanning(held: DataFrame, links: DataFrame | None, wanted: str) -> DataFram
     return stored(rows.drop("company").join(spans.where("lo <> hi").select("key", "hub"), "key"))
 
 
-def _by_hubs(held: DataFrame, links: DataFrame | None, check: _Verifier) -> DataFrame | None:
-    """Links after rounds of hubs in large buckets; a hub that has been compared with all loses its place in the next round."""
+def _by_hubs(held: DataFrame, links: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame | None:
+    """Links after rounds of hubs in large buckets; the hubs of later rounds are other ones."""
     left, wanted = 0, f"size > {SMALL_BUCKET}"
     for r in range(ROUNDS):
         order = held if not r else held.withColumn("company", F.xxhash64("sid", F.lit(r)))
@@ -254,20 +197,20 @@ def _by_hubs(held: DataFrame, links: DataFrame | None, check: _Verifier) -> Data
             break
         # one hub for each set in a round; its other buckets wait for the next
         pairs = rows.where("label <> hub.la").groupBy(F.col("sid").alias("b")).agg(F.max("hub").alias("hub")).select("hub.a", "b")
-        links, left = check.links(pairs, links), count
+        links, left = _confirmed(pairs, texts, percent, links), count
     return links
 
 
 def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches cut between groups (key, i, j), of which each lies in one run of rows."""
+    """Batches cut between groups (hub, i, j), of which each lies in one run of rows."""
     rest: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
-        at = b[["key", "i", "j"]].to_numpy()
+        at = b[["hub", "i", "j"]].to_numpy()
         cut = np.flatnonzero((at != at[-1]).any(axis=1))
         cut = int(cut[-1]) + 1 if len(cut) else 0
-        if rest and (rest[0][["key", "i", "j"]].iloc[-1].to_numpy() == at[-1]).all() and not cut:
+        if rest and (rest[0][["hub", "i", "j"]].iloc[-1].to_numpy() == at[-1]).all() and not cut:
             rest.append(b)
             continue
         yield pd.concat([*rest, b.iloc[:cut]], ignore_index=True)
@@ -276,45 +219,75 @@ def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(rest, ignore_index=True)
 
 
-def _alike(percent: int):
-    """Pairs of different components in one group whose sizes and bits allow a link."""
-    mean = (1 + percent / 100) / 2
-    most = int(SIGN * (1 - mean + 5.5 * (mean * (1 - mean) / SIGN) ** 0.5)) + 1
-
+def _hopeful(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set's place and the later ones that the estimate of sketches of equal throws allows."""
+    wide = Bands(1, WIDE)
+    p = percent / 100
+    least = p - 6 * (p * (1 - p) / WIDE) ** 0.5
+    throws: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        for t in wide.both(len(s), percent):
+            throws.setdefault(t, []).append(i)
+    for t, at in throws.items():
+        regs, at = np.stack([wide.sketch(sets[i], t) for i in at]), np.array(at)
+        for k in range(len(at) - 1):
+            yield int(at[k]), at[k + 1 :][estimate(regs[k], regs[k + 1 :]) >= least]
+
+
+def _forest(sets: list[np.ndarray], sid: list, label: list, side: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the components (labels) of one group; with two sides only pairs across them are looked at."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    n, full = [len(s) for s in sets], {}
+    two = len(set(side)) > 1
+    few = ((i, range(i + 1, len(sets))) for i in range(len(sets)))
+    for i, others in few if len(sets) <= FEW else _hopeful(sets, percent):
+        for j in others:
+            if two and side[i] == side[j] or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
+                continue
+            x, y = root(label[i]), root(label[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in full:
+                    full[k] = frozenset(sets[k].tolist())
+            both = len(full[i] & full[j])
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                up[max(x, y)] = min(x, y)
+                yield sid[i], sid[j]
+
+
+def _linked(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _together(batches):
-            at = b[["key", "i", "j"]].to_numpy()
-            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
-            size = np.diff(first, append=len(b))
-            sid, label, n = b["sid"].to_numpy(), b["label"].to_numpy(), b["n"].to_numpy()
-            sign = np.frombuffer(b"".join(b["sign"]), np.uint64).reshape(len(b), SIGN // 64)
-            place = np.arange(len(b)) - np.repeat(first, size)
-            left = np.repeat(size, size) - place
-            found = []
-            for off in range(1, int(size.max())):  # each row with the one that is so far behind it in its group
-                x = np.flatnonzero(left > off)
-                y = x + off
-                go = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                x, y = x[go], y[go]
-                go = np.bitwise_count(sign[x] ^ sign[y]).sum(axis=1, dtype=np.int32) <= most
-                x, y = sid[x[go]], sid[y[go]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y])
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            at = b[["hub", "i", "j"]].to_numpy()
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))).tolist()
+            sid, label, side = b["sid"].tolist(), b["label"].tolist(), b["side"].tolist()
+            sets, found = shingle_sets(text_bytes(b["text"])), []
+            for lo, hi in zip(first, [*first[1:], len(b)], strict=True):
+                found += _forest([next(sets) for _ in range(lo, hi)], sid[lo:hi], label[lo:hi], side[lo:hi], percent)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _compared(rows: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the spanning buckets ``rows`` that their bits allow; buckets of several blocks meet block by block."""
-    buckets = rows.groupBy("key").agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
-    labels = rows.groupBy("sid").agg(F.max("label").alias("label"))
-    members = keyed.join(labels, "sid").select("sid", "label", "n", "sign", F.explode("keys").alias("key")).join(buckets, "key")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    members = members.withColumn("at", F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
-    members = members.select("key", "sid", "label", "n", "sign", F.inline("at")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return members.mapInPandas(_alike(percent), "a long, b long")
+def _by_families(rows: DataFrame, texts: DataFrame, percent: int, more: DataFrame | None) -> DataFrame:
+    """The links that join components within families (sets that meet under one hub), and the links ``more``."""
+    families = stored(rows.select("hub.a", "sid", "label").distinct().withColumnRenamed("a", "hub"))
+    members = families.join(texts, "sid")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    blocks = stored(members.groupBy("hub").agg(blocks.alias("blocks")).where("blocks > 1"))
+    members = members.join(blocks, "hub", "left").withColumn("side", F.pmod(F.xxhash64("sid"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.struct(F.least("side", x).alias("i"), F.greatest("side", x).alias("j")))
+    members = members.select("hub", "sid", "label", "side", "text", F.inline(meets)).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    found = members.mapInPandas(_linked(percent), "a long, b long")
+    return stored(found.union(more) if more is not None else found)
 
 
 def near_links(texts: DataFrame, entries: DataFrame, percent: int) -> DataFrame | None:
@@ -327,22 +300,19 @@ def near_links(texts: DataFrame, entries: DataFrame, percent: int) -> DataFrame
     if not n:
         return None
     texts = stored(texts.join(small(held.select("sid"), n), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "text"))
-    check, links, found = _Verifier(stored(signed(texts, percent)), texts, percent), None, levels(percent)
-    for bands, last in zip(found, [False] * (len(found) - 1) + [True], strict=True):
-        if bands is not found[0]:
-            held = _held(banded(texts, percent, bands).select("sid", F.explode("keys").alias("key")))
-        links = _by_hubs(held, links, check)
-        here = _spanning(held, links, "true" if last else f"size <= {BLOCK}")
-        ids = stored(here.select("sid").distinct())
-        keyed = banded(texts.join(small(ids, ids.count()), "sid", "left_semi"), percent, bands)
-        links = check.links(_compared(here, keyed, percent), links)
-        if last:
-            return links
-        ids = stored(_spanning(held, links, f"size > {BLOCK}").select("sid").distinct())
-        n = ids.count()
-        if not n:
-            return links
-        texts = texts.join(small(ids, n), "sid", "left_semi")
+    links, found = None, levels(percent)
+    for k, bands in enumerate(found):
+        if k:
+            held = _held(banded(texts, percent, bands))
+        links = _by_hubs(held, links, texts, percent)
+        here = _spanning(held, links, f"size <= {DENSE}" if bands is not found[-1] else "true")
+        links = _by_families(here, texts, percent, links)
+        if bands is not found[-1]:
+            dense = stored(_spanning(held, links, f"size > {DENSE}").select("sid").distinct())
+            n = dense.count()
+            if not n:
+                break
+            texts = texts.join(small(dense, n), "sid", "left_semi")
     return links
 
 

@@ -369,8 +369,10 @@ def test_near_dense_group(spark, monkeypatch):
         corpus.append((i + (500 if len(set(w) & set(base)) > 117 else 0), " ".join(w)))
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
     assert rows(near_dedup(docs)) == near_brute(corpus, 85)
-    # buckets of several blocks: every block meets every other one, at each level
+    # families of several blocks: every block meets every other one, at each level
     monkeypatch.setattr(near_module, "BLOCK", 4)
+    monkeypatch.setattr(near_module, "FEW", 3)
+    monkeypatch.setattr(near_module, "DENSE", 8)
     assert rows(near_dedup(docs)) == near_brute(corpus, 85)
 
 
