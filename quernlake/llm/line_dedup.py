@@ -2,40 +2,65 @@
 
 Two lines may be ``edits`` apart, or, with ``percent``, at most so much of the shorter line's characters too (one edit
 at least). Lines are put in classes by length, each with its threshold k (``classes``). Every distinct line of at least
-``min_chars`` characters is indexed under k + 1 segments of its class's segment length, the first half of them counted
-from its start and the others from its end, and probes for them at the shifts that edits allow. If at most k edits lie
-between two lines, one of the two sides with s segments has fewer than s edits, and there is a first segment i of it
-that is as it was and has just i edits before it, so shifts from -i to i are enough: lines n - k to n are met without
-a probe for each length. A line close above its class's least length also probes the classes below, as far as k reaches.
+``min_chars`` characters is cut into k + 1 segments of its class's segment length, the first half of them counted from
+its start and the others from its end. If at most k edits lie between two lines, one of the two sides with s segments
+has fewer than s edits, and there is a first segment i of it that is as it was and has just i edits before it, so it
+lies at most i characters off in the other line. Each line is indexed under substrings of segment i at the marks of a
+sparse ruler: any distance up to i is the difference of two of its marks (``ruler``), so both lines have one substring
+in common, whatever their lengths, with far fewer entries than one for each shift. A line close above its class's least
+length is also looked up in the classes below, as far as k reaches.
 
 Keys of a few lines give their pairs. Keys with many lines (a template's segment) are refined instead of paired: what
-lies behind the segment has at most k - i edits and is cut again in the same way, until the keys are small or the
+lies behind the substring has at most k - i edits and is cut again in the same way, until the keys are small or the
 pieces are shorter than ``TERMINAL`` characters. A key counts as small by its number of edits left, as refining makes
-more entries the more there are.
+more entries the more there are. Entries are dealt by key once; keys that a sample of the lines shows to be very
+frequent are refined at once and never gather in one place.
 
 Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves.
 
-Order is (doc_id, line number). A line is removed if an earlier line is equal or within the threshold of it. Defined
-results: shorter and blank lines are never removed; null texts have no lines, an empty text has one blank line; ids
-name a text, and repeated rows get the same decisions each; rows without an id come first and keep their lines; extra columns pass ``dedup_lines`` untouched; an empty
-table gives an empty result. Lines are told equal by MD5 and length.
+Order is (doc_id, line number), rows without an id first, several texts of one id by MD5. A line is removed if an earlier
+line is equal or within the threshold of it. Defined results: shorter and blank lines are never removed; null texts have
+no lines, an empty text has one blank line; rows of equal id and text get the same decisions each; extra columns pass
+``dedup_lines`` untouched; an empty table gives an empty result. Lines are told equal by two 64-bit hashes and length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import stored, unused
+from quernlake.llm.common import small, stored, text_id, unused
 
 EDITS, SMALL_KEY, TERMINAL, LAST_CLASS = 1, 32, 2, 4096
+#: One line in so many is looked at for keys that are very frequent, and entries of a key there that make it so.
+SAMPLE, FREQUENT = 1024, 16
+#: Distances up to which the shortest ruler is searched for.
+SEARCHED = 10
+LINE = ["h", "g", "chars"]
 ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line (number from 0), text of the lines that take part."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return rows.where((F.char_length("text") >= min_chars) & (F.trim("text") != ""))
+    """Two hashes h and g, chars, at (place: d, tid, l from 0) and text of the lines that take part."""
+    rows = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.posexplode(F.split("text", "\n")).alias("l", "text"))
+    rows = rows.where((F.char_length("text") >= min_chars) & (F.trim("text") != ""))
+    at = F.struct(F.col("doc_id").alias("d"), "tid", "l").alias("at")
+    return rows.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(LAST_CLASS), "text").alias("g"), F.char_length("text").alias("chars"), at, "text")
+
+
+def ruler(i: int) -> list[int]:
+    """Few marks from 0 of which two differ by d, for each d up to i."""
+    whole = set(range(1, i + 1))
+    if i <= SEARCHED:
+        for n in range(i + 1):
+            for inner in combinations(range(1, i), n):
+                marks = sorted({0, *inner, i})
+                if whole <= {y - x for x, y in combinations(marks, 2)}:
+                    return marks
+    step = max(1, round(i**0.5))
+    return sorted({*range(step), *range(step, i + step, step)})
 
 
 def threshold(n: int, edits: int, percent: int) -> int:
@@ -63,7 +88,7 @@ def _class_of(n: Column, found: list[tuple[int, int]]) -> Column:
 
 
 def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
-    """What a line of class ``c`` and at most ``most`` characters has: segments of ``size`` characters ``at`` a distance from a side."""
+    """What a line of class ``own`` and at most ``most`` characters has: substrings of ``size`` characters ``at`` a distance from a side."""
     rows = []
     for own, (lo, _) in enumerate(found):
         for c, (least, k) in enumerate(found[: own + 1]):
@@ -74,15 +99,15 @@ def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
             size = least // (k + 1)
             for side, count in enumerate(((k + 2) // 2, (k + 1) // 2)):
                 for i in range(count):
-                    for shift in range(-i, i + 1):
-                        if i * size + shift >= 0:
-                            probe = int(c != own or shift != 0)
-                            rows.append((2 * len(rows) + probe, own, most, c, side, i, i * size + shift, size, probe, least - (i + 1) * size, k - i))
+                    marks = ruler(i)
+                    for m in marks:
+                        other = int(c != own)
+                        rows.append((2 * len(rows) + other, own, most, c, side, i, i * size + m, max(0, size - marks[-1]), other, least - (i + 1) * size, k - i))
     return spark.createDataFrame(rows, "p int, own int, most int, c int, side int, i int, at int, size int, probe int, room int, edits int")
 
 
 def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
-    """key, id, probe and the row ``p`` of the plan; characters of four bytes each are cut without a walk through the text."""
+    """key, id and the row ``p`` of the plan; characters of four bytes each are cut without a walk through the text."""
     start = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("chars") - F.col("at") - F.col("size"))
     got = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), _class_of(F.col("chars"), found).alias("own"))
     got = got.join(F.broadcast(plan), "own").where((F.col("chars") <= F.col("most")) & (start >= 0))
@@ -90,10 +115,18 @@ def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) ->
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of keys that an indexed line and another line have, with the number of entries as ``n``."""
+    """Entries of keys that a line of the key's class and another line have, with the number of entries as ``n``."""
+    often = entries.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {FREQUENT}")
+    often = stored(often.select("key"))
+    n_often = often.count()
+    rest = entries.join(small(often, n_often), "key", "left_anti") if n_often else entries
     probe = F.col("probe") if "probe" in entries.columns else F.col("p") % 2
-    n = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - probe).alias("indexed"))
-    return entries.join(n.where("n > 1 and indexed > 0").drop("indexed"), "key")
+    w = Window.partitionBy("key")
+    rest = rest.withColumns({"n": F.count(F.lit(1)).over(w), "_own": F.sum(1 - probe).over(w), "_lo": F.min("id").over(w), "_hi": F.max("id").over(w)})
+    rest = rest.where("n > 1 and _own > 0 and _lo <> _hi").drop("_own", "_lo", "_hi")
+    if not n_often:
+        return rest
+    return rest.unionByName(entries.join(small(often, n_often), "key", "left_semi").withColumn("n", F.lit(SAMPLE * FREQUENT).cast("long")))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
@@ -102,19 +135,21 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return a.join(b, "key").where("(probe = 1 and a <> b) or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _refined(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """The entries of large keys under longer keys: the pieces behind the part that is equal, at the shifts that the edits left allow."""
+def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """The entries of large keys under longer keys: substrings of the pieces behind the part that is equal, at the marks that the edits left ask for."""
+    marks = F.array(*[F.array(*map(F.lit, ruler(i))) for i in range(edits + 1)])
     e = entries.join(lines.select("id", "text"), "id").withColumn("text", F.when(F.col("side") == 0, F.col("text")).otherwise(F.reverse("text")))
     e = e.withColumn("size", F.floor(F.col("room") / (F.col("edits") + 1)).cast("int"))
-    e = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn("shift", F.explode(F.sequence(-F.col("i"), F.col("i"))))
-    e = e.withColumn("from", F.col("at") + F.col("i") * F.col("size") + F.col("shift")).where("`from` >= 0")
-    key = F.xxhash64("key", "i", F.substring(F.col("text"), F.col("from") + 1, F.col("size")))
-    more = F.when(F.col("shift") == 0, F.col("probe")).otherwise(1)
-    return e.select(key.alias("key"), "id", more.alias("probe"), "side", (F.col("from") + F.col("size")).alias("at"), (F.col("room") - (F.col("i") + 1) * F.col("size")).alias("room"), (F.col("edits") - F.col("i")).alias("edits"))
+    e = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn("length", F.col("size") - F.array_max(marks[F.col("i")]))
+    # a piece that is too short for its marks tells nothing apart, and once is enough
+    e = e.withColumn("mark", F.explode(F.when(F.col("length") > 0, marks[F.col("i")]).otherwise(F.array(F.lit(0))))).withColumn("length", F.greatest("length", F.lit(0)))
+    e = e.withColumn("from", F.col("at") + F.col("i") * F.col("size") + F.col("mark"))
+    key = F.xxhash64("key", "i", F.substring(F.col("text"), F.col("from") + 1, F.col("length")))
+    return e.select(key.alias("key"), "id", "probe", "side", (F.col("from") + F.col("length")).alias("at"), (F.col("room") - (F.col("i") + 1) * F.col("size")).alias("room"), (F.col("edits") - F.col("i")).alias("edits"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    side = lambda c: lines.select(F.col("id").alias(c), F.struct("d", "l").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
+    side = lambda c: lines.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
     limit = F.lit(edits)
     if percent:
         limit = F.greatest(F.lit(1), F.least(limit, F.floor(F.least("n_a", "n_b") * percent / 100).cast("int")))
@@ -123,12 +158,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> D
 
 
 def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (hash, chars, d, l of the first, copies) and the links (a, b) between their first places."""
+    """Distinct lines (hashes, chars, first place, copies, text, id) and the links (a, b) between their first places."""
     found = classes(min_chars, edits, percent)
-    keyed = occurrences(docs, min_chars).select(F.unhex(F.md5("text")).alias("hash"), F.char_length("text").alias("chars"), F.struct(F.col("doc_id").alias("d"), F.col("line").alias("l")).alias("at"), "text")
-    lines = keyed.groupBy("hash", "chars").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
-    # entries name a line by a number that is stored with it, so lines without a document id are found too
-    lines = stored(lines.select("hash", "chars", "at.d", "at.l", "copies", "text", F.monotonically_increasing_id().alias("id")))
+    lines = occurrences(docs, min_chars).groupBy(*LINE).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
     pairs, many = [], stored(_shared(_entries(lines, plan, found)).join(behind, "p").drop("p"))
@@ -139,7 +172,7 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
         many = many.where(~few)
         if many.isEmpty():
             break
-        many = stored(_shared(_refined(many.select(*ENTRY), lines)))
+        many = stored(_shared(_refined(many.select(*ENTRY), lines, edits)))
     candidates = pairs[0]
     for p in pairs[1:]:
         candidates = candidates.union(p)
@@ -147,15 +180,15 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
 
 
 def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, percent: int = 0) -> DataFrame:
-    """doc_id with removed, fuzzy (removed without an equal earlier line) and links of the lines it first has."""
+    """doc_id and tid (of the text) with removed, n_fuzzy (removed without an equal earlier line) and n_links of the lines it first has."""
     lines, links = line_links(docs, min_chars, edits, percent)
     near = links.select(F.col("a").alias("at"), F.col("b").alias("other")).union(links.select(F.col("b").alias("at"), F.col("a").alias("other")))
     near = near.groupBy("at").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
-    state = lines.select("hash", "chars", F.struct("d", "l").alias("at"), "copies").join(near, "at", "left").where("copies > 1 or links > 0")
-    occ = occurrences(docs, min_chars).select(F.unhex(F.md5("text")).alias("hash"), F.char_length("text").alias("chars"), F.struct(F.col("doc_id").alias("d"), F.col("line").alias("l")).alias("here"))
-    got = occ.join(state, ["hash", "chars"]).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
-    got = got.distinct()
-    return got.groupBy(F.col("here.d").alias("doc_id")).agg(
+    state = lines.select(*LINE, "at", "copies").join(near, "at", "left").where("copies > 1 or links > 0")
+    occ = occurrences(docs, min_chars).select(*LINE, F.col("at").alias("here"))
+    got = occ.join(state, LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
+    got = got.distinct()  # rows of equal id and text
+    return got.groupBy(F.col("here.d").alias("doc_id"), F.col("here.tid").alias("tid")).agg(
         F.collect_set(F.when(~F.col("is_first") | F.col("near"), F.col("here.l"))).alias("removed"),
         F.count_if(F.col("is_first") & F.col("near")).alias("n_fuzzy"),
         F.coalesce(F.sum(F.when(F.col("is_first"), F.col("links"))), F.lit(0)).alias("n_links"),
@@ -164,11 +197,11 @@ def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, perc
 
 def _with_decisions(docs: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int, percent: int) -> tuple[DataFrame, str, str]:
     """``docs`` with the decisions and the text that stays, and the names of these two columns."""
-    doc, mark, rest = (unused(c, docs.columns) for c in ("_doc", "_gone", "_text"))
+    doc, tid, mark, rest = (unused(c, docs.columns) for c in ("_doc", "_tid", "_gone", "_text"))
     view = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = stored(removed_lines(view, min_chars, edits, percent)).select(F.col("doc_id").alias(doc), F.struct("removed", "n_fuzzy", "n_links").alias(mark))
+    gone = stored(removed_lines(view, min_chars, edits, percent)).select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.struct("removed", "n_fuzzy", "n_links").alias(mark))
     # decisions grow with the documents, so both sides are shuffled at every size; hot keys can't occur among ids
-    out = docs.join(gone.hint("merge"), docs[id_col] == gone[doc], "left").drop(doc)
+    out = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone[doc]) & (text_id(F.col(text_col)) == gone[tid]), "left").drop(doc, tid)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains(f"{mark}.removed", i), F.lit(False)))
     return out.withColumn(rest, F.array_join(kept, "\n")), mark, rest
 

@@ -347,15 +347,15 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
 def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, and among its texts the representative.
 
-    Rows without words are all kept; columns stay as they are.
+    Rows without words and rows of equal id and text are all kept; of rows without an id one is. Columns stay as they are.
     """
     doc, tid, n = (unused(c, docs.columns) for c in ("_doc", "_tid", "_copies"))
     rows = near_rows(docs, percent, id_col, text_col)
-    count = F.when(F.max("n_shingles") == 0, 1).otherwise(F.count(F.lit(1)))
+    count = F.when((F.max("n_shingles") == 0) | F.col("doc_id").isNotNull(), 1).otherwise(F.count(F.lit(1)))
     stays = rows.where("n_shingles = 0 or (doc_id <=> component_id and tid = first)").groupBy("doc_id", "tid").agg(count.alias(n))
     stays = stored(stays.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), n))
     kept = docs.join(stays.hint("merge"), docs[id_col].cast("long").eqNullSafe(stays[doc]) & (text_id(F.col(text_col)) == stays[tid]))
     out = kept.where(F.col(n) == 1)
-    if stays.where(F.col(n) > 1).limit(1).count():  # the same id and text again
+    if stays.where(F.col(n) > 1).limit(1).count():  # one text several times without an id
         out = out.union(kept.where(F.col(n) > 1).dropDuplicates([doc, tid]))
     return out.select(*docs.columns)

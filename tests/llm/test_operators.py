@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernlake.llm import line_dedup as line_module
 from quernlake.llm import near_dedup as near_module
 from quernlake.llm import substring_dedup as substring_module
 from quernlake.llm import suffix_tree_lm as lm
@@ -325,6 +326,37 @@ def test_line_links_of_first_places_without_an_id(spark):
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup(docs).collect()} == {None: 0, 5: 1, 9: 1}
 
 
+def test_line_decisions_of_one_id(spark):
+    """Several texts of one id, or without one, have their own decisions; rows of equal id and text the same."""
+    x, y, z = (f"{w} line of some words for this test of ids" for w in ("first", "second", "quite another third"))
+    data = [(None, x), (None, y + "\n" + x), (3, z), (3, y + "\n" + "k" * 30), (3, z), (4, "own " * 9 + "\n" + z)]
+    got = rows(line_dedup(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_removed", "kept_text"))
+    twice = min([x, y + "\n" + x], key=lambda t: hashlib.md5(t.encode()).digest()) == x  # the text that comes first keeps the line
+    want = [(None, int(not twice), x if twice else ""), (None, int(twice), y if twice else y + "\n" + x), (3, 0, z), (3, 1, "k" * 30), (3, 0, z), (4, 1, "own " * 9)]
+    assert got == sorted(want, key=repr)
+
+
+def test_rulers():
+    for i in range(40):
+        marks = line_module.ruler(i)
+        assert {y - x for x in marks for y in marks if y > x} >= set(range(1, i + 1)) and len(marks) <= max(1, i + 1)
+
+
+def test_lines_of_frequent_keys(spark, monkeypatch):
+    """Keys that the sample shows to be frequent are refined at once; the result is the same."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    head = " ".join(word() for _ in range(12))
+    texts = [(i, head + " " + word() + " " + word()) for i in range(150)]
+    texts += [(1000 + i, t[:30] + "X" * (i % 3) + t[31:]) for i, t in texts[:40]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = rows(line_dedup(docs, edits=4, percent=5))
+    assert any(x[2] for x in want)
+    monkeypatch.setattr(line_module, "SAMPLE", 2)
+    monkeypatch.setattr(line_module, "FREQUENT", 5)
+    assert rows(line_dedup(docs, edits=4, percent=5)) == want
+
+
 # --- 7
 
 
@@ -410,7 +442,7 @@ def test_near_ids(spark):
     kept = rows(near_module.one_of_each(clash(df)).select("doc_id", "text"))
     assert kept == sorted([data[0], data[2], data[5], (None, ""), data[8], data[9]], key=repr)
     twice = near_module.one_of_each(df.union(df.where("doc_id = 1"))).where("doc_id = 1")
-    assert twice.count() == 1
+    assert twice.count() == 2  # rows of equal id and text are one document
 
 
 # --- 8
