@@ -28,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

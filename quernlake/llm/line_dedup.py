@@ -8,7 +8,8 @@ has fewer than s edits, and there is a first segment i of it that is as it was a
 lies at most i characters off in the other line. Each line is indexed under substrings of segment i at the marks of a
 sparse ruler: any distance up to i is the difference of two of its marks (``ruler``), so both lines have one substring
 in common, whatever their lengths, with far fewer entries than one for each shift. A line close above its class's least
-length is also looked up in the classes below, as far as k reaches.
+length is also looked up in the classes below, as far as k reaches. Keys hold a range of lengths as well; a line close
+above a range's least length is also looked up in the range below.
 
 Keys of a few lines give their pairs. Keys with many lines (a template's segment) are refined instead of paired: what
 lies behind the substring has at most k - i edits and is cut again in the same way, until the keys are small or the
@@ -26,7 +27,7 @@ no lines, an empty text has one blank line; rows of equal id and text get the sa
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from quernlake.llm.common import small, stored, text_id, unused
 EDITS, SMALL_KEY, TERMINAL, LAST_CLASS = 1, 32, 2, 4096
 #: One line in so many is looked at for keys that are very frequent, and entries of a key there that make it so.
 SAMPLE, FREQUENT = 1024, 16
+#: Lengths that share keys, for each edit of the threshold.
+WIDTH = 4
 #: Distances up to which the shortest ruler is searched for.
 SEARCHED = 10
 LINE = ["h", "g", "chars"]
@@ -100,18 +103,21 @@ def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
             for side, count in enumerate(((k + 2) // 2, (k + 1) // 2)):
                 for i in range(count):
                     marks = ruler(i)
-                    for m in marks:
-                        other = int(c != own)
-                        rows.append((2 * len(rows) + other, own, most, c, side, i, i * size + m, max(0, size - marks[-1]), other, least - (i + 1) * size, k - i))
-    return spark.createDataFrame(rows, "p int, own int, most int, c int, side int, i int, at int, size int, probe int, room int, edits int")
+                    for m, down in product(marks, (0, 1)):
+                        probe = int(c != own or down)
+                        rows.append((2 * len(rows) + probe, own, most, c, k, down, side, i, i * size + m, max(0, size - marks[-1]), probe, least - (i + 1) * size, k - i))
+    return spark.createDataFrame(rows, "p int, own int, most int, c int, k int, down int, side int, i int, at int, size int, probe int, room int, edits int")
 
 
 def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
     """key, id and the row ``p`` of the plan; characters of four bytes each are cut without a walk through the text."""
     start = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("chars") - F.col("at") - F.col("size"))
     got = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), _class_of(F.col("chars"), found).alias("own"))
-    got = got.join(F.broadcast(plan), "own").where((F.col("chars") <= F.col("most")) & (start >= 0))
-    return got.select(F.xxhash64("c", "side", "i", F.substring("wide", 4 * start + 1, 4 * F.col("size"))).alias("key"), "id", "p")
+    width = WIDTH * F.col("k")
+    fits = (F.col("down") == 0) | (F.col("chars") % width < F.col("k"))
+    got = got.join(F.broadcast(plan), "own").where((F.col("chars") <= F.col("most")) & fits & (start >= 0))
+    lengths = F.floor(F.col("chars") / width) - F.col("down")
+    return got.select(F.xxhash64("c", "side", "i", lengths, F.substring("wide", 4 * start + 1, 4 * F.col("size"))).alias("key"), "id", "p")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
     """Distinct lines (hashes, chars, first place, copies, text, id) and the links (a, b) between their first places."""
     found = classes(min_chars, edits, percent)
     lines = occurrences(docs, min_chars).groupBy(*LINE).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
-    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), codec="zstd")  # mostly text
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
     pairs, many = [], stored(_shared(_entries(lines, plan, found)).join(behind, "p").drop("p"))
