@@ -50,16 +50,21 @@ class Handler(socketserver.StreamRequestHandler):
         if not self._startup():
             return
         engine = Engine(self.server.spark, self.server.dsn)
+        skipping = False  # after an error in the extended protocol, all up to Sync
         try:
             while kind := self.rfile.read(1):
                 body = self.rfile.read(struct.unpack("!i", self.rfile.read(4))[0] - 4)
                 if kind == b"X":
                     break
+                if skipping and kind != b"S":
+                    continue
                 if kind == b"Q":
                     self._query(engine, body.rstrip(b"\0").decode())
                 elif kind == b"S":
+                    skipping = False
                     self._ready(engine)
                 elif kind in b"PBDEC":
+                    skipping = True
                     self.wfile.write(error(ValueError("the extended protocol isn't served")))
         finally:
             engine.close()

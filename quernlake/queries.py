@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from quernlake.functions import aggregates, scalar
 from quernlake.operators import dml, relational, temporal
 from quernlake.plans.engine import Engine
 from quernlake.sources import files
+from quernlake.sources.versioned import ConstraintError
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +198,22 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT TIME_TRUNC('15m', ts) AS bucket, FIRST(value ORDER BY ts, event_id) AS open, MAX(value) AS high, MIN(value) AS low, LAST(value ORDER BY ts, event_id) AS close FROM events GROUP BY TIME_TRUNC('15m', ts)",
         "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bucket, arg_min(value, {'a': ts, 'b': event_id}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {'a': ts, 'b': event_id}) AS close FROM events GROUP BY 1",
     ),
+    "text_plus": (
+        "SELECT p_partkey, p_brand + p_type AS a, p.p_name + '/' + UPPER(p_brand) AS b, p_size + p_partkey AS c FROM part p",
+        "SELECT p_partkey, p_brand || p_type AS a, p_name || '/' || upper(p_brand) AS b, p_size + p_partkey AS c FROM part",
+    ),
+    "substring_from": (
+        "SELECT o_orderkey, SUBSTRING(o_orderpriority FROM o_orderkey % 4 + 1 FOR 3) AS s, EXTRACT(MONTH FROM o_orderdate) AS m FROM orders",
+        "SELECT o_orderkey, substring(o_orderpriority, CAST(o_orderkey % 4 + 1 AS BIGINT), 3) AS s, CAST(extract(month FROM o_orderdate) AS INTEGER) AS m FROM orders",
+    ),
+    "json_members": (
+        "SELECT event_id, props -> 'k' AS j, CAST(props ->> 'k' AS INTEGER) AS k FROM events",
+        "SELECT event_id, CAST(props -> 'k' AS VARCHAR) AS j, TRY_CAST(props ->> 'k' AS BIGINT) AS k FROM events",
+    ),
+    "cast_boolean": (
+        "SELECT n_nationkey, CAST(n_nationkey % 2 AS BOOLEAN) AS odd, CAST('yes' AS BOOLEAN) AS y, CAST(CAST(NULL AS TEXT) AS BOOLEAN) AS u FROM nation",
+        "SELECT n_nationkey, n_nationkey % 2 <> 0 AS odd, TRUE AS y, CAST(NULL AS BOOLEAN) AS u FROM nation",
+    ),
     "json_valid": (
         "SELECT event_id, CAST(props AS JSON) IS NOT NULL AS ok, CAST(CONCAT('{', props) AS JSON) IS NULL AS broken FROM events",
         "SELECT event_id, json_valid(props) AS ok, NOT json_valid('{' || props) AS broken FROM events",
@@ -213,6 +231,22 @@ FLAGSHIP = """
     GROUP BY n.n_name HAVING COUNT(*) > 5 ORDER BY revenue DESC, n.n_name LIMIT 10
 """
 SAME["join_group_having_topk"] = FLAGSHIP
+SAME |= {
+    "join_natural": "SELECT n_name, n_regionkey FROM nation NATURAL JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 12) x",
+    "join_semi": "SELECT c_custkey FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey",
+    "join_anti": "SELECT c_custkey FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey",
+    "grouping_sets": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "group_ordinal": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1",
+    "nulls_first": "SELECT k FROM (SELECT NULLIF(o_orderstatus, 'F') AS k, o_orderkey FROM orders) t ORDER BY k NULLS FIRST, o_orderkey LIMIT 900",
+    "cast_in_where": "SELECT o_orderkey FROM orders WHERE CAST(o_totalprice AS INTEGER) % 2 = 0 AND CAST(o_orderkey AS TEXT) LIKE '1%' AND o_totalprice < 0",
+    "not_like_between": "SELECT p_partkey FROM part WHERE p_type NOT LIKE '%A%' AND p_size NOT BETWEEN 5 AND 15",
+    "boolean_predicate": "SELECT x.o_orderkey FROM (SELECT o_orderkey, o_totalprice > 1000 AS big FROM orders) x WHERE big = TRUE OR big = FALSE",
+    "distinct_from": "SELECT o_orderkey FROM orders WHERE NULLIF(o_orderstatus, 'F') IS DISTINCT FROM 'O' AND o_orderpriority IS NOT DISTINCT FROM '1-URGENT'",
+    "intersect_all": "SELECT n_regionkey FROM nation WHERE n_nationkey < 15 INTERSECT ALL SELECT n_regionkey FROM nation WHERE n_nationkey > 8",
+    "except_all": "SELECT n_regionkey FROM nation EXCEPT ALL SELECT n_regionkey FROM nation WHERE n_nationkey > 8",
+    "unary_minus": "SELECT -l_quantity AS q, -(l_linenumber - 3) AS n FROM lineitem WHERE -l_quantity < -40",
+    "windows_more": "SELECT c_custkey, LEAD(c_custkey, 1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nxt, FIRST_VALUE(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS f, CAST(NTILE(3) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS t FROM customer",
+}
 
 
 def dialect(text: str) -> Query:
@@ -310,6 +344,101 @@ def engine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT id, bal FROM t")
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with a versioned copy of the orders."""
+    e = engine(spark, sf_dir, "orders customer")
+    e.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, cust INTEGER, status TEXT, price FLOAT)")
+    e.execute("INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+    return e
+
+
+def as_of_after_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version from before a snapshot next to the one after it and a later change of a column's type."""
+    e = _orders(spark, sf_dir)
+    before = e.store.latest().version
+    e.execute("UPDATE t SET status = 'N' WHERE id % 3 = 0")
+    e.execute("PRAGMA snapshot")
+    e.execute("DELETE FROM t WHERE id % 5 = 0")
+    e.execute("ALTER TABLE t MODIFY COLUMN cust TEXT")
+    return e.sql(f"SELECT a.id, a.cust, a.status AS old_status, b.status, b.cust AS cust_text FROM t AS OF TRANSACTION {before} a LEFT JOIN t b ON a.id = b.id")
+
+
+def upsert_key_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert that would give two rows one key is an error and changes nothing; one to a free key works."""
+    e = _orders(spark, sf_dir)
+    first, second = (r[0] for r in e.sql("SELECT id FROM t ORDER BY id LIMIT 2").collect())
+    try:
+        e.execute(f"INSERT INTO t (id) VALUES ({first}) ON DUPLICATE KEY UPDATE id = {second}")
+    except ConstraintError:
+        e.execute(f"INSERT INTO t (id) VALUES ({first}) ON DUPLICATE KEY UPDATE id = -1")
+    return e.sql("SELECT id, status FROM t")
+
+
+def update_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _orders(spark, sf_dir)
+    e.execute("WITH rich AS (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) UPDATE t SET status = 'R', price = price + 1 WHERE cust IN (SELECT c_custkey FROM rich)")
+    return e.sql("SELECT id, status, price FROM t")
+
+
+def delete_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _orders(spark, sf_dir)
+    e.execute("DELETE FROM t WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = cust AND c_acctbal < 0) OR price > (SELECT AVG(o_totalprice) FROM orders)")
+    return e.sql("SELECT id FROM t")
+
+
+def transaction_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _orders(spark, sf_dir)
+    e.execute("BEGIN; DELETE FROM t WHERE id % 2 = 0; SAVEPOINT a; DELETE FROM t; ROLLBACK TO a; ALTER TABLE t RENAME TO u; COMMIT")
+    e.execute("BEGIN; DELETE FROM u; ROLLBACK")
+    return e.sql("SELECT id, price FROM u")
+
+
+def ddl_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are added, renamed, changed and dropped, a view and a table from a query."""
+    e = _orders(spark, sf_dir)
+    e.execute("CREATE INDEX by_cust ON t (cust); ALTER TABLE t ADD COLUMN score FLOAT; UPDATE t SET score = price / 2 WHERE id < 1000")
+    e.execute("ALTER TABLE t RENAME COLUMN score TO points; ALTER TABLE t DROP COLUMN cust; CREATE VIEW v AS SELECT id, points FROM t WHERE points IS NOT NULL")
+    e.execute("CREATE TABLE w AS SELECT id, points, status FROM t WHERE status = 'F'; DROP TABLE IF EXISTS nothing")
+    return e.sql("SELECT v.id, v.points, w.status FROM v LEFT JOIN w ON v.id = w.id")
+
+
+def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "")
+    e.execute("CREATE TABLE b (id INTEGER PRIMARY KEY, x TEXT NOT NULL, y FLOAT); CREATE TABLE a (i INTEGER); CREATE INDEX by_x ON b (x); CREATE COLUMNAR INDEX ON b (y)")
+    e.execute("SET vectorized = ON; PRAGMA keep_snapshots = 3; TRUNCATE TABLE a")
+    parts = [e.sql(f"SHOW {what}") for what in ("TABLES", "CREATE TABLE b", "INDEXES FROM b")] + [e.sql("PRAGMA keep_snapshots")]
+    rows = [(i, "|".join(str(v) for v in r)) for i, df in enumerate(parts) for r in df.collect()]
+    return spark.createDataFrame(rows, "part int, line string")
+
+
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as CSV, JSON and Parquet and back."""
+    e = engine(spark, sf_dir, "")
+    root = f"{e.store.files.root}/files"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    back = None
+    for kind in ("csv", "json", "parquet"):
+        files.write(o, f"{root}/{kind}", kind)
+        part = files.read(spark, f"{root}/{kind}", kind, schema=o.schema).withColumn("kind", F.lit(kind))
+        back = part if back is None else back.unionByName(part)
+    return back
+
+
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar and an aggregate function of the caller's own."""
+
+    def doubled(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    e = engine(spark, sf_dir, "supplier")
+    e.register_function("doubled", F.pandas_udf(doubled, "long"))
+    e.register_function("spread", F.pandas_udf(spread, "double"))
+    return e.sql("SELECT doubled(s_nationkey) AS d, spread(s_acctbal) AS s FROM supplier GROUP BY s_nationkey")
+
+
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, "orders").prepare("SELECT o_orderkey FROM orders WHERE o_orderstatus = ? AND o_totalprice BETWEEN $2 AND $3").sql("F", 1000, 50000.5)
 
@@ -358,6 +487,27 @@ DATAFRAME: dict[str, tuple[Query, str]] = {
         engine_merge,
         "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE 0 END AS bal FROM supplier WHERE (s_suppkey % 2 = 0 AND s_nationkey >= 5) OR (s_suppkey % 2 <> 0 AND s_nationkey > 10)",
     ),
+    "as_of_after_snapshot": (
+        as_of_after_snapshot,
+        "SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS old_status, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE o_orderstatus END END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS cust_text FROM orders",
+    ),
+    "upsert_key_change": (upsert_key_change, "SELECT CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN -1 ELSE o_orderkey END AS id, o_orderstatus AS status FROM orders"),
+    "update_subquery": (
+        update_subquery,
+        "SELECT o_orderkey AS id, CASE WHEN c_acctbal > 5000 THEN 'R' ELSE o_orderstatus END AS status, CASE WHEN c_acctbal > 5000 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    ),
+    "delete_subquery": (
+        delete_subquery,
+        "SELECT o_orderkey AS id FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE coalesce(c_acctbal, 0) >= 0 AND o_totalprice <= (SELECT avg(o_totalprice) FROM orders)",
+    ),
+    "transaction_savepoint": (transaction_savepoint, "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 2 <> 0"),
+    "ddl_changes": (ddl_changes, "SELECT o_orderkey AS id, o_totalprice / 2 AS points, CASE WHEN o_orderstatus = 'F' THEN 'F' END AS status FROM orders WHERE o_orderkey < 1000"),
+    "show_tables": (
+        show_tables,
+        "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'a'), (0, 'b'), (1, 'b|CREATE TABLE b (id INTEGER PRIMARY KEY, x TEXT NOT NULL, y FLOAT)'), (2, 'b|by_x|x|btree|False'), (2, 'b|columnar_b_y|y|columnar|False'), (3, '3')) v(part, line)",
+    ),
+    "files_round_trip": (files_round_trip, "SELECT o_orderkey, o_orderstatus, o_totalprice, kind FROM orders, (VALUES ('csv'), ('json'), ('parquet')) k(kind)"),
+    "user_functions": (user_functions, "SELECT CAST(2 * s_nationkey AS BIGINT) AS d, max(s_acctbal) - min(s_acctbal) AS s FROM supplier GROUP BY s_nationkey"),
     "parameters": (parameters, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 50000.5"),
     "column_api": (
         column_api,

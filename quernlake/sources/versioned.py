@@ -5,7 +5,9 @@ manifest; whoever creates the next number first wins, so a commit is atomic over
 new rows; updates and deletes add small files of row versions and tombstones. A read is the scan of the inserted files
 without the rows that a newer version replaces, plus those versions: without changes it is a plain scan with all its
 pushdown, with changes the changed ids are joined (broadcast while they are few). ``AS OF`` picks the files of earlier
-commits from the manifest, so it reads no later data. ``compact`` folds versions into the files.
+commits from the manifest, so it reads no later data. ``compact`` folds versions into the files; what it folded stays
+as history (entries and columns of that time), so ``AS OF`` and the check for conflicts reach behind it until ``vacuum``
+drops it, and raise an error beyond.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +29,10 @@ from quernlake.functions.types import SPARK, kind_of
 
 #: Changed rows up to which their ids are broadcast when a table is read.
 BROADCAST_CHANGES = 500_000
+#: Milliseconds for which ``vacuum`` spares data that no manifest ever named.
+GRACE = 24 * 3600 * 1000
+#: What Spark's message says if a value doesn't fit its column.
+MISFIT = "value does not fit column"
 
 
 class DatabaseError(Exception):
@@ -51,9 +59,13 @@ class Files:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def names(self, folder: str) -> list[str]:
+    def listing(self, folder: str) -> list[tuple[str, int]]:
+        """Names and times of change (milliseconds)."""
         p = self._path(folder)
-        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        return [(s.getPath().getName(), s.getModificationTime()) for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def names(self, folder: str) -> list[str]:
+        return [n for n, _ in self.listing(folder)]
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
@@ -63,15 +75,39 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Whether this call created the file; False if it is there already."""
+        """Whether this call created the file; False if it is there already. Readers never see a part of it.
+
+        A local file gets its name by a hard link and one on HDFS by a rename, which both fail if the name is taken;
+        other stores create the file without overwriting, which they publish when it is closed.
+        """
+        target, scheme = self._path(name), self._fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            try:
+                self._write(target, text, False)
+            except Py4JJavaError as e:
+                if not self._fs.exists(target):
+                    raise DatabaseError(str(e.java_exception)) from e
+                return False
+            return True
         temporary = self._path(f"{name}.{uuid.uuid4().hex}")
-        stream = self._fs.create(temporary, True)
+        self._write(temporary, text, True)
+        try:
+            if scheme != "file":
+                return self._fs.rename(temporary, target)
+            local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(local(target), local(temporary))
+            return True
+        except Py4JJavaError as e:
+            if not self._fs.exists(target):
+                raise DatabaseError(str(e.java_exception)) from e
+            return False
+        finally:
+            self._fs.delete(temporary, False)
+
+    def _write(self, path, text: str, overwrite: bool) -> None:
+        stream = self._fs.create(path, overwrite)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self._fs.exists(self._path(name)) or not self._fs.rename(temporary, self._path(name)):
-            self._fs.delete(temporary, False)
-            return False
-        return True
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
@@ -96,6 +132,12 @@ class TableSpec:
     indexes: dict[str, dict] = field(default_factory=dict)
     entries: list[dict] = field(default_factory=list)
     next_id: int = 1
+    #: Tells tables apart that have one name after another.
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: What compactions and changes of types folded: version and time of the fold, entries and columns before it.
+    history: list[dict] = field(default_factory=list)
+    #: The version and the time up to which history is gone.
+    floor: tuple[int, int] = (0, 0)
 
     @property
     def names(self) -> list[str]:
@@ -123,11 +165,40 @@ class TableSpec:
         return T.StructType([T.StructField("_row_id", T.StringType()), T.StructField("_seq", T.LongType()), T.StructField("_deleted", T.BooleanType()), *data])
 
     def dump(self) -> dict:
-        return {"columns": [vars(c) for c in self.columns], "indexes": self.indexes, "entries": self.entries, "next_id": self.next_id}
+        return {k: getattr(self, k) for k in ("indexes", "entries", "next_id", "uid", "history", "floor")} | {"columns": [vars(c) for c in self.columns]}
 
     @staticmethod
     def load(d: dict) -> TableSpec:
-        return TableSpec([ColumnSpec(**c) for c in d["columns"]], d["indexes"], d["entries"], d["next_id"])
+        return TableSpec(**(d | {"columns": [ColumnSpec(**c) for c in d["columns"]]}))
+
+    def fold(self, version: int, stamp: int, entries: list[dict]) -> None:
+        """New entries for the whole table; those before stay as history."""
+        if self.entries:
+            self.history.append({"version": version, "time": stamp, "entries": self.entries, "columns": [dict(vars(c)) for c in self.columns]})
+        self.entries = entries
+
+    def forget(self, keep: int) -> None:
+        """Drop all but the last ``keep`` folds."""
+        gone = self.history[: len(self.history) - keep] if keep else self.history
+        if gone:
+            self.floor = (gone[-1]["version"], gone[-1]["time"])
+            self.history = self.history[len(gone) :]
+
+    def as_of(self, key: str, value: int) -> TableSpec:
+        """The columns and entries at a transaction (``txn``) or a time."""
+        k = 0 if key == "txn" else 1
+        if value < self.floor[k]:
+            raise DatabaseError(f"history before {'transaction' if not k else 'time'} {self.floor[k]} is gone")
+        then = next((h for h in self.history if value < h["time" if k else "version"]), None)
+        columns = [ColumnSpec(**c) for c in then["columns"]] if then else self.columns
+        entries = [e for e in (then["entries"] if then else self.entries) if e[key] is not None and e[key] <= value]
+        return TableSpec(columns, self.indexes, entries, self.next_id, self.uid)
+
+    def since(self, base: TableSpec | None) -> list[dict]:
+        """The entries that other commits made after ``base``, folded ones too."""
+        known = {e["path"] for e in base.entries} if base else set()
+        found = {e["path"]: e for part in [*[h["entries"] for h in self.history], self.entries] for e in part if not e.get("folds")}
+        return [e for path, e in found.items() if path not in known]
 
 
 @dataclass
@@ -172,14 +243,30 @@ class Store:
     def publish(self, m: Manifest) -> bool:
         return self.files.create(f"manifests/{m.version:012d}.json", m.dump())
 
+    def save(self, rows: DataFrame, path: str) -> None:
+        """Write rows; a value that doesn't fit its column is an error of the statement."""
+        try:
+            rows.write.parquet(f"{self.files.root}/{path}")
+        except (PySparkException, Py4JJavaError) as e:
+            if MISFIT in str(e):
+                self.files.delete(path)
+                raise DatabaseError(MISFIT + str(e).split(MISFIT)[1].split("\n")[0].split("'")[0]) from None
+            raise
+
     def write(self, table: TableSpec, rows: DataFrame, seq: int, kind: str) -> dict | None:
         """Write rows (``_row_id``, ``_deleted`` and the table's columns by name); None if there are none."""
         path = f"data/{uuid.uuid4().hex}"
         data = [F.col(f"`{c.name}`").cast(SPARK[c.kind]).alias(c.physical) for c in table.columns]
-        rows.select("_row_id", F.lit(seq).cast("long").alias("_seq"), F.col("_deleted").alias("_deleted"), *data).write.parquet(f"{self.files.root}/{path}")
-        n = self.spark.read.schema(table.schema()).parquet(f"{self.files.root}/{path}").count()
+        self.save(rows.select("_row_id", F.lit(seq).cast("long").alias("_seq"), F.col("_deleted").alias("_deleted"), *data), path)
+        n = self.spark.read.schema(table.schema()).parquet(f"{self.files.root}/{path}").count()  # from the files' footers
         return {"txn": None, "time": None, "kind": kind, "path": path, "rows": n} if n else None
 
+    def newest(self, table: TableSpec, entries: list[dict]) -> DataFrame:
+        """The last version of each row that the entries hold, without deleted ones; physical names."""
+        rows = self._scan(table, entries)
+        rest = [c for c in rows.columns if c != "_row_id"]
+        return rows.groupBy("_row_id").agg(F.max_by(F.struct(*rest), "_seq").alias("_v")).select("_row_id", "_v.*").where(~F.col("_deleted"))
+
     def _scan(self, table: TableSpec, entries: list[dict]) -> DataFrame:
         schema = table.schema()
         if not entries:
@@ -210,8 +297,9 @@ class Transaction:
     def __init__(self, store: Store, isolation: str = "READ COMMITTED"):
         self.store, self.isolation = store, isolation
         self.base = store.latest()
-        self.staged: dict[str, list[dict]] = {}
+        self.staged: dict[str, list[dict]] = {}  # by the tables' uid: names may change
         self.ddl: list = []
+        self.saved: dict[str, tuple[dict[str, int], int]] = {}
         self.steps = 0
 
     # --- reading
@@ -221,19 +309,17 @@ class Transaction:
         m = self.store.latest() if self.isolation == "READ COMMITTED" else copy.deepcopy(self.base)
         for change in self.ddl:
             change(m)
-        for name, entries in self.staged.items():
-            if name in m.tables:
-                m.tables[name].entries += entries
+        for table in m.tables.values():
+            table.entries += self.staged.get(table.uid, [])
         return m
 
     def rows(self, name: str, transaction: int | None = None, timestamp: int | None = None) -> DataFrame:
         table = self.manifest().table(name)
-        entries = table.entries
         if transaction is not None:
-            entries = [e for e in entries if e["txn"] is not None and e["txn"] <= transaction]
+            table = table.as_of("txn", transaction)
         if timestamp is not None:
-            entries = [e for e in entries if e["time"] is not None and e["time"] <= timestamp]
-        return self.store.rows(table, entries)
+            table = table.as_of("time", timestamp)
+        return self.store.rows(table)
 
     # --- changing
 
@@ -247,7 +333,7 @@ class Transaction:
         table = self.manifest().table(name)
         entry = self.store.write(table, rows, ((self.base.version + 1) << 20) + self.steps, kind)
         if entry:
-            self.staged.setdefault(name.lower(), []).append(entry)
+            self.staged.setdefault(table.uid, []).append(entry)
         return entry["rows"] if entry else 0
 
     def insert(self, name: str, rows: DataFrame, on_duplicate: dict[str, Column] | None = None) -> tuple[int, int]:
@@ -260,14 +346,21 @@ class Transaction:
         have = {c.lower() for c in rows.columns}
         if extra := have - set(table.names):
             raise DatabaseError(f"column not found: {', '.join(sorted(extra))}")
-        rows = rows.select(*[(scalar.cast(F.col(f"`{c.name}`"), c.kind) if c.name in have else F.lit(None).cast(SPARK[c.kind])).alias(c.name) for c in table.columns])
+        rows = rows.select(*[(fitted(c) if c.name in have else F.lit(None).cast(SPARK[c.kind])).alias(c.name) for c in table.columns])
         keys = table.unique_keys()
         held = None
         if keys:  # checks and the write read the rows several times: compute them once
             held = f"data/staged-{uuid.uuid4().hex}"
-            rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(f"{self.store.files.root}/{held}")
+            self.store.save(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), held)
             rows = self.store.spark.read.parquet(f"{self.store.files.root}/{held}")
-        rows, last = self._numbered(name.lower(), table, rows) if table.auto else (rows.drop("_part", "_at"), 0)
+        try:
+            return self._inserted(name, table, rows, keys, on_duplicate)
+        finally:
+            if held:
+                self.store.files.delete(held)
+
+    def _inserted(self, name: str, table: TableSpec, rows: DataFrame, keys: list, on_duplicate: dict[str, Column] | None) -> tuple[int, int]:
+        rows, last = self._numbered(table, rows) if table.auto else (rows.drop("_part", "_at"), 0)
         self._not_null(table, rows)
         updated = 0
         if keys:
@@ -286,17 +379,19 @@ class Transaction:
                 both = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key])
                 renamed = both.select(*[F.col(f"old.{c}").alias(c) for c in there.columns], F.struct(*[F.col(f"new.{c}").alias(c) for c in table.names]).alias("new"))
                 changed = renamed.select("_row_id", *[on_duplicate.get(c, F.col(f"`{c}`")).alias(c) for c in table.names])
-                self._not_null(table, changed)
-                updated += self._stage(name, changed.withColumn("_deleted", F.lit(False)), "change")
                 rows = rows.join(there.select(*key).dropna(), key, "left_anti").select(*table.names)
+                updated += self.change(name, changed, set(on_duplicate))
+            if updated:  # the update may have moved a row to a key of a new one
+                there = self.rows(name)
+                for label, key in keys:
+                    if set(key) & set(on_duplicate or ()) and rows.join(there.select(*key).dropna(), key, "left_semi").limit(1).count():
+                        raise ConstraintError(f"{label}: {', '.join(key)} exists")
         first = uuid.uuid4().hex[:12]
         rows = rows.withColumn("_row_id", F.concat(F.lit(f"{first}-"), F.monotonically_increasing_id().cast("string")))
         n = self._stage(name, rows.withColumn("_deleted", F.lit(False)), "insert")
-        if held:
-            self.store.files.delete(held)
         return n + 2 * updated, last
 
-    def _numbered(self, name: str, table: TableSpec, rows: DataFrame) -> tuple[DataFrame, int]:
+    def _numbered(self, table: TableSpec, rows: DataFrame) -> tuple[DataFrame, int]:
         """Staged rows with their missing keys counted up without gaps, from partition counts, and the largest key."""
         key = F.col(f"`{table.auto}`")
         missing = {r["_part"]: r["n"] for r in rows.where(key.isNull()).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -312,8 +407,9 @@ class Transaction:
             top = at
 
         def raise_next(m: Manifest) -> None:
-            if name in m.tables:
-                m.tables[name].next_id = max(m.tables[name].next_id, top + 1)
+            for t in m.tables.values():
+                if t.uid == table.uid:
+                    t.next_id = max(t.next_id, top + 1)
 
         self.ddl.append(raise_next)
         return rows.drop("_part", "_at"), top
@@ -329,7 +425,15 @@ class Transaction:
     def change(self, name: str, new: DataFrame, columns: set[str]) -> int:
         """Rows (``_row_id`` and all columns) that take the place of those of their ids; ``columns`` are those that differ."""
         table = self.manifest().table(name)
-        new = new.select("_row_id", *[scalar.cast(F.col(f"`{c.name}`"), c.kind).alias(c.name) if c.name in columns else F.col(f"`{c.name}`") for c in table.columns])
+        new = new.select("_row_id", *[fitted(c).alias(c.name) if c.name in columns else F.col(f"`{c.name}`") for c in table.columns])
+        held = f"data/staged-{uuid.uuid4().hex}"  # checks and the write see the same values, computed once
+        self.store.save(new, held)
+        try:
+            return self._changed(name, table, self.store.spark.read.schema(new.schema).parquet(f"{self.store.files.root}/{held}"), columns)
+        finally:
+            self.store.files.delete(held)
+
+    def _changed(self, name: str, table: TableSpec, new: DataFrame, columns: set[str]) -> int:
         self._not_null(table, new)
         for label, key in table.unique_keys():
             if set(key) & columns:
@@ -358,70 +462,119 @@ class Transaction:
 
     # --- ending
 
+    def savepoint(self, name: str) -> None:
+        self.saved.pop(name, None)
+        self.saved[name] = ({uid: len(entries) for uid, entries in self.staged.items()}, len(self.ddl))
+
+    def rollback_to(self, name: str) -> None:
+        """Undo what came after the savepoint; it stays, later ones go."""
+        if name not in self.saved:
+            raise DatabaseError(f"savepoint not found: {name}")
+        counts, n = self.saved[name]
+        for uid in list(self.staged):
+            keep = counts.get(uid, 0)
+            for e in self.staged[uid][keep:]:
+                self.store.files.delete(e["path"])
+            self.staged[uid] = self.staged[uid][:keep]
+        self.ddl = self.ddl[:n]
+        names = list(self.saved)
+        self.saved = {k: self.saved[k] for k in names[: names.index(name) + 1]}
+
+    def release(self, name: str) -> None:
+        if name not in self.saved:
+            raise DatabaseError(f"savepoint not found: {name}")
+        names = list(self.saved)
+        self.saved = {k: self.saved[k] for k in names[: names.index(name)]}
+
     def commit(self) -> int:
         """The version that holds the changes. Rows that another commit changed meanwhile are a conflict."""
-        if not self.staged and not self.ddl:
+        staged = {uid: entries for uid, entries in self.staged.items() if entries}
+        if not staged and not self.ddl:
             return self.base.version
         while True:
             now = self.store.latest()
-            self._check_conflicts(now)
+            self._check_conflicts(now, staged)
+            stamp = micros()
             for change in self.ddl:
                 change(now)
             now.version += 1
-            stamp = micros()
-            for name, entries in self.staged.items():
-                if name in now.tables:
-                    now.tables[name].entries += [e | {"txn": now.version, "time": stamp} for e in entries]
+            for table in now.tables.values():
+                table.entries += [e | {"txn": now.version, "time": stamp} for e in staged.get(table.uid, [])]
             if self.store.publish(now):
                 return now.version
 
-    def _check_conflicts(self, now: Manifest) -> None:
+    def _check_conflicts(self, now: Manifest, staged: dict[str, list[dict]]) -> None:
         if now.version == self.base.version:
             return
-        for name, entries in self.staged.items():
-            if name not in now.tables:
+        before = {t.uid: t for t in self.base.tables.values()}
+        for name, table in now.tables.items():
+            entries, base = staged.get(table.uid), before.get(table.uid)
+            if not entries:
                 continue
-            table = now.tables[name]
-            known = {e["path"] for e in self.base.tables[name].entries} if name in self.base.tables else set()
-            others = [e for e in table.entries if e["path"] not in known]
+            others = table.since(base)
             changes, theirs = [e for e in entries if e["kind"] == "change"], [e for e in others if e["kind"] == "change"]
+            if table.floor[0] > self.base.version and changes:
+                raise ConflictError(f"{name}: the changes since this transaction began are folded and gone")
             if changes and theirs and self.store._scan(table, changes).join(self.store._scan(table, theirs).select("_row_id"), "_row_id", "left_semi").limit(1).count():
                 raise ConflictError(f"{name}: another transaction changed the same rows")
-            inserts, fresh = [e for e in entries if e["kind"] == "insert"], [e for e in others if e["kind"] == "insert"]
+            if not others:
+                continue
             for label, key in table.unique_keys():
                 physical = [table.column(k).physical for k in key]
-                if inserts and fresh and self.store._scan(table, inserts).join(self.store._scan(table, fresh).select(*physical).dropna(), physical, "left_semi").limit(1).count():
+                mine = self.store.newest(table, entries).select(F.col("_row_id").alias("_mine"), *physical)
+                both = mine.join(self.store.newest(table, others).select("_row_id", *physical).dropna(), physical).where("_mine <> _row_id")
+                if both.limit(1).count():
                     raise ConflictError(f"{name}: {label} exists in another transaction")
 
     def rollback(self) -> None:
         for entries in self.staged.values():
             for e in entries:
                 self.store.files.delete(e["path"])
-        self.staged, self.ddl = {}, []
+        self.staged, self.ddl, self.saved = {}, [], {}
+
+
+def fitted(c: ColumnSpec) -> Column:
+    """The column cast to its kind; a value that has no such form is an error when it is written."""
+    value = F.col(f"`{c.name}`")
+    made = scalar.cast(value, c.kind)
+    return F.when(value.isNotNull() & made.isNull(), F.raise_error(F.concat(F.lit(f"{MISFIT} {c.name}: "), value.cast("string"))).cast(SPARK[c.kind])).otherwise(made)
 
 
 def compact(store: Store, name: str) -> int:
-    """Fold all versions of a table into one set of files; ``AS OF`` then reaches back to this commit only."""
+    """Fold all versions of a table into one set of files; the folded entries stay as history."""
     now = store.latest()
     table = now.table(name)
     entry = store.write(table, store.rows(table).withColumn("_deleted", F.lit(False)), (now.version + 1) << 20, "insert")
     now.version += 1
-    table.entries = [entry | {"txn": now.version, "time": micros()}] if entry else []
+    stamp = micros()
+    table.fold(now.version, stamp, [entry | {"txn": now.version, "time": stamp, "folds": True}] if entry else [])
     if not store.publish(now):
         raise ConflictError(f"{name}: changed during compaction")
     return now.version
 
 
 def vacuum(store: Store, keep: int = 1) -> int:
-    """Delete all but the last manifests, and the data that none of these names; ``AS OF`` reads only need the latest.
+    """Delete all but the last ``keep`` states: older manifests, older folds of the tables, and the data that only these name.
 
-    No transaction may be open. Returns the number of folders deleted.
+    Data that no manifest ever named is what open transactions staged or failed ones left; it goes after ``GRACE``.
+    Returns the number of folders deleted.
     """
+    keep = max(1, keep)
+    now = store.latest()
+    for table in now.tables.values():
+        table.forget(keep - 1)
+    if now.dump() != store.latest().dump():
+        now.version += 1
+        if not store.publish(now):
+            raise ConflictError("changed while history was dropped")
     versions = sorted(int(n.removesuffix(".json")) for n in store.files.names("manifests") if n.endswith(".json"))
-    kept = versions[-max(1, keep) :]
-    used = {e["path"] for v in kept for t in Manifest.load(store.files.read(f"manifests/{v:012d}.json")).tables.values() for e in t.entries}
-    unused = [n for n in store.files.names("data") if f"data/{n}" not in used]
-    for v in versions[: -len(kept)] if kept else []:
+    paths = lambda m: {e["path"].removeprefix("data/") for t in m.tables.values() for part in [t.entries, *[h["entries"] for h in t.history]] for e in part}
+    used, named = paths(now), set()
+    for v in versions:
+        named |= paths(Manifest.load(store.files.read(f"manifests/{v:012d}.json")))
+    late = micros() // 1000 - GRACE
+    unused = [n for n, at in store.files.listing("data") if n not in used and (n in named or at < late)]
+    for v in versions[:-keep]:
         store.files.delete(f"manifests/{v:012d}.json")
     for n in unused:
         store.files.delete(f"data/{n}")
