@@ -11,11 +11,12 @@ in common, whatever their lengths, with far fewer entries than one for each shif
 length is also looked up in the classes below, as far as k reaches. Keys hold a range of lengths as well; a line close
 above a range's least length is also looked up in the range below.
 
-Keys of a few lines give their pairs. Keys with many lines (a template's segment) are refined instead of paired: what
-lies behind the substring has at most k - i edits and is cut again in the same way, until the keys are small or the
-pieces are shorter than ``TERMINAL`` characters. A key counts as small by its number of edits left, as refining makes
-more entries the more there are. Entries are dealt by key once; keys that a sample of the lines shows to be very
-frequent are refined at once and never gather in one place.
+Keys of a few lines give their pairs. In keys of more lines the pairs are compared where they meet, and only those become
+rows whose signatures allow the threshold: 256 parities of the numbers of their character pairs, of which an edit turns
+four at most. Keys of more than ``DENSE_KEY`` lines (a template's segment) are refined first: what lies behind the
+substring has at most k - i edits and is cut again in the same way, until the keys are smaller or the pieces are shorter
+than ``TERMINAL`` characters. Entries are dealt by key once; keys that a sample of the lines shows to be that frequent
+are refined at once and never gather in one place.
 
 Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves.
 
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from quernlake.llm.common import small, stored, text_id, unused
 
-EDITS, SMALL_KEY, TERMINAL, LAST_CLASS = 1, 32, 2, 4096
+EDITS, SMALL_KEY, DENSE_KEY, TERMINAL, LAST_CLASS = 1, 16, 8192, 2, 4096
+#: Words of 64 bits of a signature.
+WORDS = 4
 #: One line in so many is looked at for keys that are very frequent, and entries of a key there that make it so.
 SAMPLE, FREQUENT = 1024, 16
 #: Lengths that share keys, for each edit of the threshold.
@@ -135,10 +138,29 @@ def _shared(entries: DataFrame) -> DataFrame:
     return rest.unionByName(entries.join(small(often, n_often), "key", "left_semi").withColumn("n", F.lit(SAMPLE * FREQUENT).cast("long")))
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    a = entries.where("probe = 0").select("key", F.col("id").alias("a"))
-    b = entries.select("key", "probe", F.col("id").alias("b"))
-    return a.join(b, "key").where("(probe = 1 and a <> b) or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(entries: DataFrame, more: list[str] | None = None, allowed: Column | None = None) -> DataFrame:
+    """Pairs of entries of one key, one of them of the key's class; columns ``more`` of both sides may be looked at by ``allowed``."""
+    side = lambda c: entries.select("key", F.col("probe").alias(f"p_{c}"), F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more or []])
+    wanted = F.expr("(p_b = 1 and a <> b) or (p_b = 0 and a < b)")
+    return side("a").where("p_a = 0").join(side("b"), "key").where(wanted if allowed is None else wanted & allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def signatures(lines: DataFrame, edits: int, percent: int) -> DataFrame:
+    """id, the line's threshold and its signature."""
+    k = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.col("chars") * percent / 100).cast("int"))) if percent else F.lit(edits)
+    wide = lines.select("id", k.alias("k"), F.encode("text", "UTF-32").alias("wide"), F.explode(F.sequence(F.lit(0), F.col("chars"))).alias("i"))
+    h = wide.select("id", "k", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, 8)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = [F.bit_xor(F.when(F.expr(f"((h >> 6) & {WORDS - 1}) = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
+    return h.groupBy("id", "k").agg(*words)
+
+
+def _dense_pairs(entries: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
+    """Pairs of large keys whose signatures allow their threshold."""
+    ids = entries.select("id").distinct()
+    signed = entries.select("key", "id", "probe").join(signatures(lines.join(ids, "id", "left_semi"), edits, percent), "id")
+    differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
+    return _pairs(stored(signed), ["k", *[f"s{w}" for w in range(WORDS)]], differ <= 4 * F.least("k_a", "k_b"))
 
 
 def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -172,10 +194,13 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
     pairs, many = [], stored(_shared(_entries(lines, plan, found)).join(behind, "p").drop("p"))
     while True:
-        size = F.floor(F.col("room") / (F.col("edits") + 1))
-        few = (F.col("n") <= SMALL_KEY * F.col("edits")) | (size < TERMINAL)
+        few = F.col("n") <= SMALL_KEY
+        last = (F.col("n") <= DENSE_KEY) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
         pairs.append(_pairs(many.where(few)))
-        many = many.where(~few)
+        dense = many.where(~few & last)
+        if not dense.isEmpty():
+            pairs.append(_dense_pairs(dense, lines, edits, percent))
+        many = many.where(~few & ~last)
         if many.isEmpty():
             break
         many = stored(_shared(_refined(many.select(*ENTRY), lines, edits)))

@@ -352,6 +352,9 @@ def test_lines_of_frequent_keys(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     want = rows(line_dedup(docs, edits=4, percent=5))
     assert any(x[2] for x in want)
+    monkeypatch.setattr(line_module, "SMALL_KEY", 2)
+    assert rows(line_dedup(docs, edits=4, percent=5)) == want
+    monkeypatch.setattr(line_module, "DENSE_KEY", 5)
     monkeypatch.setattr(line_module, "SAMPLE", 2)
     monkeypatch.setattr(line_module, "FREQUENT", 5)
     assert rows(line_dedup(docs, edits=4, percent=5)) == want
