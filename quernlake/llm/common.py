@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         conf = jdir.get() if jdir.isDefined() else "file://" + tempfile.mkdtemp(prefix="quernlake-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return f"{conf.rstrip('/')}/{uuid.uuid4().hex}"

@@ -8,9 +8,8 @@ word by word at their place.
 
 Words are runs of anything but ASCII non-alphanumerics, after A-Z is lower-cased. Defined results: null and empty
 texts have no words; items without words are ignored; repeated items count once; an empty benchmark leaves all
-documents clean; ``doc_id`` names a text, and a repeated row gets a row of its own with the same figures; rows
-without an id count as one document; extra
-columns of either table are ignored.
+documents clean; every row, repeated or without an id, has the figures of its own text (hits are found by the MD5 of
+texts, whatever their ids); extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import ascii_lower, id_or_null, known_id, small, stored
+from quernlake.llm.common import ascii_lower, small, stored, text_id, unused
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to which the prefix index is broadcast (about 200 bytes each); more are joined by a shuffle.
@@ -49,39 +48,53 @@ def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, index: DataFrame, n_windows: int) -> DataFrame:
-    """doc_id, start (from 0), length, items for every occurrence of a window in a document."""
-    d = docs.select("doc_id", word_array(F.col("text")).alias("w"))
+    """tid, start (from 0), length, items for every occurrence of a window in a document's text."""
+    d = docs.select(text_id(F.col("text")).alias("tid"), word_array(F.col("text")).alias("w"))
     start = F.col("pos") - F.col("at")
     inside = (start >= 0) & (start + F.size("window") <= F.size("w"))
     same = F.slice("w", start + 1, F.size("window")) == F.col("window")
     if n_windows <= BROADCAST_WINDOWS:
-        found = d.select("doc_id", "w", F.posexplode("w").alias("pos", "token")).join(F.broadcast(index), "token")
-        return found.where(inside & same).select("doc_id", start.alias("start"), F.size("window").alias("length"), "items")
-    found = d.select("doc_id", F.posexplode("w").alias("pos", "token")).join(index, "token").select("doc_id", "pos", "at", "window", "items")
-    return found.join(d, "doc_id").where(inside & same).select("doc_id", start.alias("start"), F.size("window").alias("length"), "items")
+        found = d.select("tid", "w", F.posexplode("w").alias("pos", "token")).join(F.broadcast(index), "token")
+        return found.where(inside & same).select("tid", start.alias("start"), F.size("window").alias("length"), "items")
+    d = d.dropDuplicates(["tid"])
+    tokens = stored(index.select("token").distinct())
+    words = d.select("tid", F.posexplode("w").alias("pos", "token")).join(small(tokens, tokens.count()), "token", "left_semi")
+    found = words.join(index, "token").select("tid", "pos", "at", "window", "items")
+    return found.join(d, "tid").where(inside & same).select("tid", start.alias("start"), F.size("window").alias("length"), "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
-
-    ``spans`` lists the (start, length) of the windows found, in words; ``items`` their item ids as strings.
-    """
-    docs = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+def hits(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """tid, spans, items, n_hit of the texts (column ``text``) that hold a window."""
     windows = stored(windows_of(benchmark, width))
     n = windows.count()
     index = stored(prefix_index(docs, windows))
-    hits = (
+    found = (
         matches(docs, index, n)
-        .groupBy("doc_id")
+        .groupBy("tid")
         .agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     )
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    hits = hits.select("doc_id", "spans", "items", F.size(F.array_distinct(covered)).alias("n_hit"))
-    out = docs.select("doc_id", F.size(word_array(F.col("text"))).cast("long").alias("n_words")).join(hits, "doc_id", "left")
+    return found.select("tid", "spans", "items", F.size(F.array_distinct(covered)).alias("n_hit"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no window; columns stay as they are."""
+    tid = unused("_tid", docs.columns)
+    gone = stored(hits(docs.select(F.col(text_col).alias("text")), benchmark, width).select(F.col("tid").alias(tid)))
+    return docs.join(small(gone, gone.count()), text_id(F.col(text_col)) == F.col(tid), "left_anti")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
+
+    ``spans`` lists the (start, length) of the windows found, in words; ``items`` their item ids as strings.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.size(word_array(F.col("text"))).cast("long").alias("n_words")).join(hits(docs, benchmark, width), "tid", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        id_or_null("doc_id"),
+        "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),

@@ -18,7 +18,7 @@ from quernlake.llm import line_dedup as line_module
 from quernlake.llm import near_dedup as near_module
 from quernlake.llm import substring_dedup as substring_module
 from quernlake.llm import suffix_tree_lm as lm
-from quernlake.llm.decontaminate import decontaminate
+from quernlake.llm.decontaminate import decontaminate, uncontaminated
 from quernlake.llm.exact_dedup import exact_dedup
 from quernlake.llm.language_id import identify_language
 from quernlake.llm.license_scan import TEMPLATES, known_templates, scan_licenses
@@ -600,3 +600,16 @@ def test_twins(spark, name):
     rel = con.sql(ORACLE[name])
     at = [rel.columns.index(c) for c in cols]
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+# --- rows without ids or with shared ones
+
+
+def test_decontamination_by_text(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    data = [(1, "clean words only"), (1, "before " + item + " after"), (None, item), (None, "three clean words"), ((1 << 63) - 1, "more clean"), (2, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 3, 0, False), (1, 16, 14, True), (None, 14, 14, True), (None, 3, 0, False), ((1 << 63) - 1, 2, 0, False), (2, 0, 0, False)], key=repr)
+    left = uncontaminated(clash(docs), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert left.columns == clash(docs).columns and left.count() == 4
