@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import known_id, shared_dir, unused
-from quernlake.llm.decontaminate import decontaminate
+from quernlake.llm.common import shared_dir, unused
+from quernlake.llm.decontaminate import uncontaminated
 from quernlake.llm.language_id import fit, predicted
 from quernlake.llm.line_dedup import dedup_lines
 from quernlake.llm.near_dedup import one_of_each
@@ -48,9 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = marked.where("contaminated").select(known_id(F.col("doc_id")).alias("id"))
-    return docs.join(gone, known_id(docs["doc_id"]) == gone["id"], "left_anti").select(*docs.columns)
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
