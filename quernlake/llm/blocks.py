@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlake.llm.common import shared_dir, text_bytes
@@ -66,6 +66,25 @@ def key_ranges(size: int) -> int:
     return max(8, -(-size // RANGE_BYTES))
 
 
+def bucket_count(spark: SparkSession, size: int) -> int:
+    return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+
+
+class Replies:
+    """Replies of all rounds in one table that is bucketed like the blocks: each is dealt by block once, when it is added."""
+
+    def __init__(self, spark: SparkSession, size: int):
+        self.spark, self.buckets = spark, bucket_count(spark, size)
+        self.name, self.path = f"replies_{uuid.uuid4().hex}", shared_dir(spark)
+
+    def add(self, replies: DataFrame) -> None:
+        dealt = replies.repartition(self.buckets, "block")
+        dealt.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "block").saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 def block_table(docs: DataFrame, size: int, block_bytes: int, encode: Callable[[pd.DataFrame, list[bytes]], tuple], schema: str) -> DataFrame:
     """``encode`` (rows in order of doc_id, their texts) gives the columns of one block after its number."""
 
@@ -94,8 +113,8 @@ def block_table(docs: DataFrame, size: int, block_bytes: int, encode: Callable[[
         if rows:
             yield flush()
 
-    buckets = min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
     name, spark = f"blocks_{uuid.uuid4().hex}", docs.sparkSession
+    buckets = bucket_count(spark, size)
     made = docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(run, f"block long, {schema}")
     # small batches: Python holds a block and little more
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

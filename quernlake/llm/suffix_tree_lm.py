@@ -7,7 +7,8 @@ the parent, every occurrence scored without itself, must exceed ``GAIN``. A node
 by ``WEIGHT`` draws from its parent's distribution, so it sums to one over the known tokens and the unknown one. A
 token is scored by the longest retained suffix of its history.
 
-Nothing of the tree is gathered in one place. Documents become blocks of token numbers, stored once; blocks ask for
+Nothing of the tree is gathered in one place. Documents become blocks of token numbers, stored once, and so do replies,
+under the same buckets, so neither is dealt again in later rounds; blocks ask for
 the totals of their tokens, of their (context, token) pairs and of the gains of their contexts, one depth at a time,
 and only repeated contexts are extended. Totals cover all training documents, whatever their number.
 
@@ -24,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.blocks import REQUEST, answer, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
-from quernlake.llm.common import chunks, crc_mod, id_or_null, known_id, mix64, prefix_hash, span_hash, stored, words
+from quernlake.llm.blocks import REQUEST, Replies, answer, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
+from quernlake.llm.common import chunks, crc_mod, id_or_null, known_id, mix64, prefix_hash, span_hash, words
 
 DEPTH, LEAST, GAIN, WEIGHT = 5, 2, 4.0, 20.0
 BLOCK_BYTES = 4 << 20
@@ -131,8 +132,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def first(row, _) -> pd.DataFrame:
         return _rows(row, ask(row["block"], *Tree(row, {}, 0, 0).tokens(), ranges))
 
-    replies = stored(totals(over_blocks(blocks, None, first, REQUEST), 0, np.int32))
-    told = replies.agg(F.sum("total"), F.sum("distinct")).first()
+    replies = Replies(docs.sparkSession, size)
+    replies.add(totals(over_blocks(blocks, None, first, REQUEST), 0, np.int32))
+    told = replies.table().agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(told[0] or 0), int(told[1] or 0)
 
     def known(row, r: dict, d: int) -> Tree:
@@ -154,11 +156,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tree.counted(d)
             return _rows(row, ask(row["block"], *tree.gains(), ranges))
 
-        replies = replies.union(stored(totals(over_blocks(blocks, replies, pairs, REQUEST), 2 * d - 1, np.int32)))
-        replies = replies.union(stored(totals(over_blocks(blocks, replies, gains, REQUEST), 2 * d, np.float32)))
+        replies.add(totals(over_blocks(blocks, replies.table(), pairs, REQUEST), 2 * d - 1, np.int32))
+        replies.add(totals(over_blocks(blocks, replies.table(), gains, REQUEST), 2 * d, np.float32))
 
     def final(row, r) -> pd.DataFrame:
         return known(row, r, depth + 1).scores()
 
-    out = over_blocks(blocks, replies, final, SCORES)
+    out = over_blocks(blocks, replies.table(), final, SCORES)
     return out.select(id_or_null("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_log").alias("base_score"), "score")
