@@ -49,6 +49,19 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(from_planes(data, dtype), dtype=dtype)
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """Numbers from 0 on, most of them small: a byte each, and those of 255 or more again in full."""
+    large = a[a >= 255].astype(np.int64)
+    return np.int64(len(a)).tobytes() + np.minimum(a, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, -1, 8 + n)
+    return out
+
+
 def released(frame: pd.DataFrame) -> pd.DataFrame:
     """``frame``, after the allocators gave back what this step freed: waiting workers then hold little."""
     pa.default_memory_pool().release_unused()
@@ -145,39 +158,52 @@ def over_blocks(blocks: DataFrame, replies: DataFrame | None, step: Callable, sc
     return grouped.cogroup(replies.select("block", "kind", "part", "data").groupBy("block")).applyInPandas(answered, schema)
 
 
-def ask(block: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple]:
-    """Requests for the totals of sorted distinct keys, one for each range that they touch."""
+def ask(block: int, keys: np.ndarray, amounts: np.ndarray, ranges: int, first: int = 0) -> Iterator[tuple]:
+    """Requests for the totals of sorted distinct keys, one for each range that they touch; amounts are counts or 32-bit floats.
+
+    Parts are numbered from ``first``: requests of several kinds in one go have ``ranges`` parts each.
+    """
     edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     cuts = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+    pack = planes if amounts.dtype.kind == "f" else pack_counts
     for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if a < b:
-            yield part, int(block), pack_sorted(keys[a:b]), planes(counts[a:b])
+            yield first + part, int(block), pack_sorted(keys[a:b]), pack(amounts[a:b])
 
 
-def totals(requests: DataFrame, kind: int, dtype, base: int = 0) -> DataFrame:
+def totals(requests: DataFrame, ranges: int, kinds: list[tuple[int, float | None]]) -> DataFrame:
     """A reply for each request, with the totals of its keys over all blocks; each range also tells its sum and the keys above 0.
 
-    ``base`` is what the parts of this kind start at, for requests of several kinds that share the ranges.
+    ``kinds`` has, for each kind asked in turn, its number and what its totals must exceed: such amounts are 32-bit floats
+    and the reply is a bit for each key. Without a bound they are counts, and so is the reply.
     """
-    wide = np.float64 if np.dtype(dtype).kind == "f" else np.int64
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kind, bound = kinds[int(rows["part"].iloc[0]) // ranges]
         keys = [unpack_sorted(k, np.uint64) for k in rows["keys"]]
-        counts = np.concatenate([from_planes(c, dtype) for c in rows["counts"]]).astype(wide)
+        amounts = [unpack_counts(c) if bound is None else from_planes(c, np.float32) for c in rows["counts"]]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(distinct), wide)
-        np.add.at(total, inverse, counts)
-        told = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        out = pd.DataFrame({"block": rows["block"], "kind": kind, "part": rows["part"] - base, "data": [planes(x) for x in told]})
+        total = np.zeros(len(distinct), np.int64 if bound is None else np.float64)
+        np.add.at(total, inverse, np.concatenate(amounts))
+        reply = pack_counts if bound is None else lambda x: np.packbits(x > bound).tobytes()
+        sizes = [len(k) for k in keys]
+        told = np.split(total[inverse], np.cumsum(sizes)[:-1])
+        out = pd.DataFrame({"block": rows["block"], "kind": kind, "part": rows["part"] % ranges, "data": [np.int64(n).tobytes() * (bound is not None) + reply(x) for n, x in zip(sizes, told, strict=True)]})
         out["total"] = np.concatenate(([int(total.sum())], np.zeros(len(out) - 1, np.int64)))
         out["distinct"] = np.concatenate(([int((total > 0).sum())], np.zeros(len(out) - 1, np.int64)))
-        del keys, counts, distinct, inverse, total, told
+        del keys, amounts, distinct, inverse, total, told
         return released(out)
 
     return requests.groupBy("part").applyInPandas(run, REPLY)
 
 
-def answer(replies: dict[int, list], kind: int, dtype) -> np.ndarray:
+def answer(replies: dict[int, list], kind: int) -> np.ndarray:
     """The totals of one kind, in the order of the keys asked for."""
-    got = [from_planes(data, dtype) for _, data in replies.get(kind, [])]
-    return np.concatenate(got) if got else np.zeros(0, dtype)
+    got = [unpack_counts(data) for _, data in replies.get(kind, [])]
+    return np.concatenate(got) if got else np.zeros(0, np.int64)
+
+
+def answer_bits(replies: dict[int, list], kind: int) -> np.ndarray:
+    """Whether the totals of one kind exceed its bound, in the order of the keys asked for."""
+    got = [np.unpackbits(np.frombuffer(data, np.uint8, -1, 8), count=int(np.frombuffer(data, np.int64, 1)[0])).astype(bool) for _, data in replies.get(kind, [])]
+    return np.concatenate(got) if got else np.zeros(0, bool)

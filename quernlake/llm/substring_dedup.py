@@ -119,7 +119,7 @@ def _candidates(row, replies: dict, length: int, ranges: int, hot: int) -> pd.Da
     """The first of equal windows in this block, as runs under the task that compares them with other blocks."""
     w = Windows(row, length)
     keys, docs, at = w.distinct()
-    total = answer(replies, 0, np.int64)
+    total = answer(replies, 0)
     beyond = total > docs  # documents elsewhere hold the key as well
     place, run = w.places(np.flatnonzero(beyond[at]) if len(keys) else np.zeros(0, np.int64))
     if not len(place):
@@ -222,7 +222,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     ranges = key_ranges(size)
     blocks = block_table(single.select("doc_id", "digest", "text"), size, BLOCK_BYTES, _encode, "ids binary, lens binary, digests binary, text binary")
     asked = over_blocks(blocks, None, lambda row, _: _requests(row, length, ranges), REQUEST)
-    held = stored(totals(asked, 0, np.int32))
+    held = stored(totals(asked, ranges, [(0, None)]))
     sent = over_blocks(blocks, held, lambda row, r: _candidates(row, r, length, FINER * ranges, hot), SENT)
     lower = stored(sent.groupBy("part").applyInPandas(lambda x: released(_compared(x, length)), "block long, kind int, part int, data binary"))
     found = over_blocks(blocks, lower, lambda row, r: _result(row, r, length, keep_bytes), FOUND).dropDuplicates(["digest"])

@@ -8,9 +8,10 @@ by ``WEIGHT`` draws from its parent's distribution, so it sums to one over the k
 token is scored by the longest retained suffix of its history.
 
 Nothing of the tree is gathered in one place. Documents become blocks of token numbers, stored once, and so do replies,
-under the same buckets, so neither is dealt again in later rounds; blocks ask for
-the totals of their tokens, of their (context, token) pairs and of the gains of their contexts, one depth at a time,
-and only repeated contexts are extended. Totals cover all training documents, whatever their number.
+under the same buckets, so neither is dealt again in later rounds. Blocks ask for the totals of their tokens and of
+their (context, token) pairs, and then for the gains of the contexts of one depth together with the pairs of the next
+one, as pairs depend on counts alone; a gain is answered by one bit. Only repeated contexts are extended. Totals cover
+all training documents, whatever their number.
 
 Defined results: a null text counts as empty, and an empty text is the end token alone; without training documents
 every token has probability one (the base formula then reads 0.1 / 0.1); repeated rows are learned and scored each;
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.blocks import REQUEST, Replies, answer, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
+from quernlake.llm.blocks import REQUEST, Replies, answer, answer_bits, ask, block_table, from_planes, key_ranges, over_blocks, pack_sorted, planes, text_size, totals, unpack_sorted
 from quernlake.llm.common import chunks, crc_mod, id_or_null, known_id, mix64, prefix_hash, span_hash, words
 
 DEPTH, LEAST, GAIN, WEIGHT = 5, 2, 4.0, 20.0
@@ -49,7 +50,11 @@ def _encode(b: pd.DataFrame, texts: list[bytes]) -> tuple:
 
 
 class Tree:
-    """What one block knows of the tree, as far as the replies go. Kinds: 0 tokens, 2d - 1 pairs and 2d gains of depth d."""
+    """What one block knows of the tree, as far as the replies go. Kinds: 0 tokens, 2d - 1 pairs and 2d gains of depth d.
+
+    Tokens that have a context of the present depth that is repeated are at ``at``; ``code`` is the context's number among
+    the sorted ``contexts`` of the block, and ``seen`` its count.
+    """
 
     def __init__(self, row, replies: dict, n: int, v: int):
         self.ids, self.held = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["held"], np.bool_)
@@ -57,59 +62,63 @@ class Tree:
         self.vocab, self.codes = unpack_sorted(row["vocab"], np.uint64), from_planes(row["codes"], np.int32)
         self.replies = replies
         self.train = np.repeat(~self.held, self.lens)
-        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        begin = np.cumsum(self.lens) - self.lens
+        self.last = np.zeros(len(self.codes), bool)
+        self.last[begin + self.lens - 1] = True
         if 0 in replies:
-            self.count = answer(replies, 0, np.int64)[self.codes]
+            self.count = answer(replies, 0)[self.codes]
             self.base = (self.count + 0.1) / (n + 0.1 * (v + 1))
             self.prob = self.base.copy()
-            # the context that ends before each token: its key and count, for tokens that have one that is frequent enough
-            self.at = np.flatnonzero(self.place > 0)
-            self.context, self.seen = self.vocab[self.codes[self.at - 1]], self.count[self.at - 1]
-            self._frequent()
+            before = np.flatnonzero(~self.last).astype(np.int32)
+            self._follow(before, self.vocab, self.codes[before], self.count[before])
 
-    def _frequent(self) -> None:
-        keep = self.seen >= LEAST
-        self.at, self.context, self.seen = self.at[keep], self.context[keep], self.seen[keep]
+    def _follow(self, before: np.ndarray, contexts: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
+        """The contexts that end with the tokens ``before``, none of them a document's last one."""
+        keep = seen >= LEAST
+        self.at, self.contexts, self.code, self.seen = before[keep] + 1, contexts, code[keep], seen[keep]
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.vocab, np.bincount(self.codes[self.train], minlength=len(self.vocab)).astype(np.int32)
-
-    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return mix64(self.context * _STEP + self.vocab[self.codes[self.at]] * _NEXT), self.train[self.at]
+        return self.vocab, np.bincount(self.codes[self.train], minlength=len(self.vocab))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, train = self._keys()
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        return distinct, np.bincount(inverse[train], minlength=len(distinct)).astype(np.int32)
+        """The (context, token) pairs of this depth and their counts in this block's training documents."""
+        keys = (self.contexts * _STEP)[self.code]
+        keys += (self.vocab * _NEXT)[self.codes[self.at]]
+        self.pair, inverse = np.unique(mix64(keys), return_inverse=True)
+        self.pair_code = inverse.astype(np.int32)
+        return self.pair, np.bincount(self.pair_code[self.train[self.at]], minlength=len(self.pair))
 
     def counted(self, depth: int) -> None:
         """Take the totals of the pairs of this depth."""
-        self.key = self._keys()[0]
-        _, inverse = np.unique(self.key, return_inverse=True)
-        self.both = answer(self.replies, 2 * depth - 1, np.int64)[inverse]
+        self.pairs()
+        self.both = answer(self.replies, 2 * depth - 1)[self.pair_code]
+
+    def _present(self) -> np.ndarray:
+        present = np.zeros(len(self.contexts), bool)
+        present[self.code] = True
+        return present
 
     def gains(self) -> tuple[np.ndarray, np.ndarray]:
         """The gain of each context over its parent in this block's training documents."""
-        contexts, inverse = np.unique(self.context, return_inverse=True)
-        train = self.train[self.at]
-        parent = self.prob[self.at]
-        without = (self.both - train + WEIGHT * parent) / (self.seen - train + WEIGHT)
-        gain = np.bincount(inverse[train], np.log(without / parent)[train], minlength=len(contexts))
-        return contexts, gain.astype(np.float32)
+        present, train = self._present(), self.train[self.at]
+        at, both, seen = self.at[train], self.both[train], self.seen[train]
+        parent = self.prob[at]
+        without = (both - 1 + WEIGHT * parent) / (seen - 1 + WEIGHT)
+        gain = np.bincount(self.code[train], np.log(without / parent), minlength=len(present))
+        return self.contexts[present], gain[present].astype(np.float32)
 
     def decided(self, depth: int) -> None:
-        """Take the gains of this depth and use the retained contexts."""
-        _, inverse = np.unique(self.context, return_inverse=True)
-        stays = (answer(self.replies, 2 * depth, np.float64) > GAIN)[inverse]
+        """Take the decisions about the contexts of this depth and use the retained ones."""
+        retained = self._present()
+        retained[retained] = answer_bits(self.replies, 2 * depth)
+        stays = retained[self.code]
         at = self.at[stays]
         self.prob[at] = (self.both[stays] + WEIGHT * self.prob[at]) / (self.seen[stays] + WEIGHT)
 
     def extend(self) -> None:
         """One word more of context: a pair is the context of the token after it."""
-        last = np.append(self.place[1:] == 0, True)
-        go = ~last[self.at]
-        self.at, self.context, self.seen = self.at[go] + 1, self.key[go], self.both[go]
-        self._frequent()
+        go = ~self.last[self.at]
+        self._follow(self.at[go], self.pair, self.pair_code[go], self.both[go])
 
     def scores(self) -> pd.DataFrame:
         begin = np.cumsum(self.lens) - self.lens
@@ -117,7 +126,7 @@ class Tree:
         return pd.DataFrame({"doc_id": self.ids, "held_out": self.held, "n_tokens": self.lens, "n_known": total((self.count > 0).astype(np.int64)), "base_log": total(np.log10(self.base)), "score": total(np.log10(self.prob))})
 
 
-def _rows(row, parts) -> pd.DataFrame:
+def _rows(parts) -> pd.DataFrame:
     return pd.DataFrame(list(parts), columns=["part", "block", "keys", "counts"])
 
 
@@ -129,11 +138,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = key_ranges(size)
     blocks = block_table(docs, size, BLOCK_BYTES, _encode, "ids binary, held binary, lens binary, vocab binary, codes binary")
 
-    def first(row, _) -> pd.DataFrame:
-        return _rows(row, ask(row["block"], *Tree(row, {}, 0, 0).tokens(), ranges))
+    def tokens(row, _) -> pd.DataFrame:
+        return _rows(ask(row["block"], *Tree(row, {}, 0, 0).tokens(), ranges))
 
     replies = Replies(docs.sparkSession, size)
-    replies.add(totals(over_blocks(blocks, None, first, REQUEST), 0, np.int32))
+    replies.add(totals(over_blocks(blocks, None, tokens, REQUEST), ranges, [(0, None)]))
     told = replies.table().agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(told[0] or 0), int(told[1] or 0)
 
@@ -146,18 +155,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tree.extend()
         return tree
 
-    for d in range(1, depth + 1):
+    def pairs(row, r) -> pd.DataFrame:
+        return _rows(ask(row["block"], *known(row, r, 1).pairs(), ranges))
 
-        def pairs(row, r, d=d) -> pd.DataFrame:
-            return _rows(row, ask(row["block"], *known(row, r, d).pairs(), ranges))
+    if depth:
+        replies.add(totals(over_blocks(blocks, replies.table(), pairs, REQUEST), ranges, [(1, None)]))
+    for d in range(1, depth + 1):
 
         def gains(row, r, d=d) -> pd.DataFrame:
             tree = known(row, r, d)
             tree.counted(d)
-            return _rows(row, ask(row["block"], *tree.gains(), ranges))
+            asked = list(ask(row["block"], *tree.gains(), ranges))
+            if d < depth:
+                tree.extend()
+                asked.extend(ask(row["block"], *tree.pairs(), ranges, ranges))
+            return _rows(asked)
 
-        replies.add(totals(over_blocks(blocks, replies.table(), pairs, REQUEST), 2 * d - 1, np.int32))
-        replies.add(totals(over_blocks(blocks, replies.table(), gains, REQUEST), 2 * d, np.float32))
+        replies.add(totals(over_blocks(blocks, replies.table(), gains, REQUEST), ranges, [(2 * d, GAIN), (2 * d + 1, None)]))
 
     def final(row, r) -> pd.DataFrame:
         return known(row, r, depth + 1).scores()
