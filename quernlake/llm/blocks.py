@@ -84,7 +84,10 @@ def bucket_count(spark: SparkSession, size: int) -> int:
 
 
 class Replies:
-    """Replies of all rounds in one table that is bucketed like the blocks: each is dealt by block once, when it is added."""
+    """Replies of all rounds in one table that is bucketed like the blocks: each is dealt by block once, when it is added.
+
+    Spark removes the shuffle files of a finished round when the driver's heap is collected, so ``add`` asks for that.
+    """
 
     def __init__(self, spark: SparkSession, size: int):
         self.spark, self.buckets = spark, bucket_count(spark, size)
@@ -93,6 +96,8 @@ class Replies:
     def add(self, replies: DataFrame) -> None:
         dealt = replies.repartition(self.buckets, "block")
         dealt.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "block").saveAsTable(self.name)
+        del replies, dealt
+        self.spark.sparkContext._jvm.System.gc()
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
