@@ -93,23 +93,29 @@ class Tree:
         self.pairs()
         self.both = answer(self.replies, 2 * depth - 1)[self.pair_code]
 
-    def _present(self) -> np.ndarray:
-        present = np.zeros(len(self.contexts), bool)
-        present[self.code] = True
-        return present
+    def _open(self) -> np.ndarray:
+        """The contexts of this block whose gain is to be asked for.
+
+        A context that is seen twice and goes on differently has no gain, as any block knows that has one of these pairs
+        in training or not; nobody adds to its gain, so blocks that have it with another token are told the same.
+        """
+        asked = np.zeros(len(self.contexts), bool)
+        asked[self.code] = True
+        asked[self.code[(self.seen == 2) & (self.both == 1)]] = False
+        return asked
 
     def gains(self) -> tuple[np.ndarray, np.ndarray]:
         """The gain of each context over its parent in this block's training documents."""
-        present, train = self._present(), self.train[self.at]
+        asked, train = self._open(), self.train[self.at]
         at, both, seen = self.at[train], self.both[train], self.seen[train]
         parent = self.prob[at]
         without = (both - 1 + WEIGHT * parent) / (seen - 1 + WEIGHT)
-        gain = np.bincount(self.code[train], np.log(without / parent), minlength=len(present))
-        return self.contexts[present], gain[present].astype(np.float32)
+        gain = np.bincount(self.code[train], np.log(without / parent), minlength=len(asked))
+        return self.contexts[asked], gain[asked].astype(np.float32)
 
     def decided(self, depth: int) -> None:
         """Take the decisions about the contexts of this depth and use the retained ones."""
-        retained = self._present()
+        retained = self._open()
         retained[retained] = answer_bits(self.replies, 2 * depth)
         stays = retained[self.code]
         at = self.at[stays]
