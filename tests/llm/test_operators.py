@@ -613,3 +613,21 @@ def test_decontamination_by_text(spark):
     assert sorted(got, key=repr) == sorted([(1, 3, 0, False), (1, 16, 14, True), (None, 14, 14, True), (None, 3, 0, False), ((1 << 63) - 1, 2, 0, False), (2, 0, 0, False)], key=repr)
     left = uncontaminated(clash(docs), spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert left.columns == clash(docs).columns and left.count() == 4
+
+
+# --- blocks
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [254, 255, 256, 0, 255], [1] * 1000 + [2**40]])
+def test_counts_come_back_from_their_bytes(numbers):
+    from quernlake.llm.blocks import pack_counts, unpack_counts
+
+    assert unpack_counts(pack_counts(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_scores_do_not_depend_on_the_blocks(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefgh") + str(r.randrange(6)) for _ in range(r.randrange(60)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({x["doc_id"]: x["score"] for x in lm.score_documents(docs.repartition(n)).collect()} for n in (1, 9))
+    assert one == pytest.approx(many)
