@@ -14,12 +14,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernlake.llm import exact_dedup as exact_module
 from quernlake.llm import line_dedup as line_module
 from quernlake.llm import near_dedup as near_module
 from quernlake.llm import substring_dedup as substring_module
 from quernlake.llm import suffix_tree_lm as lm
 from quernlake.llm.decontaminate import decontaminate, uncontaminated
-from quernlake.llm.exact_dedup import exact_dedup
+from quernlake.llm.exact_dedup import DigestIndex, exact_dedup
 from quernlake.llm.language_id import identify_language
 from quernlake.llm.license_scan import TEMPLATES, known_templates, scan_licenses
 from quernlake.llm.line_dedup import dedup_lines, line_dedup
@@ -116,6 +117,34 @@ def test_exact_without_ids(spark):
     assert sorted(r["kept"] for r in got if r["doc_id"] is None) == [False, True]
 
 
+def test_digest_index(spark):
+    frame = lambda ids: spark.createDataFrame([(f"{d:08d}".encode(), i) for d, i in ids], "digest binary, doc_id long")
+    index = DigestIndex(spark)
+    index.insert(frame([(d, d) for d in range(0, 6000)] + [(5, 90001)]))
+    old = index.live()[0]
+    asked = frame([(d, d) for d in range(5000, 16000)])
+    passed = {r["digest"] for r in index.maybe(asked, old).collect()}
+    assert {f"{d:08d}".encode() for d in range(5000, 6000)} <= passed and len(passed) < 1000 + 0.1 * 10000
+    index.insert(frame([(d, 70000 + d) for d in range(5990, 8000)]))
+    assert [len(level) for level in index.levels] == [2]
+    index.insert(frame([(7999, 1), (20000, 2)]))
+    assert [len(level) for level in index.levels] == [0, 1]
+    entries = {int(r["digest"]): (r["keep_id"], r["n"]) for r in index.live()[0].entries.collect()}
+    assert len(entries) == 8001 and entries[5] == (5, 2) and entries[5995] == (5995, 2) and entries[7999] == (1, 2) and entries[20000] == (2, 1)
+    index.insert(frame([(20000, 3), (30000, 4)]))
+    assert [len(level) for level in index.levels] == [1, 1]
+    assert {int(r["digest"]) for r in index.hits().collect()} == {5, *range(5990, 6000), 7999, 20000}
+
+
+def test_exact_needs_filters_and_levels(spark, monkeypatch):
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "cast(if(id >= 300, id - 300, id) AS string) AS text")  # copies in the first and the last memtable
+    merged, size = [], lambda: Counter(r["group_size"] for r in exact_dedup(docs).collect())
+    assert size() == {2: 200, 1: 200}
+    monkeypatch.setattr(DigestIndex, "_merged", lambda self, runs, own=DigestIndex._merged: merged.append(len(runs)) or own(self, runs))
+    monkeypatch.setattr(DigestIndex, "maybe", lambda self, entries, run: entries.select("digest").limit(0))
+    assert size() == {1: 400} and merged == [exact_module.FANOUT]
+
+
 # --- 3 and 5
 
 
