@@ -5,8 +5,9 @@ several widths slide over each window, their maxima over the window feed a softm
 language is the mean probability over its windows. Prediction turns the first layer into lookup tables of byte pairs,
 so a window costs a few gathers.
 
-The network is fitted on the driver on a bounded sample: about ``SAMPLE`` labelled documents of each language (by a
-hash of their id), one window of each. Everything else reads whole texts.
+The network is fitted on the driver on a bounded sample of labelled rows: about ``SAMPLE`` documents of each language (by
+a hash of their id) and about ``SAMPLE_BYTES`` of text, of documents of at most ``ROW_BYTES`` each. It reads all windows
+of these, in ``EPOCHS`` passes. Everything else reads whole texts, too.
 
 Defined results: ``und`` with score 0 for texts that are null or have no letter, and for all texts if nothing can be
 learned (no labelled text with a letter); repeated rows are scored each; extra columns are ignored; an empty table
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import chunks, crc_mod, text_bytes
+from quernlake.llm.common import chunks, crc_mod, stored, text_bytes
 
 #: Labelled documents of each language that the network is fitted on, at most about so many.
 SAMPLE = 1500
-WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 12
+#: Bytes of text of the sample, at most about so many, and of one document of it, at most.
+SAMPLE_BYTES, ROW_BYTES = 16 << 20, 1 << 20
+WINDOW, WIDTHS, FILTERS, EMBED, EPOCHS = 192, (2, 3, 4), 16, 12, 2
 
 
 def window_matrix(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +67,7 @@ class ByteCnn:
     def parts(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, *self.bias, self.dense, self.dense_bias]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 6) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 4e-3, seed: int = 6) -> None:
         r, step = np.random.default_rng(seed), 0
         m, v = [np.zeros_like(p) for p in self.parts()], [np.zeros_like(p) for p in self.parts()]
         weight = (len(y) / (np.bincount(y, minlength=len(self.langs)) * len(self.langs) + 1e-9)).astype(np.float32)
@@ -140,16 +143,24 @@ def sampled(docs: DataFrame, label: str, most: int, id_col: str, seed: int):
     return docs.where(draw < share[F.col(label)]) if counts else docs
 
 
+def within_bytes(docs: DataFrame, id_col: str, text_col: str, most: int, row: int) -> DataFrame:
+    """The rows of a sample with texts of at most ``row`` bytes, thinned by a hash of the id and the text to about ``most`` bytes."""
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    kept = stored(docs.where(size <= row))
+    total = kept.agg(F.sum(size)).first()[0] or 0
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
+    return kept.where(draw < most / total) if total > most else kept
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> ByteCnn | None:
     """Learn from the labelled rows of ``docs``; None if there are none with a letter."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.char_length("text") - WINDOW, F.lit(1))) + 1
-    rows = sampled(known, "lang", sample, "doc_id", 11).select("doc_id", "lang", F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("text")).collect()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    rows = within_bytes(sampled(known, "lang", sample, "doc_id", 11), "doc_id", "text", SAMPLE_BYTES, ROW_BYTES).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
-    x, owner = window_matrix([t[:WINDOW] for t in text_bytes(r["text"] for r in rows)])
+    x, owner = window_matrix(text_bytes(r["text"] for r in rows))
     net = ByteCnn.fresh(langs)
     net.fit(x, np.array([langs.index(rows[o]["lang"]) for o in owner]))
     return net

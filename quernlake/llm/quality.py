@@ -4,8 +4,9 @@ A document is a bag of passages (512 bytes each, the last shorter), every one of
 frequencies and a few shape statistics pass a tanh layer. Gated attention weighs the passages, and a logistic layer
 scores the weighted mean. Labels are those of documents; passages have none.
 
-The network is fitted on the driver on a bounded sample: about ``SAMPLE`` labelled documents of each class (by a hash
-of their id) with up to ``TRAIN_PASSAGES`` evenly spaced passages each. Scoring reads every passage of every text.
+The network is fitted on the driver on a bounded sample of labelled rows: about ``SAMPLE`` documents of each class (by a
+hash of their id) and about ``SAMPLE_BYTES`` of text, of documents of at most ``ROW_BYTES`` each. It reads every passage
+of these, and scoring every passage of every text.
 
 Defined results: a null text counts as empty, and an empty text is one empty passage, so it gets a score; without
 labels of both classes every score is the share of label 1 (0.5 without any); repeated rows are scored each; extra
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.common import NO_ID, chunks, crc_mod, id_or_null, known_id, small, text_bytes
-from quernlake.llm.language_id import sampled
+from quernlake.llm.language_id import sampled, within_bytes
 
 #: Labelled documents of each class that the network is fitted on, at most about so many.
-SAMPLE, TRAIN_PASSAGES = 2000, 12
+SAMPLE = 2000
+#: Bytes of text of the sample, at most about so many, and of one document of it, at most.
+SAMPLE_BYTES, ROW_BYTES = 32 << 20, 1 << 20
 PASSAGE, PAIRS, HIDDEN, ATTEND = 512, 512, 32, 16
 _KIND = np.full(256, 5, np.uint8)  # letters beyond ASCII
 _KIND[:128] = 4  # marks
@@ -138,11 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedMil:
             for lo, hi in chunks(texts):
                 x, owner = encode_passages(texts[lo:hi])
                 for i, part in enumerate(np.split(x, np.searchsorted(owner, np.arange(1, hi - lo)))):
-                    some = np.unique(np.linspace(0, len(part) - 1, TRAIN_PASSAGES).round().astype(int))
-                    rows.append((b["doc_id"].iloc[lo + i], b["label"].iloc[lo + i], part[some].astype(np.float16).tobytes()))
+                    rows.append((b["doc_id"].iloc[lo + i], b["label"].iloc[lo + i], part.astype(np.float16).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "label", "x"])
 
-    rows = docs.join(small(chosen, 2 * sample), "doc_id").mapInPandas(run, "doc_id long, label int, x binary").collect()
+    rows = within_bytes(docs.join(small(chosen, 2 * sample), "doc_id"), "doc_id", "text", SAMPLE_BYTES, ROW_BYTES).mapInPandas(run, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
     y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
