@@ -57,16 +57,19 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, PAIRS : PAIRS + 6] = np.bincount(passage * 6 + _KIND[buf], minlength=6 * k).reshape(k, 6)
     if len(buf) > 1:
         same = passage[1:] == passage[:-1]
-        pair = (buf[:-1].astype(np.int64) << 8 | buf[1:])[same]
-        own = passage[:-1][same]
-        counts = np.bincount(own * PAIRS + _FOLD[pair], minlength=PAIRS * k).reshape(k, PAIRS)
+        pair = buf[:-1].astype(np.uint16) << 8 | buf[1:]
+        counts = np.bincount((passage[:-1] * PAIRS + _FOLD[pair])[same], minlength=PAIRS * k).reshape(k, PAIRS)
         out[:, :PAIRS] = np.sqrt(counts / np.maximum(1, size)[:, None])
         out[:, -4] = (counts > 0).sum(axis=1) / np.maximum(1, np.minimum(size, PAIRS))
     if len(buf) > 8:  # how many eight-byte strings of a passage are new in it
-        grams = np.lib.stride_tricks.sliding_window_view(buf, 8).astype(np.uint64) @ (np.uint64(257) ** np.arange(8, dtype=np.uint64))
+        four = pair[:-2].astype(np.uint32) << 16 | pair[2:]
+        grams = four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
         inside = passage[7:] == passage[:-7]
         own, key = passage[:-7][inside], ((grams[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        distinct = np.bincount(np.unique(own << 20 | key) >> 20, minlength=k)
+        both = np.sort(own << 20 | key)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        distinct = np.bincount(both[new] >> 20, minlength=k)
         out[:, -3] = distinct / np.maximum(1, np.bincount(own, minlength=k))
     out[:, PAIRS : PAIRS + 6] /= np.maximum(1, size)[:, None]
     out[:, -2] = size / PASSAGE
@@ -90,12 +93,10 @@ class GatedMil:
         h = np.tanh(x @ enc + eb)
         t, g = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
         a = (t * g) @ w
-        top = np.full(n, -np.inf, np.float32)
-        np.maximum.at(top, owner, a)
-        a = np.exp(a - top[owner])
+        first = np.searchsorted(owner, np.arange(n))  # every text has a passage, and they are in order
+        a = np.exp(a - np.maximum.reduceat(a, first)[owner]) if n else a
         a = (a / np.bincount(owner, a, n)[owner]).astype(np.float32)
-        z = np.zeros((n, HIDDEN), np.float32)
-        np.add.at(z, owner, h * a[:, None])
+        z = np.add.reduceat(h * a[:, None], first, axis=0) if n else np.zeros((0, HIDDEN), np.float32)
         return h, t, g, a, z, 1 / (1 + np.exp(-(z @ out + ob)))
 
     def score(self, x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
