@@ -21,12 +21,12 @@ from quernlake.llm import substring_dedup as substring_module
 from quernlake.llm import suffix_tree_lm as lm
 from quernlake.llm.decontaminate import decontaminate, uncontaminated
 from quernlake.llm.exact_dedup import DigestIndex, exact_dedup
-from quernlake.llm.language_id import identify_language
+from quernlake.llm.language_id import WIDTHS, ByteCnn, identify_language, window_matrix, within_bytes
 from quernlake.llm.license_scan import TEMPLATES, known_templates, scan_licenses
 from quernlake.llm.line_dedup import dedup_lines, line_dedup
 from quernlake.llm.near_dedup import near_dedup
 from quernlake.llm.packing import pack, plan
-from quernlake.llm.quality import classify_quality
+from quernlake.llm.quality import _FOLD, _KIND, FEATURES, PAIRS, PASSAGE, GatedMil, classify_quality, encode_passages
 from quernlake.llm.queries import ORACLE, QUERIES, tokenizer_path
 from quernlake.llm.substring_dedup import substring_dedup
 from quernlake.llm.suffix_sort import suffix_order
@@ -183,6 +183,108 @@ def test_quality_edges(spark):
     assert {r["score"] for r in classify_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_windows_cover_texts():
+    texts = [b"", b"ab", bytes(range(1, 200)) * 3, b"x" * 192, b"y" * 193]
+    x, owner = window_matrix(texts)
+    assert [owner.tolist().count(i) for i in range(5)] == [1, 1, 4, 1, 2]
+    for i, t in enumerate(texts):
+        own = [bytes(w) for w in x[owner == i]]
+        starts = [max(0, min(192 * k, len(t) - 192)) for k in range(len(own))]
+        assert [w.rstrip(b"\0") for w in own] == [t[at : at + 192] for at in starts] and starts[-1] + 192 >= len(t)
+
+
+def _cnn(seed=1, langs=3):
+    net = ByteCnn.fresh([str(i) for i in range(langs)], seed)
+    r = np.random.default_rng(seed)
+    for b in [*net.bias, net.dense_bias]:
+        b += r.normal(0, 0.1, b.shape).astype(np.float32)
+    return net
+
+
+def cnn_brute(net, window):
+    h = []
+    for w, f, b in zip(WIDTHS, net.filters, net.bias):
+        at = [sum(net.embed[window[p + k]].astype(float) @ f[k] for k in range(w)) + b for p in range(len(window) - w + 1)]
+        h.append(np.max(at, axis=0))
+    z = np.maximum(np.concatenate(h), 0) @ net.dense + net.dense_bias
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_language_network():
+    net, r = _cnn(), np.random.default_rng(2)
+    x = r.integers(0, 256, (7, 24)).astype(np.uint8)
+    assert np.allclose(net.probabilities(x, net.tables(), block=3), [cnn_brute(net, w) for w in x], atol=1e-5)
+
+
+def slopes(parts, loss, r, eps):
+    """For some entries of each part, the slope of the loss between two points beside them."""
+    for i, p in enumerate(parts):
+        for at in r.choice(p.size, min(p.size, 12), replace=False):
+            old, ends = p.flat[at], []
+            for d in (eps, -eps):
+                p.flat[at] = old + d
+                ends.append(loss())
+            p.flat[at] = old
+            yield i, at, (ends[0] - ends[1]) / (2 * eps)
+
+
+def test_language_gradients():
+    net, r = _cnn(), np.random.default_rng(4)
+    net.embed, net.dense, net.dense_bias = (a.astype(float) for a in (net.embed, net.dense, net.dense_bias))
+    net.filters, net.bias = [f.astype(float) for f in net.filters], [b.astype(float) for b in net.bias]
+    x, y, weight = r.integers(0, 40, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([0.5, 1, 2])
+    loss = lambda: -np.mean([weight[k] * np.log(cnn_brute(net, w)[k]) for w, k in zip(x, y)])
+    grads = net._gradients(x, y, weight)
+    assert all(abs(grads[i].flat[at] - s) < 1e-5 for i, at, s in slopes(net.parts(), loss, r, 1e-6))
+
+
+def passages_brute(text):
+    out = []
+    for at in range(0, max(1, len(text)), PASSAGE):
+        p = text[at : at + PASSAGE]
+        pairs, grams = Counter(int(_FOLD[a << 8 | b]) for a, b in zip(p, p[1:])), [p[i : i + 8] for i in range(len(p) - 7)]
+        kinds, n = Counter(int(_KIND[b]) for b in p), max(1, len(p))
+        row = [math.sqrt(pairs[k] / n) for k in range(PAIRS)] + [kinds[k] / n for k in range(6)]
+        out.append([*row, len(pairs) / min(n, PAIRS), len(set(grams)) / max(1, len(grams)), len(p) / PASSAGE, math.log1p(len(text)) / 10])
+    return out
+
+
+def test_passages(corpus):
+    texts = [(t or "").encode() for _, t in corpus][:40] + [b"ab" * 700, b"x" * 512, b"y" * 513]
+    x, owner = encode_passages(texts)
+    want = [(i, row) for i, t in enumerate(texts) for row in passages_brute(t)]
+    assert owner.tolist() == [i for i, _ in want]
+    assert np.allclose(x, [row for _, row in want], atol=2e-3)  # strings of eight bytes are told apart by 20 bits
+
+
+def mil_brute(net, bag):
+    enc, eb, v, u, w, out, ob = (p.astype(float) for p in net.parts)
+    h = [np.tanh(row @ enc + eb) for row in bag]
+    a = np.exp([(np.tanh(k @ v) / (1 + np.exp(-(k @ u)))) @ w for k in h])
+    z = sum(k * b for k, b in zip(h, a / a.sum()))
+    return float(1 / (1 + np.exp(-(z @ out + ob[0]))))
+
+
+def test_attention_and_its_gradients():
+    r, net = np.random.default_rng(5), GatedMil.fresh()
+    net.parts = [p.astype(float) for p in net.parts]
+    bags = [r.normal(0, 0.2, (n, FEATURES)) for n in (1, 4, 2, 7)]
+    x, owner, y = np.concatenate(bags), np.repeat(np.arange(4), [1, 4, 2, 7]), np.array([1.0, 0.0, 1.0, 0.0])
+    assert np.allclose(net.score(x, owner, 4), [mil_brute(net, b) for b in bags], atol=1e-5)
+    loss = lambda: -np.mean([k * np.log(p) + (1 - k) * np.log(1 - p) for k, p in zip(y, (mil_brute(net, b) for b in bags))])
+    grads = net._gradients(x, owner, y)
+    assert all(abs(grads[i].flat[at] - s) < 1e-5 for i, at, s in slopes(net.parts, loss, r, 1e-5))
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.range(2000).selectExpr("id", "repeat('x', 100) AS text").union(spark.sql("SELECT 5000L, repeat('y', 5000)")).union(spark.sql("SELECT NULL, NULL"))
+    assert within_bytes(docs, "id", "text", 10**6, 10**4).count() == 2002
+    assert within_bytes(docs, "id", "text", 10**6, 1000).count() == 2001
+    assert 400 < within_bytes(docs, "id", "text", 50_000, 1000).count() < 600
+    assert within_bytes(docs.limit(0), "id", "text", 10, 10).count() == 0
+
+
 # --- 4
 
 
