@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import chunks, id_or_null, known_id, stored, text_bytes
+from quernlake.llm.common import chunks, known_id, stored, text_bytes
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, known boolean, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers before it starts afresh.
 CACHE_WORDS = 600_000
 #: New words that are encoded in one call.
@@ -133,11 +133,11 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
             for lo, hi in chunks(texts):
                 ids, begin = enc.encode(texts[lo:hi])
                 raw = ids.astype("<u4").tobytes()
-                for doc, s, e in zip(b["doc_id"].iloc[lo:hi], begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                for doc, known, s, e in zip(b["doc_id"].iloc[lo:hi], b["known"].iloc[lo:hi], begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     for p, x in enumerate(range(s, e, capacity)):
                         y = min(x + capacity, e)
-                        rows.append((doc, p, x - s, y - x, zlib.crc32(raw[4 * x : 4 * y])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc, known, p, x - s, y - x, zlib.crc32(raw[4 * x : 4 * y])))
+            yield pd.DataFrame(rows, columns=["doc_id", "known", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInPandas(run, PIECES)
 
@@ -215,15 +215,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenised(docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, capacity, end_id))
+    pieces = stored(tokenised(docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text")), tokenizer, capacity, end_id))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = np.array(sorted(plan(counts, capacity)) or np.zeros((0, 6)), np.int64).reshape(-1, 6)
     salts = min(4096, max(1, sum(counts.values()) // 256))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     base = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     base = base.select("length", "salt", before.alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "known", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("local", local).join(base, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local"))
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             r = b["rank"].to_numpy()
             row = t[np.searchsorted(key, (b["length"].to_numpy() << 48) + r, "right") - 1]
             nth = r - row[:, 1]
-            yield b[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=row[:, 4] + nth // row[:, 3], offset=row[:, 5] + nth % row[:, 3] * row[:, 0])
+            yield b[["doc_id", "known", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=row[:, 4] + nth // row[:, 3], offset=row[:, 5] + nth % row[:, 3] * row[:, 0])
 
-    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
-    return placed.withColumn("doc_id", id_or_null("doc_id"))
+    placed = ranked.select("doc_id", "known", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")

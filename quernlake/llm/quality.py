@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import NO_ID, chunks, crc_mod, id_or_null, known_id, small, text_bytes
+from quernlake.llm.common import chunks, crc_mod, small, text_bytes
 from quernlake.llm.language_id import sampled, within_bytes
 
 #: Labelled documents of each class that the network is fitted on, at most about so many.
@@ -157,18 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedMil:
 
 def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Held-out rows are never learned from."""
-    seen = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     learn = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(crc_mod(F.col("doc_id"), folds) != held_out)
     net = fit(seen, learn)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            texts, score = text_bytes(b["text"]), np.zeros(len(b))
+            texts, score = text_bytes(b), np.zeros(len(b))
             for lo, hi in chunks(texts):
                 score[lo:hi] = net.score(*encode_passages(texts[lo:hi]), hi - lo)
-            score = np.clip(score, 0, 1)
-            yield b[["doc_id", "held_out"]].assign(score=score, predicted=(score >= 0.5).astype(np.int32))
+            yield pd.Series(np.clip(score, 0, 1))
 
-    flagged = seen.withColumn("held_out", (crc_mod(F.col("doc_id"), folds) == held_out) & (F.col("doc_id") != NO_ID))
-    out = flagged.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
-    return out.select(id_or_null("doc_id"), "held_out", "score", "predicted")
+    out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False))
+    rows = seen.select("doc_id", out.alias("held_out"), scored("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -277,6 +277,14 @@ def test_attention_and_its_gradients():
     assert all(abs(grads[i].flat[at] - s) < 1e-5 for i, at, s in slopes(net.parts, loss, r, 1e-5))
 
 
+def test_largest_id_is_an_id(spark):
+    top = 2**63 - 1
+    docs = spark.createDataFrame([(top, "some words"), (None, "other words"), (1, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in classify_quality(docs, spark.createDataFrame([(1, 1), (top, 0)], "doc_id long, quality int")).collect()} == {top, None, 1}
+    got = {r["doc_id"]: r for r in pack(docs, tokenizer_path()).collect()}
+    assert set(got) == {top, None, 1} and {r["sequence_id"] for r in got.values()} == {0} and got[1]["length"] == 1
+
+
 def test_sample_is_bounded_by_bytes(spark):
     docs = spark.range(2000).selectExpr("id", "repeat('x', 100) AS text").union(spark.sql("SELECT 5000L, repeat('y', 5000)")).union(spark.sql("SELECT NULL, NULL"))
     assert within_bytes(docs, "id", "text", 10**6, 10**4).count() == 2002
