@@ -122,12 +122,19 @@ class WordEncoder:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """The worker's encoder. A task's own function holds copies of the globals it names, so it calls this one of the module."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = _encoders.setdefault((tokenizer, end_id), WordEncoder(tokenizer, end_id)) if (tokenizer, end_id) not in _encoders else _encoders[tokenizer, end_id]
+        enc = encoder(tokenizer, end_id)
         for b in batches:
             texts, rows = text_bytes(b["text"]), []
             for lo, hi in chunks(texts):
