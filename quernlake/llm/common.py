@@ -48,6 +48,14 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, up, low))
 
 
+def once(c: Column) -> Column:
+    """``c``, worked out for its row at once: generated code else puts it off into the loop of a join or an explode above it.
+
+    Filters are not pushed through it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

@@ -33,7 +33,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import small, stored, text_id, unused
+from quernlake.llm.common import once, small, stored, text_id, unused
 
 EDITS, SMALL_KEY, DENSE_KEY, TERMINAL, LAST_CLASS = 1, 16, 8192, 2, 4096
 #: Words of 64 bits of a signature.
@@ -50,7 +50,8 @@ ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """Two hashes h and g, chars, at (place: d, tid, l from 0) and text of the lines that take part."""
-    rows = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.posexplode(F.split("text", "\n")).alias("l", "text"))
+    rows = docs.select("doc_id", once(text_id(F.col("text"))).alias("tid"), F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", "tid", F.posexplode("lines").alias("l", "text"))
     rows = rows.where((F.char_length("text") >= min_chars) & (F.trim("text") != ""))
     at = F.struct(F.col("doc_id").alias("d"), "tid", "l").alias("at")
     return rows.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(LAST_CLASS), "text").alias("g"), F.char_length("text").alias("chars"), at, "text")
@@ -115,7 +116,7 @@ def _plan(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
 def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
     """key, id and the row ``p`` of the plan; characters of four bytes each are cut without a walk through the text."""
     start = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("chars") - F.col("at") - F.col("size"))
-    got = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), _class_of(F.col("chars"), found).alias("own"))
+    got = lines.select("id", "chars", once(F.encode("text", "UTF-32")).alias("wide"), _class_of(F.col("chars"), found).alias("own"))
     width = WIDTH * F.col("k")
     fits = (F.col("down") == 0) | (F.col("chars") % width < F.col("k"))
     got = got.join(F.broadcast(plan), "own").where((F.col("chars") <= F.col("most")) & fits & (start >= 0))
@@ -123,9 +124,13 @@ def _entries(lines: DataFrame, plan: DataFrame, found: list[tuple[int, int]]) ->
     return got.select(F.xxhash64("c", "side", "i", lengths, F.substring("wide", 4 * start + 1, 4 * F.col("size"))).alias("key"), "id", "p")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
+def _sampled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+
+
+def _shared(entries: DataFrame, sampled: DataFrame) -> DataFrame:
     """Entries of keys that a line of the key's class and another line have, with the number of entries as ``n``."""
-    often = entries.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {FREQUENT}")
+    often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {FREQUENT}")
     often = stored(often.select("key"))
     n_often = often.count()
     rest = entries.join(small(often, n_often), "key", "left_anti") if n_often else entries
@@ -192,7 +197,7 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
     lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), codec="zstd")  # mostly text
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
-    pairs, many = [], stored(_shared(_entries(lines, plan, found)).join(behind, "p").drop("p"))
+    pairs, many = [], stored(_shared(_entries(lines, plan, found), _entries(_sampled(lines), plan, found)).join(behind, "p").drop("p"))
     while True:
         few = F.col("n") <= SMALL_KEY
         last = (F.col("n") <= DENSE_KEY) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
@@ -203,7 +208,8 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
         many = many.where(~few & ~last)
         if many.isEmpty():
             break
-        many = stored(_shared(_refined(many.select(*ENTRY), lines, edits)))
+        refined = _refined(many.select(*ENTRY), lines, edits)
+        many = stored(_shared(refined, _sampled(refined)))
     candidates = pairs[0]
     for p in pairs[1:]:
         candidates = candidates.union(p)

@@ -499,6 +499,16 @@ def test_lines_of_frequent_keys(spark, monkeypatch):
     assert rows(line_dedup(docs, edits=4, percent=5)) == want
 
 
+def test_line_rows_repeat_no_work_on_the_text(spark):
+    """The MD5 of a text and the wide form of a line are worked out once, below the loop over lines and entries."""
+    docs = spark.createDataFrame([(1, "a line of some words for this test\n" * 3)], "doc_id long, text string")
+    lines = line_module.occurrences(docs, 24).withColumn("id", F.lit(1))
+    found = line_module.classes(24, 8, 5)
+    for df, work in ((lines, "md5("), (line_module._entries(lines, line_module._plan(spark, found), found), "UTF-32")):
+        at = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if work in x]
+        assert at and all("monotonically_increasing_id" in x for x in at)
+
+
 # --- 7
 
 
