@@ -11,14 +11,16 @@ in common, whatever their lengths, with far fewer entries than one for each shif
 length is also looked up in the classes below, as far as k reaches. Keys hold a range of lengths as well; a line close
 above a range's least length is also looked up in the range below.
 
-Keys of a few lines give their pairs. In keys of more lines the pairs are compared where they meet, and only those become
-rows whose signatures allow the threshold: 256 parities of the numbers of their character pairs, of which an edit turns
-four at most. Keys of more than ``DENSE_KEY`` lines (a template's segment) are refined first: what lies behind the
+The pairs of a key are compared where they meet, and only those become rows whose lengths and signatures allow the
+threshold. A signature has 256 parities: in keys of a few lines, of the numbers of a line's words, of which an edit turns
+three at most (lines of few spaces pass); in keys of more lines, of its character pairs, of which an edit turns four.
+Keys of more than ``DENSE_KEY`` lines (a template's segment) are refined first: what lies behind the
 substring has at most k - i edits and is cut again in the same way, until the keys are smaller or the pieces are shorter
 than ``TERMINAL`` characters. Entries are dealt by key once; keys that a sample of the lines shows to be that frequent
 are refined at once and never gather in one place.
 
-Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves.
+Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves. It walks through
+one line for each character of the other, so what both begin and end with in common is cut off first.
 
 Order is (doc_id, line number), rows without an id first, several texts of one id by MD5. A line is removed if an earlier
 line is equal or within the threshold of it. Defined results: shorter and blank lines are never removed; null texts have
@@ -36,14 +38,16 @@ from pyspark.sql import functions as F
 from quernlake.llm.common import once, small, stored, text_id, unused
 
 EDITS, SMALL_KEY, DENSE_KEY, TERMINAL, LAST_CLASS = 1, 16, 8192, 2, 4096
-#: Words of 64 bits of a signature.
-WORDS = 4
+#: Words of 64 bits of a signature, and characters for each word up to which a line has a signature by words.
+WORDS, WORD_CHARS = 4, 12
 #: One line in so many is looked at for keys that are very frequent, and entries of a key there that make it so.
 SAMPLE, FREQUENT = 1024, 16
 #: Lengths that share keys, for each edit of the threshold.
 WIDTH = 4
 #: Distances up to which the shortest ruler is searched for.
 SEARCHED = 10
+#: Common ends up to which lines are cut before their edits are counted, a power of two.
+LONGEST_END = 1 << 16
 LINE = ["h", "g", "chars"]
 ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
@@ -143,29 +147,61 @@ def _shared(entries: DataFrame, sampled: DataFrame) -> DataFrame:
     return rest.unionByName(entries.join(small(often, n_often), "key", "left_semi").withColumn("n", F.lit(SAMPLE * FREQUENT).cast("long")))
 
 
-def _pairs(entries: DataFrame, more: list[str] | None = None, allowed: Column | None = None) -> DataFrame:
-    """Pairs of entries of one key, one of them of the key's class; columns ``more`` of both sides may be looked at by ``allowed``."""
-    side = lambda c: entries.select("key", F.col("probe").alias(f"p_{c}"), F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more or []])
+def _pairs(entries: DataFrame, more: list[str], allowed: Column) -> DataFrame:
+    """Pairs of entries of one key, one of them of the key's class; columns ``more`` of both sides are looked at by ``allowed``."""
+    side = lambda c: entries.select("key", F.col("probe").alias(f"p_{c}"), F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
     wanted = F.expr("(p_b = 1 and a <> b) or (p_b = 0 and a < b)")
-    return side("a").where("p_a = 0").join(side("b"), "key").where(wanted if allowed is None else wanted & allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return side("a").where("p_a = 0").join(side("b"), "key").where(wanted & allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def signatures(lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    """id, the line's threshold and its signature."""
-    k = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.col("chars") * percent / 100).cast("int"))) if percent else F.lit(edits)
-    wide = lines.select("id", k.alias("k"), F.encode("text", "UTF-32").alias("wide"), F.explode(F.sequence(F.lit(0), F.col("chars"))).alias("i"))
-    h = wide.select("id", "k", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, 8)).alias("h"))
+def _limit(a: str, b: str, edits: int, percent: int) -> Column:
+    """Edits allowed between two lines of so many characters."""
+    return F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.least(a, b) * percent / 100).cast("int"))) if percent else F.lit(edits)
+
+
+def _parities(pieces: DataFrame) -> DataFrame:
+    """For each line (id, chars) the parities of the numbers of pieces of a hash; null without pieces."""
+    h = pieces.select("id", "chars", F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = [F.bit_xor(F.when(F.expr(f"((h >> 6) & {WORDS - 1}) = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
-    return h.groupBy("id", "k").agg(*words)
+    words = [F.bit_xor(F.when(F.expr(f"((h >> 6) & {WORDS - 1}) = {w}"), bit).when(F.col("h").isNotNull(), F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
+    return h.groupBy("id", "chars").agg(*words)
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """id, chars and the signature of each line by pairs of neighbouring characters: an edit turns four bits at most."""
+    wide = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), F.explode(F.sequence(F.lit(0), F.col("chars"))).alias("i"))
+    return _parities(wide.select("id", "chars", F.substring("wide", 4 * F.col("i") + 1, 8).alias("piece")))
+
+
+def word_signatures(lines: DataFrame) -> DataFrame:
+    """id, chars and the signature of each line by what spaces part: an edit turns three bits at most, as it joins, parts or changes words.
+
+    Lines of too few spaces have none: it is null.
+    """
+    words = lines.select("id", "chars", once(F.split("text", " ")).alias("words"))
+    words = words.select("id", "chars", F.when(F.size("words") * WORD_CHARS >= F.col("chars"), F.col("words")).alias("words"))
+    return _parities(words.select("id", "chars", F.explode_outer("words").alias("piece")))
+
+
+def _differ() -> Column:
+    return sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
+
+
+def _few_pairs(entries: DataFrame, words: DataFrame, edits: int, percent: int) -> DataFrame:
+    """Pairs of small keys whose lengths and words, where both have signatures, allow their threshold."""
+    signed = entries.select("key", "id", "probe").join(words, "id")
+    limit = _limit("chars_a", "chars_b", edits, percent)
+    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & F.coalesce(_differ() <= 3 * limit, F.lit(True))
+    return _pairs(stored(signed), ["chars", *[f"s{w}" for w in range(WORDS)]], near)
 
 
 def _dense_pairs(entries: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    """Pairs of large keys whose signatures allow their threshold."""
+    """Pairs of large keys whose lengths and signatures allow their threshold."""
     ids = entries.select("id").distinct()
-    signed = entries.select("key", "id", "probe").join(signatures(lines.join(ids, "id", "left_semi"), edits, percent), "id")
-    differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
-    return _pairs(stored(signed), ["k", *[f"s{w}" for w in range(WORDS)]], differ <= 4 * F.least("k_a", "k_b"))
+    signed = entries.select("key", "id", "probe").join(signatures(lines.join(ids, "id", "left_semi")), "id")
+    limit = _limit("chars_a", "chars_b", edits, percent)
+    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & (_differ() <= 4 * limit)
+    return _pairs(stored(signed), ["chars", *[f"s{w}" for w in range(WORDS)]], near)
 
 
 def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -181,12 +217,27 @@ def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return e.select(key.alias("key"), "id", "probe", "side", (F.col("from") + F.col("length")).alias("at"), (F.col("room") - (F.col("i") + 1) * F.col("size")).alias("room"), (F.col("edits") - F.col("i")).alias("edits"))
 
 
+def _without_common_ends(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with t_a and t_b short of the characters that they begin and end with in common, which change no distance.
+
+    Lengths of common ends are found bit by bit, from the highest; ends of ``LONGEST_END`` characters or more stay in part.
+    """
+    made = pairs.withColumns({f"w_{c}": once(F.encode(f"t_{c}", "UTF-32")) for c in "ab"})
+    for end in ("_head", "_tail"):
+        made = made.withColumn(end, F.lit(0))
+        most = F.least("n_a", "n_b") - (F.col("_head") if end == "_tail" else 0)
+        step = LONGEST_END // 2
+        while step:
+            part = lambda c: F.substring(f"w_{c}", 4 * (F.col("_head") if end == "_head" else F.col(f"n_{c}") - F.col("_tail") - step) + 1, F.lit(4 * step))  # noqa: B023, E731
+            made = made.withColumn(end, once(F.col(end) + F.when((F.col(end) + step <= most) & (part("a") == part("b")), step).otherwise(0)))
+            step //= 2
+    return made.withColumns({f"t_{c}": F.substring(f"t_{c}", F.col("_head") + 1, F.col(f"n_{c}") - F.col("_head") - F.col("_tail")) for c in "ab"})
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
     side = lambda c: lines.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
-    limit = F.lit(edits)
-    if percent:
-        limit = F.greatest(F.lit(1), F.least(limit, F.floor(F.least("n_a", "n_b") * percent / 100).cast("int")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", limit).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", _limit("n_a", "n_b", edits, percent)).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
+    near = _without_common_ends(near)
     return near.where(F.levenshtein("t_a", "t_b", edits).between(0, F.col("limit"))).select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
 
 
@@ -197,11 +248,12 @@ def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int
     lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), codec="zstd")  # mostly text
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
+    words = stored(word_signatures(lines))
     pairs, many = [], stored(_shared(_entries(lines, plan, found), _entries(_sampled(lines), plan, found)).join(behind, "p").drop("p"))
     while True:
         few = F.col("n") <= SMALL_KEY
         last = (F.col("n") <= DENSE_KEY) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
-        pairs.append(_pairs(many.where(few)))
+        pairs.append(_few_pairs(many.where(few), words, edits, percent))
         dense = many.where(~few & last)
         if not dense.isEmpty():
             pairs.append(_dense_pairs(dense, lines, edits, percent))

@@ -509,6 +509,42 @@ def test_line_rows_repeat_no_work_on_the_text(spark):
         assert at and all("monotonically_increasing_id" in x for x in at)
 
 
+def test_line_pairs_that_only_share_a_segment(spark, monkeypatch):
+    """Lines that have a key in common and little else are told apart by their words, before they become rows."""
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = [say(4) for _ in range(20)]
+    texts = [(7 * k + i, x + " " + say(20)) for k, x in enumerate(shared) for i in range(6)]
+    texts += [(1000, texts[3][1][:60] + "Q" + texts[3][1][60:]), (1001, texts[9][1].replace(" ", "", 2))]
+    seen, real = [], line_module._verified
+
+    def spy(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(line_module, "_verified", spy)
+    got = rows(line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), edits=8, percent=5).where("n_removed > 0").select("doc_id"))
+    assert got == [(1000,), (1001,)] and 2 <= seen[0] < 10  # of 300 pairs of one segment
+
+
+def test_common_ends_of_lines(spark):
+    """What two lines begin and end with in common is cut off, and their distance stays."""
+    r = random.Random(13)
+    line = lambda n: "".join(r.choice("abé😀") for _ in range(n))
+    pairs = [("", ""), ("", "abc"), ("aaa", "aaaaa"), ("abab", "ababab"), ("xay", "xby"), ("é😀", "😀é")]
+    for n in (1, 5, 40, 300):
+        x = line(n)
+        k = r.randrange(n)
+        pairs += [(x, x), (x, x[:k] + "Q" + x[k + 1 :]), (x, x[:k] + x[k + 1 :]), (x, line(n)), (x, x + line(3)), (line(3) + x, x)]
+    df = spark.createDataFrame([(a, b, a, b, len(a), len(b)) for a, b in pairs], "a string, b string, t_a string, t_b string, n_a int, n_b int")
+    got = line_module._without_common_ends(df).collect()
+    assert len(got) == len(pairs)
+    for x in got:
+        a, b, u, v = x["a"], x["b"], x["t_a"], x["t_b"]
+        assert edits(u, v) == edits(a, b) and len(a) - len(u) == len(b) - len(v)
+        assert not (u and v) or (u[0] != v[0] and u[-1] != v[-1])
+
+
 # --- 7
 
 
