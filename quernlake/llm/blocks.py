@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import shared_dir, text_bytes
+from quernlake.llm.common import shared_dir, shuffles_removed, text_bytes
 
 #: Text that a bucket of the block table and a range of the key space stand for; Spark allows 100,000 buckets.
 BUCKET_BYTES, RANGE_BYTES, MOST_BUCKETS = 64 << 20, 8 << 20, 100_000
@@ -86,7 +86,7 @@ def bucket_count(spark: SparkSession, size: int) -> int:
 class Replies:
     """Replies of all rounds in one table that is bucketed like the blocks: each is dealt by block once, when it is added.
 
-    Spark removes the shuffle files of a finished round when the driver's heap is collected, so ``add`` asks for that.
+    The shuffle files of a round go when it is added.
     """
 
     def __init__(self, spark: SparkSession, size: int):
@@ -95,9 +95,8 @@ class Replies:
 
     def add(self, replies: DataFrame) -> None:
         dealt = replies.repartition(self.buckets, "block")
-        dealt.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "block").saveAsTable(self.name)
-        del replies, dealt
-        self.spark.sparkContext._jvm.System.gc()
+        with shuffles_removed(self.spark):
+            dealt.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "block").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Stands for a missing document id: behind all others.
 NO_ID = (1 << 63) - 1
+#: Spark's setting under which a finished execution removes the files of its shuffles.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that the numpy kernels handle at once.
 CHUNK_BYTES = 2 << 20
 
@@ -30,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write in here go when it ends; else they stay until the driver's heap happens to be collected."""
+    before = spark.conf.get(REMOVE_SHUFFLES)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+
+
 def stored(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

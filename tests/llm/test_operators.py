@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -810,6 +812,25 @@ def test_counts_come_back_from_their_bytes(numbers):
     assert unpack_counts(pack_counts(np.array(numbers, np.int64))).tolist() == numbers
 
 
+def test_shuffle_files_go_with_their_write(spark):
+    """Files of the shuffles of a stored table and of a round of replies are gone though their plans are still held."""
+    from quernlake.llm.blocks import Replies
+    from quernlake.llm.common import stored
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p for d in folders for p in Path(d.toString()).rglob("shuffle_*")}
+    before = files()
+    rows = spark.range(1000).selectExpr("id % 7 as block", "0 as kind", "0 as part", "binary(string(id)) as data", "id as total", "id as distinct").repartition(3, "data")
+    replies = Replies(spark, 1000)
+    replies.add(rows)
+    held = stored(rows)
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert held.count() == replies.table().count() == 1000
+
+
 def test_scores_do_not_depend_on_the_blocks(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("abcdefgh") + str(r.randrange(6)) for _ in range(r.randrange(60)))) for i in range(60)]
