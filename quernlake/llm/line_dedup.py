@@ -11,10 +11,10 @@ in common, whatever their lengths, with far fewer entries than one for each shif
 length is also looked up in the classes below, as far as k reaches. Keys hold a range of lengths as well; a line close
 above a range's least length is also looked up in the range below.
 
-The pairs of a key are compared where they meet, and only those become rows whose lengths and signatures allow the
-threshold. A signature has 256 parities: in keys of a few lines, of the numbers of a line's words, of which an edit turns
-three at most (lines of few spaces pass); in keys of more lines, of its character pairs, of which an edit turns four.
-Keys of more than ``DENSE_KEY`` lines (a template's segment) are refined first: what lies behind the
+Lines that share a key with another one go on alone (``_in_play``), with a signature: how often each of the ``COUNTED``
+most frequent characters occurs, modulo 16, as eight bits of which the next number differs in one. An edit turns two bits
+at most, or one if it changes the length too. The pairs of a key are compared where they meet, and only those become rows
+whose lengths and signatures allow the threshold. Keys of more than ``DENSE_KEY`` lines (a template's segment) are refined first: what lies behind the
 substring has at most k - i edits and is cut again in the same way, until the keys are smaller or the pieces are shorter
 than ``TERMINAL`` characters. Entries are dealt by key once; keys that a sample of the lines shows to be that frequent
 are refined at once and never gather in one place.
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from quernlake.llm.common import once, small, stored, text_id, unused
 
 EDITS, SMALL_KEY, DENSE_KEY, TERMINAL, LAST_CLASS = 1, 16, 8192, 2, 4096
-#: Words of 64 bits of a signature, and characters for each word up to which a line has a signature by words.
-WORDS, WORD_CHARS = 4, 12
+#: Characters that signatures count, words of 64 bits that these fill, and lines that show which characters are frequent.
+COUNTED, WORDS, SEEN = 32, 4, 4096
+#: Codes of the numbers modulo 16: the next one differs in one bit, any two in as many as they are apart either way round.
+CODES = [(1 << i) - 1 if i <= 8 else 256 - (1 << (i - 8)) for i in range(16)]
 #: One line in so many is looked at for keys that are very frequent, and entries of a key there that make it so.
 SAMPLE, FREQUENT = 1024, 16
 #: Lengths that share keys, for each edit of the threshold.
-WIDTH = 4
+WIDTH = 8
 #: Distances up to which the shortest ruler is searched for.
 SEARCHED = 10
 #: Common ends up to which lines are cut before their edits are counted, a power of two.
@@ -133,15 +135,15 @@ def _sampled(rows: DataFrame) -> DataFrame:
 
 
 def _shared(entries: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Entries of keys that a line of the key's class and another line have, with the number of entries as ``n``."""
+    """Entries of keys that a line of the key's class has and that have another entry, with their number as ``n``."""
     often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {FREQUENT}")
     often = stored(often.select("key"))
     n_often = often.count()
     rest = entries.join(small(often, n_often), "key", "left_anti") if n_often else entries
     probe = F.col("probe") if "probe" in entries.columns else F.col("p") % 2
-    w = Window.partitionBy("key")
-    rest = rest.withColumns({"n": F.count(F.lit(1)).over(w), "_own": F.sum(1 - probe).over(w), "_lo": F.min("id").over(w), "_hi": F.max("id").over(w)})
-    rest = rest.where("n > 1 and _own > 0 and _lo <> _hi").drop("_own", "_lo", "_hi")
+    # one sum counts both: entries below 2^32, those of the key's class above
+    rest = rest.withColumn("_both", F.sum(F.when(probe == 1, 1).otherwise((1 << 32) + 1)).over(Window.partitionBy("key")))
+    rest = rest.where("_both >= shiftleft(1L, 32) and (_both & 4294967295L) > 1").withColumn("n", F.col("_both").bitwiseAND((1 << 32) - 1)).drop("_both")
     if not n_often:
         return rest
     return rest.unionByName(entries.join(small(often, n_often), "key", "left_semi").withColumn("n", F.lit(SAMPLE * FREQUENT).cast("long")))
@@ -159,49 +161,42 @@ def _limit(a: str, b: str, edits: int, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.least(a, b) * percent / 100).cast("int"))) if percent else F.lit(edits)
 
 
-def _parities(pieces: DataFrame) -> DataFrame:
-    """For each line (id, chars) the parities of the numbers of pieces of a hash; null without pieces."""
-    h = pieces.select("id", "chars", F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = [F.bit_xor(F.when(F.expr(f"((h >> 6) & {WORDS - 1}) = {w}"), bit).when(F.col("h").isNotNull(), F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
-    return h.groupBy("id", "chars").agg(*words)
+def frequent_characters(lines: DataFrame) -> list[str]:
+    """The most frequent characters of a few lines; what they are changes no result."""
+    chars = lines.select("text").limit(SEEN).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    return [r["c"] for r in chars.groupBy("c").count().orderBy(F.desc("count"), "c").limit(COUNTED).collect()]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """id, chars and the signature of each line by pairs of neighbouring characters: an edit turns four bits at most."""
-    wide = lines.select("id", "chars", F.encode("text", "UTF-32").alias("wide"), F.explode(F.sequence(F.lit(0), F.col("chars"))).alias("i"))
-    return _parities(wide.select("id", "chars", F.substring("wide", 4 * F.col("i") + 1, 8).alias("piece")))
+def signature(text: Column, chars: list[str]) -> list[Column]:
+    """s0, s1, ...: the code of the number of each of ``chars`` in a text, eight to a word."""
+    codes, size = F.array(*[F.lit(x).cast("long") for x in CODES]), F.octet_length(text)
+    out = []
+    for w in range(WORDS):
+        word = F.lit(0).cast("long")
+        for j, c in enumerate(chars[8 * w : 8 * w + 8]):
+            n = (size - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / len(c.encode())
+            word = word.bitwiseOR(F.shiftleft(codes[n.cast("int") % 16], 8 * j))
+        out.append(word.alias(f"s{w}"))
+    return out
 
 
-def word_signatures(lines: DataFrame) -> DataFrame:
-    """id, chars and the signature of each line by what spaces part: an edit turns three bits at most, as it joins, parts or changes words.
-
-    Lines of too few spaces have none: it is null.
-    """
-    words = lines.select("id", "chars", once(F.split("text", " ")).alias("words"))
-    words = words.select("id", "chars", F.when(F.size("words") * WORD_CHARS >= F.col("chars"), F.col("words")).alias("words"))
-    return _parities(words.select("id", "chars", F.explode_outer("words").alias("piece")))
+def _in_play(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, chars, at, text and signature of the lines that have entries."""
+    ids = stored(entries.select("id").distinct())
+    play = lines.join(small(ids, ids.count()), "id", "left_semi")
+    return stored(play.select("id", "chars", "at", "text", *signature(F.col("text"), frequent_characters(lines))))
 
 
 def _differ() -> Column:
     return sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
 
 
-def _few_pairs(entries: DataFrame, words: DataFrame, edits: int, percent: int) -> DataFrame:
-    """Pairs of small keys whose lengths and words, where both have signatures, allow their threshold."""
-    signed = entries.select("key", "id", "probe").join(words, "id")
-    limit = _limit("chars_a", "chars_b", edits, percent)
-    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & F.coalesce(_differ() <= 3 * limit, F.lit(True))
-    return _pairs(stored(signed), ["chars", *[f"s{w}" for w in range(WORDS)]], near)
-
-
-def _dense_pairs(entries: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    """Pairs of large keys whose lengths and signatures allow their threshold."""
-    ids = entries.select("id").distinct()
-    signed = entries.select("key", "id", "probe").join(signatures(lines.join(ids, "id", "left_semi")), "id")
-    limit = _limit("chars_a", "chars_b", edits, percent)
-    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & (_differ() <= 4 * limit)
-    return _pairs(stored(signed), ["chars", *[f"s{w}" for w in range(WORDS)]], near)
+def _near_pairs(entries: DataFrame, play: DataFrame, edits: int, percent: int) -> DataFrame:
+    """Pairs of a key whose lengths and signatures allow their threshold."""
+    more = ["chars", *[f"s{w}" for w in range(WORDS)]]
+    signed = entries.select("key", "id", "probe").join(play.select("id", *more), "id")
+    apart, limit = F.abs(F.col("chars_a") - F.col("chars_b")), _limit("chars_a", "chars_b", edits, percent)
+    return _pairs(stored(signed), more, (apart <= limit) & (_differ() + apart <= 2 * limit))
 
 
 def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -238,44 +233,40 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> D
     side = lambda c: lines.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", _limit("n_a", "n_b", edits, percent)).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
     near = _without_common_ends(near)
-    return near.where(F.levenshtein("t_a", "t_b", edits).between(0, F.col("limit"))).select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
+    return near.where(F.levenshtein("t_a", "t_b", edits).between(0, F.col("limit"))).select("a", "b", "at_a", "at_b")
 
 
 def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (hashes, chars, first place, copies, text, id) and the links (a, b) between their first places."""
+    """Distinct lines (hashes, chars, first place, copies, text, id) and the links between them (ids a and b, first places at_a and at_b)."""
     found = classes(min_chars, edits, percent)
     lines = occurrences(docs, min_chars).groupBy(*LINE).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
-    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), codec="zstd")  # mostly text
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
-    words = stored(word_signatures(lines))
     pairs, many = [], stored(_shared(_entries(lines, plan, found), _entries(_sampled(lines), plan, found)).join(behind, "p").drop("p"))
+    play = _in_play(lines, many)
     while True:
-        few = F.col("n") <= SMALL_KEY
-        last = (F.col("n") <= DENSE_KEY) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
-        pairs.append(_few_pairs(many.where(few), words, edits, percent))
-        dense = many.where(~few & last)
-        if not dense.isEmpty():
-            pairs.append(_dense_pairs(dense, lines, edits, percent))
-        many = many.where(~few & ~last)
+        last = (F.col("n") <= max(SMALL_KEY, DENSE_KEY)) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
+        pairs.append(_near_pairs(many.where(last), play, edits, percent))
+        many = many.where(~last)
         if many.isEmpty():
             break
-        refined = _refined(many.select(*ENTRY), lines, edits)
+        refined = _refined(many.select(*ENTRY), play, edits)
         many = stored(_shared(refined, _sampled(refined)))
     candidates = pairs[0]
     for p in pairs[1:]:
         candidates = candidates.union(p)
-    return lines, stored(_verified(stored(candidates.distinct()), lines, edits, percent))
+    return lines, stored(_verified(stored(candidates.distinct()), play, edits, percent))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, percent: int = 0) -> DataFrame:
     """doc_id and tid (of the text) with removed, n_fuzzy (removed without an equal earlier line) and n_links of the lines it first has."""
     lines, links = line_links(docs, min_chars, edits, percent)
-    near = links.select(F.col("a").alias("at"), F.col("b").alias("other")).union(links.select(F.col("b").alias("at"), F.col("a").alias("other")))
-    near = near.groupBy("at").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
-    state = lines.select(*LINE, "at", "copies").join(near, "at", "left").where("copies > 1 or links > 0")
+    near = links.select(F.col("a").alias("id"), F.col("at_b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("at_a").alias("other")))
+    near = stored(near.groupBy("id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links")))
+    state = stored(lines.select("id", *LINE, "at", "copies").join(small(near, near.count()), "id", "left").where("copies > 1 or links > 0").drop("id"))
     occ = occurrences(docs, min_chars).select(*LINE, F.col("at").alias("here"))
-    got = occ.join(state, LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
+    got = occ.join(small(state, state.count()), LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
     got = got.distinct()  # rows of equal id and text
     return got.groupBy(F.col("here.d").alias("doc_id"), F.col("here.tid").alias("tid")).agg(
         F.collect_set(F.when(~F.col("is_first") | F.col("near"), F.col("here.l"))).alias("removed"),

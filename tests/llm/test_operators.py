@@ -529,6 +529,52 @@ def test_line_pairs_that_only_share_a_segment(spark, monkeypatch):
     assert got == [(1000,), (1001,)] and 2 <= seen[0] < 10  # of 300 pairs of one segment
 
 
+def test_copies_of_a_line_with_other_words_are_no_pairs(spark, monkeypatch):
+    """Copies that differ in more words than the edits allow are told apart by their characters, before they become rows."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    texts = []
+    for k in range(20):
+        base = [word() for _ in range(40)]
+        for i in range(8):
+            changed = base.copy()
+            for at in r.sample(range(40), 4):
+                changed[at] = word()
+            texts.append((100 * k + i, " ".join(changed)))
+    texts += [(5000 + k, texts[8 * k][1].replace(" ", "  ", 2)) for k in range(5)]
+    seen, real = [], line_module._verified
+
+    def spy(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(line_module, "_verified", spy)
+    got = rows(line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), edits=8, percent=5).where("n_removed > 0").select("doc_id"))
+    assert got == [(5000 + k,) for k in range(5)] and 5 <= seen[0] < 20  # of 560 pairs of copies
+
+
+def test_line_signatures(spark):
+    """An edit turns two bits of a signature at most, less one where it changes the length; in any script."""
+    r = random.Random(22)
+    pairs = []
+    for letters in ("abcdefgh ijkl", "абвгд ежз", "漢字仮名😀é"):
+        for _ in range(60):
+            a = b = "".join(r.choice(letters) for _ in range(r.randrange(1, 200)))
+            n = r.randrange(6)
+            for _ in range(n):
+                k = r.randrange(len(b) + 1)
+                b = r.choice([b[:k] + r.choice(letters) + b[k:], b[:k] + b[k + 1 :], b[:k] + r.choice(letters) + b[k + 1 :]])
+            pairs.append((a, b, n))
+    chars = line_module.frequent_characters(spark.createDataFrame([(x,) for x, _, _ in pairs], "text string"))
+    assert len(chars) == len(set("abcdefgh ijklабвгдежз漢字仮名😀é"))
+    df = spark.createDataFrame(pairs, "a string, b string, n int")
+    sides = [c.alias(f"s{w}_{x}") for x in "ab" for w, c in enumerate(line_module.signature(F.col(x), chars))]
+    for x in df.select("a", "b", "n", *sides).select("a", "b", "n", line_module._differ().alias("bits")).collect():
+        assert x["bits"] + abs(len(x["a"]) - len(x["b"])) <= 2 * x["n"]
+        if x["n"] == 0:
+            assert x["bits"] == 0
+
+
 def test_common_ends_of_lines(spark):
     """What two lines begin and end with in common is cut off, and their distance stays."""
     r = random.Random(13)
