@@ -264,9 +264,9 @@ def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, perc
     lines, links = line_links(docs, min_chars, edits, percent)
     near = links.select(F.col("a").alias("id"), F.col("at_b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("at_a").alias("other")))
     near = stored(near.groupBy("id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links")))
-    state = stored(lines.select("id", *LINE, "at", "copies").join(small(near, near.count()), "id", "left").where("copies > 1 or links > 0").drop("id"))
+    state = lines.select("id", *LINE, "at", "copies").join(small(near, near.count()), "id", "left").where("copies > 1 or links > 0").drop("id")
     occ = occurrences(docs, min_chars).select(*LINE, F.col("at").alias("here"))
-    got = occ.join(small(state, state.count()), LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
+    got = occ.join(state, LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")
     got = got.distinct()  # rows of equal id and text
     return got.groupBy(F.col("here.d").alias("doc_id"), F.col("here.tid").alias("tid")).agg(
         F.collect_set(F.when(~F.col("is_first") | F.col("near"), F.col("here.l"))).alias("removed"),
