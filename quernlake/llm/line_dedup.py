@@ -19,6 +19,11 @@ substring has at most k - i edits and is cut again in the same way, until the ke
 than ``TERMINAL`` characters. Entries are dealt by key once; keys that a sample of the lines shows to be that frequent
 are refined at once and never gather in one place.
 
+Lines of a key of more than ``SMALL_KEY`` lines (unless it came from refining) are not paired in rows at all: they are dealt into
+parts, two parts are compared within one row, and what leaves it is one row for each line with links: their number and the first
+place among them. The pairs of such a key are still compared one by one, so its work, unlike its rows, grows with their square. A pair
+counts under the first large key that it shares, and is dropped from the pairs of other keys.
+
 Candidates are verified by Spark's edit distance over the band of diagonals that the threshold leaves. It walks through
 one line for each character of the other, so what both begin and end with in common is cut off first.
 
@@ -30,6 +35,7 @@ no lines, an empty text has one blank line; rows of equal id and text get the sa
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,7 +56,10 @@ WIDTH = 8
 SEARCHED = 10
 #: Common ends up to which lines are cut before their edits are counted, a power of two.
 LONGEST_END = 1 << 16
+#: Lines of a key, and characters of them, that are compared with as many others in one row.
+PART_LINES, PART_CHARS = 256, 1 << 20
 LINE = ["h", "g", "chars"]
+SIGNED = ["chars", *[f"s{w}" for w in range(WORDS)]]
 ENTRY = ["key", "id", "probe", "side", "at", "room", "edits"]
 
 
@@ -191,12 +200,10 @@ def _differ() -> Column:
     return sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
 
 
-def _near_pairs(entries: DataFrame, play: DataFrame, edits: int, percent: int) -> DataFrame:
+def _near_pairs(signed: DataFrame, edits: int, percent: int) -> DataFrame:
     """Pairs of a key whose lengths and signatures allow their threshold."""
-    more = ["chars", *[f"s{w}" for w in range(WORDS)]]
-    signed = entries.select("key", "id", "probe").join(play.select("id", *more), "id")
     apart, limit = F.abs(F.col("chars_a") - F.col("chars_b")), _limit("chars_a", "chars_b", edits, percent)
-    return _pairs(stored(signed), more, (apart <= limit) & (_differ() + apart <= 2 * limit))
+    return _pairs(signed, SIGNED, (apart <= limit) & (_differ() + apart <= 2 * limit))
 
 
 def _refined(entries: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -229,41 +236,124 @@ def _without_common_ends(pairs: DataFrame) -> DataFrame:
     return made.withColumns({f"t_{c}": F.substring(f"t_{c}", F.col("_head") + 1, F.col(f"n_{c}") - F.col("_head") - F.col("_tail")) for c in "ab"})
 
 
+def _with_large_keys(play: DataFrame, signed: DataFrame) -> DataFrame:
+    """``play`` with the large keys that each line has, those of most lines first; null if it has none."""
+    large = signed.where("large")
+    sizes = large.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"))
+    parts = F.ceil(F.greatest(F.col("lines") / PART_LINES, F.col("chars") / PART_CHARS))
+    sizes = stored(sizes.select("key", (-F.col("lines")).alias("rank"), parts.alias("parts")))
+    ranked = large.select("key", "id", "probe").join(small(sizes, sizes.count()), "key")
+    ranked = ranked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("rank", "key", "probe", "parts"))).alias("keys"))
+    return stored(play.join(ranked, "id", "left"))
+
+
+def _keys(keys: Column, probe: int) -> Column:
+    """The keys that a line looks up (``probe`` 1) or is found under (0)."""
+    return F.transform(F.filter(keys, lambda k: k["probe"] == probe), lambda k: k["key"])
+
+
+def _meet(own_a: Column, probe_a: Column, own_b: Column, probe_b: Column) -> Column:
+    """Whether two lines have a key in common that is one of the class of either."""
+    return F.arrays_overlap(own_a, own_b) | F.arrays_overlap(own_a, probe_b) | F.arrays_overlap(probe_a, own_b)
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    side = lambda c: lines.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"))
+    """Links among pairs; those that have a large key in common are left to ``_large_key_links``."""
+    none = F.array().cast("array<long>")
+    of = lambda probe: F.coalesce(_keys(F.col("keys"), probe), none)
+    side = lambda c: lines.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("text").alias(f"t_{c}"), F.col("chars").alias(f"n_{c}"), of(0).alias(f"own_{c}"), of(1).alias(f"probe_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("limit", _limit("n_a", "n_b", edits, percent)).where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("limit"))
+    near = near.where(~_meet(*[F.col(f"{x}_{c}") for c in "ab" for x in ("own", "probe")])).drop("own_a", "own_b", "probe_a", "probe_b")
     near = _without_common_ends(near)
     return near.where(F.levenshtein("t_a", "t_b", edits).between(0, F.col("limit"))).select("a", "b", "at_a", "at_b")
 
 
+def _common_end(x: Column, y: Column, tail: bool) -> Column:
+    """Characters that two lines begin with in common, or end with behind the ``head`` of y, found bit by bit; ``LONGEST_END`` at most."""
+    part = lambda z, got, step: F.substring(z["text"], (z["chars"] - got - step if tail else got) + 1, step)
+    most = F.least(x["chars"], y["chars"]) - (y["head"] if tail else 0)
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in reversed(range(LONGEST_END.bit_length() - 1))]), lambda step: step <= most)
+    more = lambda got, step: (got + step <= most) & (part(x, got, step) == part(y, got, step))
+    return F.aggregate(steps, F.lit(0), lambda got, step: got + F.when(more(got, step), step).otherwise(0))
+
+
+def _large_key_links(lines: DataFrame, edits: int, percent: int) -> DataFrame:
+    """id, other (first place of a linked line) and links of the lines that large keys link, in several rows each.
+
+    The lines of a key are dealt into parts and the pairs of two parts are compared within one row, each pair under the
+    first large key that it shares.
+    """
+    e = lines.where(F.col("keys").isNotNull()).select("id", "at", "text", *SIGNED, "keys", F.posexplode("keys").alias("nth", "k"))
+    before = F.slice("keys", 1, F.col("nth"))
+    line = F.struct("id", F.col("k.probe").alias("probe"), "at", "text", *SIGNED, _limit("chars", "chars", edits, percent).alias("limit"), _keys(before, 0).alias("own_before"), _keys(before, 1).alias("probe_before"))
+    dealt = e.select(F.col("k.key").alias("key"), F.col("k.parts").alias("parts"), F.pmod(F.xxhash64("id"), F.col("k.parts")).alias("part"), line.alias("line"))
+    dealt = stored(dealt.groupBy("key", "parts", "part").agg(F.collect_list("line").alias("lines")))
+    first = dealt.select("key", F.col("part").alias("first"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"), F.col("lines").alias("a"))
+    met = first.join(dealt.select("key", "part", F.col("lines").alias("b")), ["key", "part"]).select((F.col("first") == F.col("part")).alias("same"), "a", "b")
+
+    def linked(x: Column) -> Column:
+        """The lines of the other part that ``x`` is linked with."""
+
+        def allowed(y: Column) -> Column:
+            apart, limit = F.abs(x["chars"] - y["chars"]), F.least(x["limit"], y["limit"])
+            bits = sum((F.bit_count(x[f"s{w}"].bitwiseXOR(y[f"s{w}"])) for w in range(WORDS)), F.lit(0))
+            wanted = (~F.col("same") | (x["id"] < y["id"])) & ((x["probe"] == 0) | (y["probe"] == 0)) & (apart <= limit) & (bits + apart <= 2 * limit)
+            return wanted & ~_meet(x["own_before"], x["probe_before"], y["own_before"], y["probe_before"])
+
+        def near(y: Column) -> Column:
+            rest = lambda z: F.substring(z["text"], y["head"] + 1, z["chars"] - y["head"] - y["tail"])
+            # -1, too many, becomes edits + 1
+            return F.pmod(F.levenshtein(rest(x), rest(y), edits), F.lit(edits + 2)) <= F.least(x["limit"], y["limit"])
+
+        found, kept = F.filter("b", allowed), ["id", "at", "text", "chars", "limit"]
+        for end in ("head", "tail"):
+            found = F.transform(found, lambda y: F.struct(*[y[c].alias(c) for c in kept], _common_end(x, y, end == "tail").alias(end)))  # noqa: B023
+            kept.append(end)
+        return F.transform(F.filter(found, near), lambda y: F.struct(y["id"].alias("id"), y["at"].alias("at")))
+
+    met = met.select(once(F.transform("a", lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"), linked(x).alias("to")))).alias("a"))
+    back = lambda x: F.transform(x["to"], lambda y: F.struct(y["id"].alias("id"), x["at"].alias("at")))
+    met = met.select("a", once(F.flatten(F.transform("a", back))).alias("b")).where(F.size("b") > 0)
+    told = lambda i, found: F.struct(i.alias("id"), F.array_min(F.transform(found, lambda y: y["at"])).alias("other"), F.size(found).cast("long").alias("links"))
+    ids = F.array_distinct(F.transform("b", lambda y: y["id"]))
+    both = F.concat(
+        F.transform(F.filter("a", lambda x: F.size(x["to"]) > 0), lambda x: told(x["id"], x["to"])),
+        F.transform(ids, lambda i: told(i, F.filter("b", lambda y: y["id"] == i))),
+    )
+    return met.select(F.inline(both))
+
+
 def line_links(docs: DataFrame, min_chars: int, edits: int = EDITS, percent: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (hashes, chars, first place, copies, text, id) and the links between them (ids a and b, first places at_a and at_b)."""
+    """Distinct lines (hashes, chars, first place, copies, text, id) and, for ids with links, the number of lines linked and the first place of these (``other``)."""
     found = classes(min_chars, edits, percent)
     lines = occurrences(docs, min_chars).groupBy(*LINE).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
     lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))
     plan = _plan(docs.sparkSession, found)
     behind = F.broadcast(plan.select("p", "probe", "side", (F.col("at") + F.col("size")).alias("at"), "room", "edits"))
-    pairs, many = [], stored(_shared(_entries(lines, plan, found), _entries(_sampled(lines), plan, found)).join(behind, "p").drop("p"))
+    entries, many = [], stored(_shared(_entries(lines, plan, found), _entries(_sampled(lines), plan, found)).join(behind, "p").drop("p"))
     play = _in_play(lines, many)
     while True:
         last = (F.col("n") <= max(SMALL_KEY, DENSE_KEY)) | (F.floor(F.col("room") / (F.col("edits") + 1)) < TERMINAL)
-        pairs.append(_near_pairs(many.where(last), play, edits, percent))
+        # a line has few keys before they are refined; each of them is told the ones before it
+        large = (F.col("n") > SMALL_KEY) & F.lit(not entries)
+        entries.append(many.where(last).select("key", "id", "probe", large.alias("large")))
         many = many.where(~last)
         if many.isEmpty():
             break
         refined = _refined(many.select(*ENTRY), play, edits)
         many = stored(_shared(refined, _sampled(refined)))
-    candidates = pairs[0]
-    for p in pairs[1:]:
-        candidates = candidates.union(p)
-    return lines, stored(_verified(stored(candidates.distinct()), play, edits, percent))
+    signed = stored(reduce(DataFrame.union, entries).join(play.select("id", *SIGNED), "id"))
+    play = _with_large_keys(play, signed)
+    pairs = stored(_near_pairs(signed.where("not large"), edits, percent))
+    links = stored(_verified(pairs, play, edits, percent))
+    near = links.select(F.col("a").alias("id"), F.col("at_b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("at_a").alias("other")))
+    near = near.withColumn("links", F.lit(1).cast("long")).union(_large_key_links(play, edits, percent))
+    return lines, stored(near.groupBy("id").agg(F.min("other").alias("other"), F.sum("links").alias("links")))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = 24, edits: int = EDITS, percent: int = 0) -> DataFrame:
     """doc_id and tid (of the text) with removed, n_fuzzy (removed without an equal earlier line) and n_links of the lines it first has."""
-    lines, links = line_links(docs, min_chars, edits, percent)
-    near = links.select(F.col("a").alias("id"), F.col("at_b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("at_a").alias("other")))
-    near = stored(near.groupBy("id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links")))
+    lines, near = line_links(docs, min_chars, edits, percent)
     state = lines.select("id", *LINE, "at", "copies").join(small(near, near.count()), "id", "left").where("copies > 1 or links > 0").drop("id")
     occ = occurrences(docs, min_chars).select(*LINE, F.col("at").alias("here"))
     got = occ.join(state, LINE).select("here", (F.col("here") == F.col("at")).alias("is_first"), F.coalesce(F.col("other") < F.col("at"), F.lit(False)).alias("near"), "links")

@@ -553,6 +553,38 @@ def test_copies_of_a_line_with_other_words_are_no_pairs(spark, monkeypatch):
     assert got == [(5000 + k,) for k in range(5)] and 5 <= seen[0] < 20  # of 560 pairs of copies
 
 
+def test_pairs_of_a_large_key_are_no_rows(spark, monkeypatch):
+    """Copies of one line are compared within the rows of their keys: all links are counted, once each, and few pairs become rows."""
+    r = random.Random(23)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    base, texts = [word(6) for _ in range(30)], []
+    for i in range(90):
+        changed = base.copy()
+        for at in r.sample(range(30), r.randrange(1, 8)):
+            changed[at] = r.choice([changed[at][:-1], changed[at] + "x", "y" + changed[at][1:]])
+        changed[i % 30] += "zz"[: i // 30]
+        texts.append((i, " ".join(changed)))
+    assert len({x for _, x in texts}) == len(texts)
+    limit = lambda x, y: max(1, min(8, min(len(x), len(y)) * 5 // 100))
+    links = {i: {j for j, y in texts if j != i and abs(len(x) - len(y)) <= 8 and edits(x, y) <= limit(x, y)} for i, x in texts}
+    want = sorted(((i, int(any(j < i for j in near)), len(near)) for i, near in links.items()), key=repr)
+    n_links = sum(len(x) for x in links.values()) // 2
+    assert 200 < n_links < 90 * 89 // 2
+    seen, real = [], line_module._verified
+
+    def spy(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(line_module, "_verified", spy)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for part in (256, 7):
+        monkeypatch.setattr(line_module, "PART_LINES", part, raising=False)
+        got = line_dedup(docs, edits=8, percent=5).select("doc_id", "n_removed", "n_links")
+        assert rows(got) == want
+        assert seen.pop() < n_links
+
+
 def test_line_signatures(spark):
     """An edit turns two bits of a signature at most, less one where it changes the length; in any script."""
     r = random.Random(22)
