@@ -4,7 +4,7 @@ A database is a folder of Parquet data and a chain of numbered manifests. A comm
 manifest; whoever creates the next number first wins, so a commit is atomic over all its tables. Inserts add files of
 new rows; updates and deletes add small files of row versions and tombstones. A read is the scan of the inserted files
 without the rows that a newer version replaces, plus those versions: without changes it is a plain scan with all its
-pushdown, with changes the changed ids are joined (broadcast while they are few). ``AS OF`` picks the files of earlier
+pushdown, with changes the changed ids are joined (broadcast while they are few, else dealt out by counted rows). ``AS OF`` picks the files of earlier
 commits from the manifest, so it reads no later data. ``compact`` folds versions into the files; what it folded stays
 as history (entries and columns of that time), so ``AS OF`` and the check for conflicts reach behind it until ``vacuum``
 drops it, and raise an error beyond.
@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from quernlake.functions import scalar
 from quernlake.functions.types import SPARK, kind_of
 
-#: Changed rows up to which their ids are broadcast when a table is read.
+#: Changed rows up to which their ids are broadcast when a table is read; more are never broadcast.
 BROADCAST_CHANGES = 500_000
+#: Rows that a task sorts by their ids, as the counts in the manifest say: ids take a tenth of their memory in files.
+SORTED_ROWS = 500_000
 #: Milliseconds for which ``vacuum`` spares data that no manifest ever named.
 GRACE = 24 * 3600 * 1000
 #: What Spark's message says if a value doesn't fit its column.
@@ -263,9 +265,7 @@ class Store:
 
     def newest(self, table: TableSpec, entries: list[dict]) -> DataFrame:
         """The last version of each row that the entries hold, without deleted ones; physical names."""
-        rows = self._scan(table, entries)
-        rest = [c for c in rows.columns if c != "_row_id"]
-        return rows.groupBy("_row_id").agg(F.max_by(F.struct(*rest), "_seq").alias("_v")).select("_row_id", "_v.*").where(~F.col("_deleted"))
+        return last_versions(self._scan(table, entries), size(entries)).where(~F.col("_deleted"))
 
     def _scan(self, table: TableSpec, entries: list[dict]) -> DataFrame:
         schema = table.schema()
@@ -281,14 +281,8 @@ class Store:
         base = self._scan(table, inserted)
         if not changed:
             return base.select("_row_id", *named)
-        delta = self._scan(table, changed)
-        rest = [c for c in delta.columns if c != "_row_id"]
-        newest = delta.groupBy("_row_id").agg(F.max_by(F.struct(*rest), "_seq").alias("_v")).select("_row_id", "_v.*")
-        ids = delta.select("_row_id").distinct()
-        if sum(e["rows"] for e in changed) <= BROADCAST_CHANGES:
-            ids = F.broadcast(ids)
-        kept = base.join(ids, "_row_id", "left_anti")
-        return kept.select("_row_id", *named).unionByName(newest.where(~F.col("_deleted")).select("_row_id", *named))
+        kept = with_ids(base, size(inserted), self._scan(table, changed), size(changed), "left_anti")
+        return kept.select("_row_id", *named).unionByName(self.newest(table, changed).select("_row_id", *named))
 
 
 class Transaction:
@@ -437,7 +431,7 @@ class Transaction:
         self._not_null(table, new)
         for label, key in table.unique_keys():
             if set(key) & columns:
-                rest = self.rows(name).join(new.select("_row_id"), "_row_id", "left_anti").select(*key)
+                rest = with_ids(self.rows(name), size(table.entries), new, new.count(), "left_anti").select(*key)
                 if rest.unionByName(new.select(*key)).dropna().groupBy(*key).count().where("count > 1").limit(1).count():
                     raise ConstraintError(f"{label}: duplicate values of {', '.join(key)}")
         return self._stage(name, new.withColumn("_deleted", F.lit(False)), "change")
@@ -515,7 +509,7 @@ class Transaction:
             changes, theirs = [e for e in entries if e["kind"] == "change"], [e for e in others if e["kind"] == "change"]
             if table.floor[0] > self.base.version and changes:
                 raise ConflictError(f"{name}: the changes since this transaction began are folded and gone")
-            if changes and theirs and self.store._scan(table, changes).join(self.store._scan(table, theirs).select("_row_id"), "_row_id", "left_semi").limit(1).count():
+            if changes and theirs and with_ids(self.store._scan(table, changes), size(changes), self.store._scan(table, theirs), size(theirs), "left_semi").limit(1).count():
                 raise ConflictError(f"{name}: another transaction changed the same rows")
             if not others:
                 continue
@@ -533,6 +527,37 @@ class Transaction:
         self.staged, self.ddl, self.saved = {}, [], {}
 
 
+def size(entries: list[dict]) -> int:
+    """Rows that the entries hold, all versions of them."""
+    return sum(e["rows"] for e in entries)
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows dealt out by their ids, ``SORTED_ROWS`` to a partition."""
+    return rows.repartition(max(1, -(-n // SORTED_ROWS)), "_row_id")
+
+
+def with_ids(rows: DataFrame, n: int, other: DataFrame, m: int, how: str) -> DataFrame:
+    """Those of ``n`` rows whose ids are among the ``m`` rows of another (``left_semi``) or not (``left_anti``).
+
+    Beyond ``BROADCAST_CHANGES`` both sides are dealt out and sorted, whatever Spark makes of the files' sizes, which
+    are compressed: broadcast, ids take over 130 bytes each in every executor. That is an outer join, as Spark would
+    move a semi or anti join below the repartition.
+    """
+    ids = other.select("_row_id")
+    if m <= BROADCAST_CHANGES:
+        return rows.join(F.broadcast(ids.distinct()), "_row_id", how)
+    mine, theirs = dealt(rows, n + m).alias("mine"), dealt(ids, n + m).distinct().hint("merge").alias("theirs")
+    both, there = mine.join(theirs, F.col("mine._row_id") == F.col("theirs._row_id"), "left"), F.col("theirs._row_id").isNotNull()
+    return both.where(~there if how == "left_anti" else there).select("mine.*")
+
+
+def last_versions(rows: DataFrame, n: int) -> DataFrame:
+    """The row of each id with the largest ``_seq``. Ids hardly repeat in one file, so rows are dealt out before they are sorted."""
+    rest = [c for c in rows.columns if c != "_row_id"]
+    return dealt(rows, n).groupBy("_row_id").agg(F.max_by(F.struct(*rest), "_seq").alias("_v")).select("_row_id", "_v.*")
+
+
 def fitted(c: ColumnSpec) -> Column:
     """The column cast to its kind; a value that has no such form is an error when it is written."""
     value = F.col(f"`{c.name}`")
